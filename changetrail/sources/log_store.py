@@ -1,0 +1,183 @@
+"""The stored log: Parquet, split by day, with retention and purge that readers never trip over."""
+
+from __future__ import annotations
+
+import uuid
+from dataclasses import dataclass
+from datetime import date, datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from changetrail.operators.maintain import (
+    json_log_lines, keep_since, purged_count, retention_cutoff)
+from changetrail.operators.search import EventFilter, list_events
+from changetrail.schemas import STORED_SCHEMA
+from changetrail.settings import Settings
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+MARK_TIME = "%Y%m%dT%H%M%S"
+
+
+@dataclass(frozen=True)
+class LogStore:
+    """A log below one folder of any file system Spark can write.
+
+    ``generation=G/event_date=D/batch=B`` holds the events. ``_marks`` holds empty marker files
+    whose names carry the state: the current generation and the time events are kept from. Both
+    only grow and the largest wins, so creating one file is an atomic change. Readers see either
+    the old or the new state, and files are deleted only once no new reader looks at them.
+    """
+
+    spark: SparkSession
+    root: str
+
+    # --- file system ------------------------------------------------------------------
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+
+    def _files(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, *parts: str) -> list[str]:
+        files, path = self._files(), self._path(*parts)
+        return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+    def _set_mark(self, name: str, value: str) -> None:
+        files, new = self._files(), f"{name}={value}"
+        files.createNewFile(self._path("_marks", new))
+        for old in self._names("_marks"):
+            if old.startswith(name + "=") and old < new:
+                files.delete(self._path("_marks", old), False)
+
+    def _mark(self, name: str) -> str | None:
+        values = [n.split("=", 1)[1] for n in self._names("_marks") if n.startswith(name + "=")]
+        return max(values, default=None)
+
+    def make_folder(self, *parts: str) -> None:
+        self._files().mkdirs(self._path(*parts))
+
+    # --- state ------------------------------------------------------------------------
+    @property
+    def generation(self) -> int:
+        return int(self._mark("generation") or 0)
+
+    @property
+    def kept_from(self) -> datetime | None:
+        mark = self._mark("kept_from")
+        return datetime.strptime(mark, MARK_TIME) if mark else None
+
+    @property
+    def _generation_folder(self) -> str:
+        return f"generation={self.generation:06d}"
+
+    @property
+    def data_path(self) -> str:
+        return f"{self.root}/{self._generation_folder}"
+
+    # --- definition -------------------------------------------------------------------
+    def exists(self) -> bool:
+        return self._mark("generation") is not None
+
+    def ensure(self) -> LogStore:
+        """Create an empty log unless there is one."""
+        if not self.exists():
+            self.make_folder("generation=000000")
+            self._set_mark("generation", "000000")
+        return self
+
+    def clone_schema(self, target_root: str) -> LogStore:
+        """An empty log of the same shape elsewhere, unless one is there. Copies no events."""
+        return LogStore(self.spark, target_root).ensure()
+
+    # --- reading ----------------------------------------------------------------------
+    def _day_folders(self) -> dict[date | None, str]:
+        """Folder name per day; ``None`` stands for events without a time."""
+        names = [n for n in self._names(self._generation_folder) if n.startswith("event_date=")]
+        days = [n.partition("=")[2] for n in names]
+        return {date.fromisoformat(d) if d[:4].isdigit() else None: n
+                for d, n in zip(days, names)}
+
+    def read(self, first_day: date | None = None, last_day: date | None = None) -> DataFrame:
+        """The log, with ``event_date`` to prune by; with days given, of these days only.
+
+        The schema is given, so no file footer is read to plan a query, and files from before a
+        column was added yield NULL for it. Only the folders of the days read are listed.
+        """
+        kept_from = self.kept_from
+        low = max(filter(None, (first_day, kept_from and kept_from.date())), default=None)
+        undated = first_day is None and last_day is None
+        folders = [f"{self.data_path}/{name}" for day, name in self._day_folders().items()
+                   if (undated if day is None else (low is None or day >= low)
+                       and (last_day is None or day <= last_day))]
+        if not folders:
+            return self.spark.createDataFrame([], STORED_SCHEMA)
+        stored = (self.spark.read.schema(STORED_SCHEMA).option("basePath", self.data_path)
+                  .parquet(*folders))
+        return stored if kept_from is None else keep_since(stored, kept_from)
+
+    def list_events(self, users: DataFrame, where: EventFilter = EventFilter(),
+                    **paging) -> DataFrame:
+        return list_events(self.read(), users, where, **paging)
+
+    # --- writing ----------------------------------------------------------------------
+    def append(self, events: DataFrame, batch: str | None = None, rebalance: bool = True) -> str:
+        """Append events; writing the same ``batch`` again replaces it, so a retry adds nothing.
+
+        Rebalancing gives well-sized files per day and splits a day that holds most of the
+        events. Files are sorted by time and id, which makes their row groups skippable.
+        """
+        self.ensure()
+        batch = batch or uuid.uuid4().hex
+        dated = events.withColumns({"event_date": F.to_date("event_time"), "batch": F.lit(batch)})
+        dated = dated.select(*STORED_SCHEMA.fieldNames())
+        if rebalance:
+            dated = dated.hint("rebalance", "event_date")
+        (dated.sortWithinPartitions("event_date", "batch", "event_time", "id")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("event_date", "batch").parquet(self.data_path))
+        return batch
+
+    # --- maintenance ------------------------------------------------------------------
+    def expire(self, now: datetime, retention_days: int) -> int:
+        """Remove events older than the retention; returns how many.
+
+        Readers stop seeing them at once, by the new mark. Whole days before it are then
+        deleted; nothing is rewritten. The day of the cut goes when it has passed altogether.
+        """
+        cutoff = retention_cutoff(now, retention_days)
+        if cutoff is None or not self.exists():
+            return 0
+        purged = purged_count(self.read(), now, retention_days).first()["purged"]
+        self._set_mark("kept_from", cutoff.strftime(MARK_TIME))
+        for day, name in self._day_folders().items():
+            if day is not None and day < cutoff.date():
+                self._files().delete(self._path(self._generation_folder, name), True)
+        return purged
+
+    def purge(self) -> None:
+        """Remove every event: switch to a new, empty generation, then delete the old ones."""
+        self.ensure()
+        new = self.generation + 1
+        self.make_folder(f"generation={new:06d}")
+        self._set_mark("generation", f"{new:06d}")
+        for name in self._names():
+            if name.startswith("generation=") and int(name.split("=")[1]) < new:
+                self._files().delete(self._path(name), True)
+
+
+def append_json_log(events: DataFrame, settings: Settings, batch: str) -> bool:
+    """Feed web events to the JSON-lines log, if it is on, named and there; says whether it was.
+
+    Each batch has a folder of its own that a retry overwrites.
+    """
+    if not (settings.json_log_enabled and settings.json_log_path):
+        return False
+    if not folder_exists(events.sparkSession, settings.json_log_path):
+        return False
+    json_log_lines(events).write.mode("overwrite").text(f"{settings.json_log_path}/batch={batch}")
+    return True
