@@ -6,47 +6,56 @@ the text ``"[x"`` and an array, which ``map<string,string>`` loses.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from changetrail import fixed_values as fixed
+from changetrail.functions.binding import let
 
 PARAM_MAP = "map<string,variant>"
 
 
-def parse_params(text: Column) -> Column:
-    """JSON object text as a map in document order; NULL for anything else (CLI text, ``[]``).
+def _last_of_each_key(params: Column) -> Column:
+    """A repeated key keeps its first place and its last value."""
+    def rebuild(keys: Column) -> Column:
+        backwards, values = F.reverse(keys), F.reverse(F.map_values(params))
+        return F.map_from_entries(F.transform(
+            F.array_distinct(keys),
+            lambda key: F.struct(
+                key.alias("key"),
+                F.element_at(values, F.array_position(backwards, key).cast("int"))
+                .alias("value"))))
 
-    A repeated key keeps its first place and its last value. The rebuild runs only on rows
-    that have one.
-    """
-    params = F.from_json(text, PARAM_MAP)
-    keys, values = F.map_keys(params), F.map_values(params)
-    distinct = F.array_distinct(keys)
+    return let(F.map_keys(params),
+               lambda keys: F.when(F.size(F.array_distinct(keys)) < F.size(keys), rebuild(keys))
+               .otherwise(params))
 
-    def last_value(key: Column) -> Column:
-        at = F.array_position(F.reverse(keys), key).cast("int")
-        return F.struct(key.alias("key"), F.element_at(F.reverse(values), at).alias("value"))
 
-    rebuilt = F.map_from_entries(F.transform(distinct, last_value))
-    return F.when(F.size(distinct) < F.size(keys), rebuilt).otherwise(params)
+def parse_params(text: Column) -> Column:
+    """JSON object text as a map in document order; NULL for anything else (CLI text, ``[]``)."""
+    return let(F.from_json(text, PARAM_MAP), _last_of_each_key)
 
 
 def redact(params: Column) -> Column:
     """Drop transport parameters and every top-level key that smells of a secret."""
-    return F.map_filter(
-        params,
-        lambda key, _: ~(key.rlike(fixed.SECRET_PARAM_PATTERN)
-                         | key.isin(*fixed.TRANSPORT_PARAMS)))
+    def is_dropped(key: Column) -> Column:
+        secret = let(F.lower(key), lambda k: reduce(
+            or_, [k.contains(part) for part in fixed.SECRET_PARAM_PARTS]))
+        return secret | key.isin(*fixed.TRANSPORT_PARAMS)
+
+    return F.map_filter(params, lambda key, _: ~is_dropped(key))
 
 
 def encode_params(params: Column) -> Column:
     """Parameters as JSON text; an empty set is ``[]``, as an empty list and map are one there."""
-    return F.when(F.size(params) == 0, F.lit("[]")).otherwise(F.to_json(params))
+    return let(params, lambda p: F.when(F.size(p) == 0, F.lit("[]")).otherwise(F.to_json(p)))
 
 
-def _scalar_text(value: Column) -> Column:
-    kind, text = F.schema_of_variant(value), value.cast("string")
+def _scalar_text(value: Column, kind: Column) -> Column:
+    text = value.cast("string")
     return (F.when(kind == "STRING", text)
             .when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise(""))
             .when(kind == "VOID", "")
@@ -56,10 +65,14 @@ def _scalar_text(value: Column) -> Column:
 
 def value_text(value: Column, separator: str) -> Column:
     """One parameter as text: arrays joined, true as 1, false and null empty, objects as JSON."""
+    def element(item: Column) -> Column:
+        return let(F.schema_of_variant(item), lambda kind: _scalar_text(item, kind))
+
     elements = F.try_variant_get(value, "$", "array<variant>")
-    return (F.when(F.schema_of_variant(value).startswith("ARRAY"),
-                   F.array_join(F.transform(elements, _scalar_text), separator, ""))
-            .otherwise(_scalar_text(value)))
+    joined = F.array_join(F.transform(elements, element), separator, "")
+    return let(F.schema_of_variant(value),
+               lambda kind: F.when(kind.startswith("ARRAY"), joined)
+               .otherwise(_scalar_text(value, kind)))
 
 
 def flatten_post(post: Column) -> Column:
@@ -85,4 +98,4 @@ def sorted_attributes(post: Column, numeric_keys: bool = False) -> Column:
             fields = [(~whole).alias("is_text"), number.alias("number")] + fields
         return F.struct(*fields)
 
-    return F.array_sort(F.transform(F.map_entries(parse_params(post)), attribute))
+    return F.sort_array(F.transform(F.map_entries(parse_params(post)), attribute))

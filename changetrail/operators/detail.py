@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changetrail import fixed_values as fixed
-from changetrail.functions.params import parse_params, sorted_attributes
+from changetrail.functions.binding import explode_positions
+from changetrail.functions.params import sorted_attributes
 from changetrail.functions.requests import time_text
 
 
@@ -35,19 +36,11 @@ def event_attributes(log: DataFrame, numeric_keys: bool = False) -> DataFrame:
     attributes = web.select(
         "id", sorted_attributes(F.col("post"), numeric_keys).alias("attributes"))
     wide = F.size("attributes") > fixed.WIDE_DETAIL_ABOVE
-    return attributes.select(
-        "id", wide.alias("wide"), F.posexplode("attributes").alias("position", "item")
-    ).select("id", (F.col("position") + 1).alias("position"), "item.attribute", "item.value",
-             "wide")
+    rows = explode_positions(attributes, ["id", wide.alias("wide")], F.col("attributes"), "item")
+    return rows.select("id", (F.col("position") + 1).alias("position"), "item.attribute",
+                       "item.value", "wide")
 
 
 def event_objects(log: DataFrame) -> DataFrame:
     """One row per selected item: its looked-up rows as compact JSON."""
-    return log.select(
-        "id", F.posexplode(F.from_json("object_data", "array<string>"))
-        .alias("position", "record"))
-
-
-def attribute_count(log: DataFrame) -> DataFrame:
-    """Number of parameters per event; NULL where ``post`` is not a JSON object."""
-    return log.select("id", F.size(parse_params(F.col("post"))).alias("attributes"))
+    return explode_positions(log, ["id"], F.from_json("object_data", "array<string>"), "record")

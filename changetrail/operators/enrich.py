@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changetrail import fixed_values as fixed
+from changetrail.functions.binding import explode_positions
 from changetrail.operators.lookups import BROADCAST_LIMIT_BYTES, join_dimension
 
 EMPTY_LIST = "[]"
@@ -81,7 +82,7 @@ def snapshot_objects(events: DataFrame, tables: Mapping[str, DataFrame],
     plain = events.filter(~has_lookup).withColumn("object_data", F.lit(EMPTY_LIST))
     bulk = events.filter(has_lookup)
 
-    wanted = bulk.select(id_column, "page", F.posexplode(items_column).alias("position", "item"))
+    wanted = explode_positions(bulk, [id_column, "page"], F.col(items_column), "item")
     found = join_dimension(wanted, entity_rows(tables, lookups), ["page", "item"],
                            spread_by=id_column, broadcast_limit=broadcast_limit)
     payload_columns = [name for name in events.columns if name != id_column]

@@ -58,7 +58,7 @@ def normalise_requests(admitted: DataFrame) -> DataFrame:
 
 def admit_commands(commands: DataFrame) -> DataFrame:
     """Keep commands a person ran. The setting for web requests does not apply to them."""
-    return commands.filter(R.is_foreground_command(F.try_element_at("argv", F.lit(1))))
+    return commands.filter(R.is_foreground_command(F.get("argv", F.lit(0))))
 
 
 def normalise_commands(commands: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def normalise_commands(commands: DataFrame) -> DataFrame:
     time = F.col("event_time") if "event_time" in commands.columns else R.utc_now()
     return commands.select(
         F.col("event_id").alias("id"),
-        R.page_name(F.try_element_at("argv", F.lit(1))).alias("page"),
+        R.page_name(F.get("argv", F.lit(0))).alias("page"),
         F.lit(0).cast("long").alias("user_id"),
         F.lit(fixed.ACTION_CLI).alias("action"),
         F.col("host_ip").alias("ip_address"),

@@ -33,11 +33,15 @@ def _is_due(log: DataFrame, cutoff: datetime) -> Column:
 
 
 def keep_since(log: DataFrame, cutoff: datetime) -> DataFrame:
-    """Events from the cutoff on, and those without a time. Prunes days where there are any."""
-    kept = F.col("event_time") >= _limit(log, cutoff)
+    """Events from the cutoff on, and those without a time.
+
+    On a log split by day both branches say so of the day too, so whole days are pruned.
+    """
+    kept, timeless = F.col("event_time") >= _limit(log, cutoff), F.col("event_time").isNull()
     if "event_date" in log.columns:
         kept = kept & (F.col("event_date") >= F.lit(cutoff.date()))
-    return log.filter(kept | F.col("event_time").isNull())
+        timeless = timeless & F.col("event_date").isNull()
+    return log.filter(kept | timeless)
 
 
 def expire_events(log: DataFrame, now: datetime, retention_days: int) -> DataFrame:

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date, datetime
+from datetime import date
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from changetrail import fixed_values as fixed
 from changetrail.functions.requests import time_text, upper_first
 from changetrail.operators.enrich import with_username
 from changetrail.operators.lookups import BROADCAST_LIMIT_BYTES
-from changetrail.operators.paging import SHALLOW_ROWS, page_offset, slice_sorted
+from changetrail.operators.paging import SHALLOW_ROWS, page_offset, slice_sorted, sort_order
 from changetrail.settings import Settings
 
 ALL = -1
@@ -71,9 +71,13 @@ class EventFilter:
         return log.filter(reduce(and_, predicates)) if predicates else log
 
 
-def event_by_id(log: DataFrame, event_id: int) -> DataFrame:
-    """One event. Parquet skips row groups whose id range does not hold it."""
-    return log.filter(F.col("id") == event_id)
+def event_by_id(log: DataFrame, event_id: int, day: date | None = None) -> DataFrame:
+    """One event. Parquet skips row groups whose id range does not hold it.
+
+    On a log split by day, a day that the caller knows prunes all others.
+    """
+    found = log.filter(F.col("id") == event_id)
+    return found if day is None else found.filter(F.col("event_date") == F.lit(day))
 
 
 def count_events(log: DataFrame, where: EventFilter = EventFilter()) -> DataFrame:
@@ -110,9 +114,9 @@ def list_events(log: DataFrame, users: DataFrame, where: EventFilter = EventFilt
                 shallow_rows: int = SHALLOW_ROWS) -> DataFrame:
     """One sorted page of matching events, with user names.
 
-    Unless the page is sorted by user name, names are joined to the finished page only: a left
-    join on a unique key neither adds nor drops rows. A log split by ``event_date`` and sorted
-    by time is first cut down to the days the page lies in.
+    User ids are unique, so a left join neither adds nor drops rows: unless the page is sorted
+    by user name, names are joined to the finished page only. A log split by ``event_date`` is
+    ranked on narrow columns, and the wide ones are read for the page alone.
     """
     descending = _checked_sort(sort_column, sort_direction)
     rows = settings.rows_per_page if rows == ALL else rows
@@ -120,21 +124,30 @@ def list_events(log: DataFrame, users: DataFrame, where: EventFilter = EventFilt
     hits = where.apply(log)
     columns = [name for name in log.columns if name not in ("event_date", "batch")]
 
-    if sort_column == "username":
-        named = with_username(hits.select(*columns), users, broadcast_limit=broadcast_limit)
-        return slice_sorted(named, "username", descending, offset, rows,
+    def rank(source: DataFrame) -> DataFrame:
+        if sort_column == "username":
+            source = with_username(source, users, broadcast_limit=broadcast_limit)
+        return slice_sorted(source, sort_column, descending, offset, rows,
                             shallow_rows=shallow_rows)
-    if sort_column == "event_time" and "event_date" in log.columns:
-        page = _page_by_day(hits, descending, offset, rows, shallow_rows)
+
+    if "event_date" in log.columns:
+        if sort_column == "event_time":
+            hits, offset = _days_of_page(hits, descending, offset, rows)
+        if rows <= LITERAL_KEYS:
+            narrow = {"id", "event_time", "event_date", "user_id", sort_column}
+            keys = rank(hits.select(*[n for n in hits.columns if n in narrow]))
+            page = _fetch(hits, keys.select("id", "event_time", "event_date").collect())
+        else:
+            page = rank(hits)
     else:
-        page = slice_sorted(hits, sort_column, descending, offset, rows,
-                            shallow_rows=shallow_rows)
-    names = users.select(F.col("id").alias("user_id"), "username")
-    # No hint: the page is small, and Spark compares the users' size with its own threshold.
-    named = page.select(*columns).join(names, "user_id", "left").select(*columns, "username")
-    order = [F.col(name).desc() if descending else F.col(name).asc()
-             for name in (sort_column, "id")]
-    return named.orderBy(*order)
+        page = rank(hits.select(*columns))
+    if sort_column == "username" and "username" in page.columns:
+        named = page.select(*columns, "username")
+    else:
+        # No hint: the page is small, and Spark holds the users' size against its own threshold.
+        names = users.select(F.col("id").alias("user_id"), "username")
+        named = page.join(names, "user_id", "left").select(*columns, "username")
+    return named.orderBy(*sort_order(sort_column, descending))
 
 
 def events_per_day(hits: DataFrame) -> DataFrame:
@@ -163,28 +176,24 @@ def _in_days(days: list[date | None]) -> Column:
     return dated | F.col("event_date").isNull() if None in days else dated
 
 
-def _page_by_day(hits: DataFrame, descending: bool, offset: int, rows: int,
-                 shallow_rows: int) -> DataFrame:
-    """Page by time of a log split by day.
-
-    The driver receives one count per day, then (for pages of up to ``LITERAL_KEYS`` rows) the
-    page's own keys. Ranking reads only narrow columns of the page's days; the wide columns are
-    read for the page alone, by predicates on day, time and id that prune partitions and row
-    groups.
-    """
+def _days_of_page(hits: DataFrame, descending: bool, offset: int,
+                  rows: int) -> tuple[DataFrame, int]:
+    """Matching events of the days a page by time lies in. The driver gets one count per day."""
     per_day = {r["event_date"]: r["events"] for r in events_per_day(hits).collect()}
     days, offset = days_of_slice(per_day, descending, offset, rows)
-    if not days:
-        return hits.limit(0)
-    hits = hits.filter(_in_days(days))
-    if rows > LITERAL_KEYS or offset + rows > shallow_rows:
-        return slice_sorted(hits, "event_time", descending, offset, rows,
-                            shallow_rows=shallow_rows)
-    keys = slice_sorted(hits.select("id", "event_time", "event_date"), "event_time", descending,
-                        offset, rows, shallow_rows=shallow_rows).collect()
+    return (hits.filter(_in_days(days)) if days else hits.filter(F.lit(False))), offset
+
+
+def _fetch(hits: DataFrame, keys: list[Row]) -> DataFrame:
+    """Whole events of one page, by literals on day, time and id that prune files and row groups.
+
+    ``keys`` are those of the page, at most ``LITERAL_KEYS``.
+    """
+    if not keys:
+        return hits.filter(F.lit(False))
     fetched = hits.filter(_in_days(list({k["event_date"] for k in keys}))
                           & F.col("id").isin([k["id"] for k in keys]))
-    times: list[datetime] = [k["event_time"] for k in keys]
+    times = [k["event_time"] for k in keys]
     if None not in times:
         kind = hits.schema["event_time"].dataType
         low, high = (F.lit(str(t)).cast(kind) for t in (min(times), max(times)))

@@ -21,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(index: str, values: tuple[str, ...]) -> str:
-    cases = " ".join(f"when {i} then '{value}'" for i, value in enumerate(values))
-    return f"case {index} {cases} end"
+    """The value at a zero-based index, out of a constant array."""
+    constants = ", ".join(f"'{value}'" for value in values)
+    return f"get(array({constants}), cast({index} as int))"
 
 
 def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:

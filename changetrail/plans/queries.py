@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from changetrail.functions import params as P
 from changetrail.functions import requests as R
+from changetrail.functions.binding import explode_positions
 from changetrail.operators import detail, enrich, export, ingest, maintain, search
 from changetrail.operators.checkpoints import shared_folder
 from changetrail.operators.search import EventFilter
@@ -276,9 +277,10 @@ def route_events(spark, sf):
 @query
 def redact_params(spark, sf):
     redacted = P.redact(P.parse_params(F.col("params")))
-    return (fx.raw_requests(spark, sf)
-            .select("req_id", F.explode(redacted).alias("param", "value"))
-            .select("req_id", "param", F.to_json("value").alias("value")))
+    rows = explode_positions(fx.raw_requests(spark, sf), ["req_id"],
+                             F.map_entries(redacted), "param")
+    return rows.select("req_id", F.col("param.key").alias("param"),
+                       F.to_json("param.value").alias("value"))
 
 
 @query
@@ -290,8 +292,8 @@ def encode_post(spark, sf):
 @query
 def decode_selected_items(spark, sf):
     fields = with_request_fields(fx.web_form_requests(spark, sf))
-    return fields.filter("has_items").select(
-        "req_id", "drp_action", F.posexplode("selected_items").alias("position", "item"))
+    return explode_positions(fields.filter("has_items"), ["req_id", "drp_action"],
+                             F.col("selected_items"), "item")
 
 
 # --- enrichment --------------------------------------------------------------------------

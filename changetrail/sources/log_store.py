@@ -48,11 +48,12 @@ class LogStore:
         return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
 
     def _set_mark(self, name: str, value: str) -> None:
-        files, new = self._files(), f"{name}={value}"
-        files.createNewFile(self._path("_marks", new))
-        for old in self._names("_marks"):
-            if old.startswith(name + "=") and old < new:
-                files.delete(self._path("_marks", old), False)
+        current = self._mark(name)
+        if current is not None and current >= value:
+            return
+        self._files().createNewFile(self._path("_marks", f"{name}={value}"))
+        if current is not None:
+            self._files().delete(self._path("_marks", f"{name}={current}"), False)
 
     def _mark(self, name: str) -> str | None:
         values = [n.split("=", 1)[1] for n in self._names("_marks") if n.startswith(name + "=")]

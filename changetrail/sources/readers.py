@@ -6,27 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changetrail.functions.params import PARAM_MAP
 from changetrail.functions.requests import decode_item_list
 from changetrail.schemas import CLI_SCHEMA, USER_SCHEMA, WEB_REQUEST_SCHEMA
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str,
-          stream: bool) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str, stream: bool,
+          **options: str) -> DataFrame:
     reader = spark.readStream if stream else spark.read
-    return reader.schema(schema).format(fmt).load(path)
+    return reader.schema(schema).format(fmt).options(**options).load(path)
 
 
 def read_requests(spark: SparkSession, path: str, schema: T.StructType = WEB_REQUEST_SCHEMA,
-                  fmt: str = "parquet", stream: bool = False) -> DataFrame:
-    """Raw web requests. Pass ``REQUEST_SCHEMA`` if the steering parameters are columns already."""
-    return _read(spark, path, schema, fmt, stream)
+                  fmt: str = "parquet", stream: bool = False, **options: str) -> DataFrame:
+    """Raw web requests. Pass ``REQUEST_SCHEMA`` if the steering parameters are columns already.
+
+    Options go to the reader, for example ``maxFilesPerTrigger`` for a stream.
+    """
+    return _read(spark, path, schema, fmt, stream, **options)
 
 
 def read_commands(spark: SparkSession, path: str, schema: T.StructType = CLI_SCHEMA,
-                  fmt: str = "parquet", stream: bool = False) -> DataFrame:
+                  fmt: str = "parquet", stream: bool = False, **options: str) -> DataFrame:
     """Raw command runs."""
-    return _read(spark, path, schema, fmt, stream)
+    return _read(spark, path, schema, fmt, stream, **options)
 
 
 def read_users(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -40,23 +42,23 @@ def read_entity_tables(spark: SparkSession, paths: dict[str, str],
     return {table: spark.read.format(fmt).load(path) for table, path in paths.items()}
 
 
+STEERING = "action string, mode string, drp_action string, purge_continue string, " \
+           "selected_items string"
+
+
 def with_request_fields(requests: DataFrame) -> DataFrame:
     """Lift the parameters that steer admission and classification out of the ``params`` JSON.
 
     A column that the source already has is left as it is.
     """
-    params = F.from_json("params", PARAM_MAP)
-
-    def text(key: str):
-        return F.try_element_at(params, F.lit(key)).cast("string")
-
     fields = {
-        "req_action": text("action"),
-        "mode_arg": text("mode"),
-        "drp_action": text("drp_action"),
-        "purge_continue": text("purge_continue").isNotNull(),
-        "has_items": text("selected_items").isNotNull(),
-        "selected_items": decode_item_list(text("selected_items")),
+        "req_action": F.col("_steering.action"),
+        "mode_arg": F.col("_steering.mode"),
+        "drp_action": F.col("_steering.drp_action"),
+        "purge_continue": F.col("_steering.purge_continue").isNotNull(),
+        "has_items": F.col("_steering.selected_items").isNotNull(),
+        "selected_items": decode_item_list(F.col("_steering.selected_items")),
     }
     missing = {name: column for name, column in fields.items() if name not in requests.columns}
-    return requests.withColumns(missing)
+    return (requests.withColumn("_steering", F.from_json("params", STEERING))
+            .withColumns(missing).drop("_steering"))

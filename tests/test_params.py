@@ -1,0 +1,67 @@
+"""Parsing, redacting, encoding and flattening of request parameters."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from changetrail.functions import params as P
+
+
+def one(spark, text, column):
+    df = spark.createDataFrame([(text,)], "post string")
+    return df.select(column(F.col("post")).alias("out")).first()["out"]
+
+
+@pytest.mark.parametrize("post, flat", [
+    ('{"b":"x","a":["1","2"],"10":1,"9":1.50,"n":null,"t":true,"f":false,"o":{"k":"v"}}',
+     'b:x|a:1%2|10:1|9:1.5|n:|t:1|f:|o:{"k":"v"}'),
+    ('{"a":"true","b":true,"f":false,"c":"[x","d":["1",null],"n":null,"o":{"k":1},"g":1.50}',
+     'a:true|b:1|f:|c:[x|d:1%|n:|o:{"k":1}|g:1.5'),
+    ("--id=3 php script", None),
+    ("[]", None),
+    ("", None),
+    (None, None),
+    ("{}", ""),
+    ('{"u":"\\u00e9\\/p"}', "u:é/p"),
+    ('{"e":1e3,"d":[]}', "e:1000|d:"),
+    ('{"d":["1",true,false,["x"],{"y":2}]}', 'd:1%1%%["x"]%{"y":2}'),
+    ('{"a":"1","b":"2","a":"3"}', "a:3|b:2"),
+    ('{"a|b":"c:d%e"}', "a|b:c:d%e"),
+])
+def test_flatten(spark, post, flat):
+    assert one(spark, post, P.flatten_post) == flat
+
+
+def redacted(spark, post):
+    text = one(spark, post, lambda c: P.encode_params(P.redact(P.parse_params(c))))
+    return json.loads(text)
+
+
+def test_redaction_drops_secrets_and_transport_keys_at_the_top_level_only(spark):
+    post = json.dumps({
+        "id": "1", "Password": "a", "login_PASSPHRASE_x": "b", "compass": "c", "phRase": "d",
+        "header": "false", "__csrf_magic": "e", "headers": "stays", "pas": "stays",
+        "nested": {"password": "stays"}, "list": ["1", "2"], "flag": True, "none": None})
+    assert redacted(spark, post) == {
+        "id": "1", "headers": "stays", "pas": "stays", "nested": {"password": "stays"},
+        "list": ["1", "2"], "flag": True, "none": None}
+
+
+def test_nothing_left_encodes_as_an_empty_list(spark):
+    assert redacted(spark, '{"password":"x"}') == []
+    assert redacted(spark, "{}") == []
+
+
+def test_types_survive_the_round_trip(spark):
+    post = '{"t":"true","b":true,"s":"[1]","l":["1"],"n":null,"i":5,"o":{"a":[1]}}'
+    assert redacted(spark, post) == json.loads(post)
+
+
+def test_attributes_are_sorted_by_key(spark):
+    post = '{"b":["1","2"],"10":"x","9":"y","a":"z"}'
+    rows = one(spark, post, P.sorted_attributes)
+    assert [(r["attribute"], r["value"]) for r in rows] == [
+        ("10", "x"), ("9", "y"), ("a", "z"), ("b", "1,2")]
+    rows = one(spark, post, lambda c: P.sorted_attributes(c, numeric_keys=True))
+    assert [r["attribute"] for r in rows] == ["9", "10", "a", "b"]
