@@ -111,12 +111,14 @@ def list_events(log: DataFrame, users: DataFrame, where: EventFilter = EventFilt
                 rows: int = ALL, page_no: int = 1, sort_column: str = "event_time",
                 sort_direction: str = "DESC", settings: Settings = Settings(),
                 broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-                shallow_rows: int = SHALLOW_ROWS) -> DataFrame:
+                shallow_rows: int = SHALLOW_ROWS,
+                per_day: dict[date | None, int] | None = None) -> DataFrame:
     """One sorted page of matching events, with user names.
 
     User ids are unique, so a left join neither adds nor drops rows: unless the page is sorted
     by user name, names are joined to the finished page only. A log split by ``event_date`` is
-    ranked on narrow columns, and the wide ones are read for the page alone.
+    ranked on narrow columns, and the wide ones are read for the page alone. ``per_day`` passes
+    counts of matching events per day that the caller has already.
     """
     descending = _checked_sort(sort_column, sort_direction)
     rows = settings.rows_per_page if rows == ALL else rows
@@ -132,7 +134,9 @@ def list_events(log: DataFrame, users: DataFrame, where: EventFilter = EventFilt
 
     if "event_date" in log.columns:
         if sort_column == "event_time":
-            hits, offset = _days_of_page(hits, descending, offset, rows)
+            per_day = count_per_day(hits) if per_day is None else per_day
+            days, offset = days_of_slice(per_day, descending, offset, rows)
+            hits = hits.filter(_in_days(days))
         if rows <= LITERAL_KEYS:
             narrow = {"id", "event_time", "event_date", "user_id", sort_column}
             keys = rank(hits.select(*[n for n in hits.columns if n in narrow]))
@@ -155,6 +159,11 @@ def events_per_day(hits: DataFrame) -> DataFrame:
     return hits.groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))
 
 
+def count_per_day(hits: DataFrame) -> dict[date | None, int]:
+    """The same on the driver, which gets one number per day."""
+    return {r["event_date"]: r["events"] for r in events_per_day(hits).collect()}
+
+
 def days_of_slice(per_day: dict[date | None, int], descending: bool, offset: int,
                   rows: int) -> tuple[list[date | None], int]:
     """Days that hold rows ``offset .. offset + rows``, and the offset within those days."""
@@ -172,18 +181,12 @@ def days_of_slice(per_day: dict[date | None, int], descending: bool, offset: int
 
 
 def _in_days(days: list[date | None]) -> Column:
+    if not days:
+        return F.lit(False)
     dated = F.col("event_date").isin([d for d in days if d is not None])
     return dated | F.col("event_date").isNull() if None in days else dated
 
 
-def _days_of_page(hits: DataFrame, descending: bool, offset: int,
-                  rows: int) -> tuple[DataFrame, int]:
-    """Matching events of the days a page by time lies in. The driver gets one count per day."""
-    per_day = {r["event_date"]: r["events"] for r in events_per_day(hits).collect()}
-    days, offset = days_of_slice(per_day, descending, offset, rows)
-    return (hits.filter(_in_days(days)) if days else hits.filter(F.lit(False))), offset
-
-
 def _fetch(hits: DataFrame, keys: list[Row]) -> DataFrame:
     """Whole events of one page, by literals on day, time and id that prune files and row groups.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Collection
 from dataclasses import dataclass
 from datetime import date, datetime
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from changetrail.operators.maintain import (
     json_log_lines, keep_since, purged_count, retention_cutoff)
-from changetrail.operators.search import EventFilter, list_events
+from changetrail.operators.paging import page_offset
+from changetrail.operators.search import ALL, EventFilter, count_per_day, list_events
 from changetrail.schemas import STORED_SCHEMA
 from changetrail.settings import Settings
 
@@ -21,6 +23,8 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
 
 
 MARK_TIME = "%Y%m%dT%H%M%S"
+# How many times more days a page opens if those opened so far do not fill it.
+DAYS_GROWTH = 8
 
 
 @dataclass(frozen=True)
@@ -103,27 +107,51 @@ class LogStore:
         return {date.fromisoformat(d) if d[:4].isdigit() else None: n
                 for d, n in zip(days, names)}
 
-    def read(self, first_day: date | None = None, last_day: date | None = None) -> DataFrame:
+    def days(self) -> list[date | None]:
+        """Days that may hold events, oldest first; events without a time come before all."""
+        kept_from = self.kept_from
+        return sorted((d for d in self._day_folders()
+                       if d is None or kept_from is None or d >= kept_from.date()),
+                      key=lambda d: d or date.min)
+
+    def read(self, days: Collection[date | None] | None = None) -> DataFrame:
         """The log, with ``event_date`` to prune by; with days given, of these days only.
 
         The schema is given, so no file footer is read to plan a query, and files from before a
         column was added yield NULL for it. Only the folders of the days read are listed.
         """
-        kept_from = self.kept_from
-        low = max(filter(None, (first_day, kept_from and kept_from.date())), default=None)
-        undated = first_day is None and last_day is None
-        folders = [f"{self.data_path}/{name}" for day, name in self._day_folders().items()
-                   if (undated if day is None else (low is None or day >= low)
-                       and (last_day is None or day <= last_day))]
-        if not folders:
+        folders = self._day_folders()
+        wanted = self.days() if days is None else [d for d in self.days() if d in days]
+        if not wanted:
             return self.spark.createDataFrame([], STORED_SCHEMA)
         stored = (self.spark.read.schema(STORED_SCHEMA).option("basePath", self.data_path)
-                  .parquet(*folders))
-        return stored if kept_from is None else keep_since(stored, kept_from)
-
-    def list_events(self, users: DataFrame, where: EventFilter = EventFilter(),
-                    **paging) -> DataFrame:
-        return list_events(self.read(), users, where, **paging)
+                  .parquet(*[f"{self.data_path}/{folders[day]}" for day in wanted]))
+        return stored if self.kept_from is None else keep_since(stored, self.kept_from)
+
+    def list_events(self, users: DataFrame, where: EventFilter = EventFilter(), rows: int = ALL,
+                    page_no: int = 1, sort_column: str = "event_time",
+                    sort_direction: str = "DESC", settings: Settings = Settings(),
+                    **options) -> DataFrame:
+        """A sorted page. By time, only as many days are opened, from the near end, as it needs."""
+        rows = settings.rows_per_page if rows == ALL else rows
+        log, per_day = None, None
+        if sort_column == "event_time":
+            needed = page_offset(page_no, rows) + rows
+            log, per_day = self._days_with(where, needed, sort_direction.upper() == "DESC")
+        return list_events(self.read() if log is None else log, users, where, rows, page_no,
+                           sort_column, sort_direction, settings, per_day=per_day, **options)
+
+    def _days_with(self, where: EventFilter, needed: int,
+                   descending: bool) -> tuple[DataFrame, dict[date | None, int]]:
+        """The fewest days (up to a factor) that hold ``needed`` matching events, and their counts."""
+        days = self.days()[::-1] if descending else self.days()
+        opened = 1
+        while True:
+            log = self.read(days[:opened])
+            per_day = count_per_day(where.apply(log))
+            if opened >= len(days) or sum(per_day.values()) >= needed:
+                return log, per_day
+            opened *= DAYS_GROWTH
 
     # --- writing ----------------------------------------------------------------------
     def append(self, events: DataFrame, batch: str | None = None, rebalance: bool = True) -> str:
@@ -153,7 +181,8 @@ class LogStore:
         cutoff = retention_cutoff(now, retention_days)
         if cutoff is None or not self.exists():
             return 0
-        purged = purged_count(self.read(), now, retention_days).first()["purged"]
+        touched = [d for d in self.days() if d is not None and d <= cutoff.date()]
+        purged = purged_count(self.read(touched), now, retention_days).first()["purged"]
         self._set_mark("kept_from", cutoff.strftime(MARK_TIME))
         for day, name in self._day_folders().items():
             if day is not None and day < cutoff.date():

@@ -14,6 +14,16 @@ from changetrail.sources.log_store import LogStore, append_json_log
 Tables = Mapping[str, DataFrame]
 
 
+def batch_label(batch: DataFrame, name: str, batch_id: int) -> str:
+    """Name of a micro-batch: the same when it is replayed, another under a new checkpoint.
+
+    Spark keeps the id of a query in its checkpoint. Batch numbers alone start again with a new
+    one, and would replace older batches.
+    """
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{name}-{query or 'batch'}-{batch_id:09d}"
+
+
 def web_batch_writer(store: LogStore, tables: Callable[[], Tables], settings: Settings,
                      name: str) -> Callable[[DataFrame, int], None]:
     """Writer of one micro-batch of requests.
@@ -23,7 +33,7 @@ def web_batch_writer(store: LogStore, tables: Callable[[], Tables], settings: Se
     replayed after a failure replaces what it wrote before.
     """
     def write(requests: DataFrame, batch_id: int) -> None:
-        batch = f"{name}-{batch_id:09d}"
+        batch = batch_label(requests, name, batch_id)
         events = web_events(requests, tables(), settings)
         if not settings.json_log_enabled:
             store.append(events, batch)
@@ -39,7 +49,7 @@ def web_batch_writer(store: LogStore, tables: Callable[[], Tables], settings: Se
 
 def command_batch_writer(store: LogStore, name: str) -> Callable[[DataFrame, int], None]:
     def write(commands: DataFrame, batch_id: int) -> None:
-        store.append(command_events(commands), f"{name}-{batch_id:09d}")
+        store.append(command_events(commands), batch_label(commands, name, batch_id))
     return write
 
 
@@ -52,10 +62,7 @@ def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
 def ingest_requests(stream: DataFrame, store: LogStore, tables: Callable[[], Tables],
                     checkpoint: str, settings: Settings = Settings(), name: str = "web",
                     trigger: Mapping = {"processingTime": "5 minutes"}) -> StreamingQuery:
-    """Start ingesting a stream of web requests.
-
-    Batch numbers restart with a new checkpoint, so give each new checkpoint a new ``name``.
-    """
+    """Start ingesting a stream of web requests."""
     return _start(stream, web_batch_writer(store, tables, settings, name), checkpoint, trigger)
 
 

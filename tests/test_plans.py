@@ -56,7 +56,8 @@ def test_the_page_is_taken_before_names_are_joined(spark):
 
 def test_a_stored_page_is_fetched_by_day_time_and_id(spark, stored):
     text = plan(stored.list_events(fx.users(spark, SF_DIR), rows=20))
-    assert "GreaterThanOrEqual(event_time" in text and "PartitionFilters: [event_date" in text
+    assert "event_date=2024-01-30" in text and "event_date=2024-01-29" not in text
+    assert "GreaterThanOrEqual(event_time" in text and "PartitionFilters: [isnotnull(event_date" in text
 
 
 def test_snapshots_shuffle_once_when_tables_fit_in_a_broadcast(spark):

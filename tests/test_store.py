@@ -42,9 +42,10 @@ def test_reading_some_days(spark, folder):
     store = LogStore(spark, folder)
     store.append(some_events(spark))
     day = dt.date(2024, 1, 3)
-    assert ids(store.read(day, day)) == [3, 4]
-    assert ids(store.read(last_day=day)) == [0, 1, 2, 3, 4]
-    assert 1000 in ids(store.read()) and 1000 not in ids(store.read(first_day=day))
+    assert ids(store.read([day])) == [3, 4]
+    assert ids(store.read([None, dt.date(1999, 1, 1)])) == [1000]
+    assert ids(store.read([])) == []
+    assert store.days()[:2] == [None, dt.date(2024, 1, 1)] and len(store.days()) == 32
 
 
 def test_retention_keeps_from_the_cutoff_on(spark, folder):
@@ -61,6 +62,7 @@ def test_retention_keeps_from_the_cutoff_on(spark, folder):
     assert store.expire(NOW, 14) == 0                # running it again changes nothing
     assert store.expire(NOW, 90) == 0                # a longer retention brings nothing back
     assert ids(store.read()) == [*range(32, 60), 1000]
+    assert store.days()[:2] == [None, dt.date(2024, 1, 17)]
     assert reader.filter("event_date >= '2024-01-17'").count() > 0
     assert len([m for m in os.listdir(folder + "/_marks") if m.startswith("kept_from")]) == 1
 
