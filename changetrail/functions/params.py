@@ -6,6 +6,7 @@ the text ``"[x"`` and an array, which ``map<string,string>`` loses.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -54,9 +55,10 @@ def encode_params(params: Column) -> Column:
     return let(params, lambda p: F.when(F.size(p) == 0, F.lit("[]")).otherwise(F.to_json(p)))
 
 
-def _scalar_text(value: Column, kind: Column) -> Column:
-    text = value.cast("string")
-    return (F.when(kind == "STRING", text)
+def _typed_text(value: Column, array_text: Callable[[Column], Column]) -> Column:
+    kind, text = F.schema_of_variant(value), value.cast("string")
+    return (F.when(kind == "STRING", text)            # nearly every value, so tested first
+            .when(kind.startswith("ARRAY"), array_text(value))
             .when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise(""))
             .when(kind == "VOID", "")
             .when(kind == "DOUBLE", F.regexp_replace(text, r"\.0$", ""))
@@ -65,14 +67,12 @@ def _scalar_text(value: Column, kind: Column) -> Column:
 
 def value_text(value: Column, separator: str) -> Column:
     """One parameter as text: arrays joined, true as 1, false and null empty, objects as JSON."""
-    def element(item: Column) -> Column:
-        return let(F.schema_of_variant(item), lambda kind: _scalar_text(item, kind))
-
-    elements = F.try_variant_get(value, "$", "array<variant>")
-    joined = F.array_join(F.transform(elements, element), separator, "")
-    return let(F.schema_of_variant(value),
-               lambda kind: F.when(kind.startswith("ARRAY"), joined)
-               .otherwise(_scalar_text(value, kind)))
+    def joined(array: Column) -> Column:
+        elements = F.try_variant_get(array, "$", "array<variant>")
+        texts = F.transform(elements, lambda e: _typed_text(e, lambda v: v.cast("string")))
+        return F.array_join(texts, separator, "")
+
+    return _typed_text(value, joined)
 
 
 def flatten_post(post: Column) -> Column:

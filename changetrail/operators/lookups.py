@@ -20,16 +20,27 @@ def measured_bytes(dimension: DataFrame) -> int:
     return dimension.agg(size.alias("bytes")).first()["bytes"]
 
 
+def spark_broadcasts(dimension: DataFrame, limit: int) -> bool:
+    """Whether Spark's own statistics put the dimension within its threshold and ``limit``."""
+    plan = dimension._jdf.queryExecution().optimizedPlan()
+    conf = dimension.sparkSession._jsparkSession.sessionState().conf()
+    planned = int(plan.stats().sizeInBytes())
+    return planned <= min(conf.autoBroadcastJoinThreshold(), limit)
+
+
 def join_dimension(facts: DataFrame, dimension: DataFrame, on: list[str], spread_by: str,
                    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
                    salt_buckets: int = SALT_BUCKETS) -> DataFrame:
     """``facts LEFT JOIN dimension``, keeping every fact row.
 
-    A dimension measured within ``broadcast_limit`` is broadcast, so the facts do not move.
+    A dimension that Spark knows to be small is left to Spark, which broadcasts it. Any other
+    is measured: within ``broadcast_limit`` it is broadcast too, so the facts do not move.
     A larger one is joined by shuffle. One key may hold a third of the facts (the user 0 of
     command runs, a much edited host), so each key is spread over ``salt_buckets`` by the hash
     of ``spread_by``, and the dimension, the smaller side, is repeated once per bucket.
     """
+    if spark_broadcasts(dimension, broadcast_limit):
+        return facts.join(dimension, on, "left")
     if measured_bytes(dimension) <= broadcast_limit:
         return facts.join(F.broadcast(dimension), on, "left")
     salt = F.pmod(F.xxhash64(spread_by), F.lit(salt_buckets)).cast("int")

@@ -349,12 +349,11 @@ def _web_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def append_events(spark, sf):
-    """Web requests and command runs, each batch written twice as after a failure."""
+    """Web requests and command runs; the latter written twice, as after a failure."""
     store = LogStore(spark, _scratch(spark))
-    for batch, events in (("web-0", _web_events(spark, sf)),
-                          ("cli-0", ingest.command_events(fx.raw_cli(spark, sf)))):
-        store.append(events, batch)
-        store.append(events, batch)
+    store.append(_web_events(spark, sf), "web-0")
+    for _ in range(2):
+        store.append(ingest.command_events(fx.raw_cli(spark, sf)), "cli-0")
     return store.read().select(*LOG_COLUMNS)
 
 
