@@ -17,6 +17,7 @@ from changetrail import fixed_values as fixed
 from changetrail.functions.binding import let
 
 PARAM_MAP = "map<string,variant>"
+STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def _last_of_each_key(params: Column) -> Column:
@@ -35,9 +36,20 @@ def _last_of_each_key(params: Column) -> Column:
                .otherwise(params))
 
 
+def _list_as_map(text: Column) -> Column:
+    """A non-empty JSON list as a map keyed 0, 1, 2...; NULL for anything else."""
+    def keyed(items: Column) -> Column:
+        places = F.transform(F.sequence(F.lit(0), F.size(items) - 1), lambda i: i.cast("string"))
+        return F.when(F.size(items) > 0, F.map_from_arrays(places, items))
+
+    return F.when(text.startswith("["),
+                  let(F.from_json(text, "array<variant>", STRICT_JSON), keyed))
+
+
 def parse_params(text: Column) -> Column:
     """JSON object text as a map in document order; NULL for anything else (CLI text, ``[]``)."""
-    return let(F.from_json(text, PARAM_MAP), _last_of_each_key)
+    params = F.coalesce(F.from_json(text, PARAM_MAP, STRICT_JSON), _list_as_map(text))
+    return let(params, _last_of_each_key)
 
 
 def redact(params: Column) -> Column:

@@ -11,15 +11,17 @@ SETTING = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names; on a local master without one, a temporary folder."""
-    folder = spark.conf.get(SETTING, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="changetrail-")
-        spark.conf.set(SETTING, folder)
+        context.setCheckpointDir(folder)
     return folder
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    folder = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        spark.sparkContext.setCheckpointDir(folder)

@@ -44,7 +44,6 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web requests without their item lists."""
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as req_id",
         "o_custkey as user_id",
@@ -65,42 +64,28 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         """case when (o_orderkey div 10) % 6 <> 0
                 then cast((o_orderkey div 10) % 6 - 1 as string) end as drp_action""",
         "o_custkey % 3 = 0 as purge_continue",
-        "(o_orderkey div 60) % 4 <> 0 as has_items")
+        "(o_orderkey div 60) % 4 <> 0 as has_items",
+        f"{ITEMS} as selected_items")
 
 
-def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selected items per event: the parts of its order, in key order."""
-    lines = table(spark, sf_dir, "lineitem")
-    return (lines.groupBy(F.col("l_orderkey").alias("event_id"))
-            .agg(F.sort_array(F.collect_list("l_partkey")).alias("items")))
-
-
-def _with_items(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    empty = F.array().cast("array<bigint>")
-    return (events.join(order_items(spark, sf_dir), "event_id", "left")
-            .withColumn("items", F.coalesce("items", empty)))
+# Selected items of an event, zero to seven, with repeats and out of order. They come from the
+# event's own row: a list gathered over a group could grow with the data.
+ITEMS = """transform(slice(array(0, 1, 2, 3, 4, 5, 6), 1, cast(o_orderkey % 8 as int)),
+                     p -> o_custkey + (o_orderkey + p * p) % 5)"""
 
 
 def selected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "orders").selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as event_id",
         """case o_orderstatus when 'F' then 'host.php' when 'O' then 'data_templates.php'
-                              else 'user_admin.php' end as page""")
-    return _with_items(events, spark, sf_dir)
+                              else 'user_admin.php' end as page""",
+        f"{ITEMS} as items")
 
 
 def selected_items_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey as event_id", f"{_pick('o_orderkey % 13', ITEM_PAGES)} as page")
-    return _with_items(events, spark, sf_dir)
-
-
-def full_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web requests with the items their orders have."""
-    requests = raw_requests(spark, sf_dir)
-    items = order_items(spark, sf_dir).select(F.col("event_id").alias("req_id"),
-                                              F.col("items").alias("selected_items"))
-    return requests.join(items, "req_id", "left")
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as event_id", f"{_pick('o_orderkey % 13', ITEM_PAGES)} as page",
+        f"{ITEMS} as items")
 
 
 def raw_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +99,9 @@ def raw_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def web_form_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web requests whose steering parameters are all inside ``params``, items serialized."""
-    requests = full_requests(spark, sf_dir)
+    requests = raw_requests(spark, sf_dir)
     items = F.transform(
-        F.coalesce("selected_items", F.array().cast("array<bigint>")),
+        "selected_items",
         lambda item, i: F.concat(F.lit("i:"), i, F.lit(';s:'), F.length(item.cast("string")),
                                  F.lit(':"'), item, F.lit('";')))
     text = F.concat(F.lit("a:"), F.size(items), F.lit(":{"), F.array_join(items, ""), F.lit("}"))

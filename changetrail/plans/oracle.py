@@ -101,12 +101,15 @@ ENTITY_ROWS = " union all ".join([
     _rows("user_group_admin.php", "customer", "c_custkey", "'name', c_mktsegment"),
 ])
 
+ITEMS = """select o_orderkey as event_id, position,
+    o_custkey + (o_orderkey + position * position) % 5 as item
+    from orders, unnest(range(0, o_orderkey % 8)) as places(position)"""
+
 # Expects a CTE `events_with_page(event_id, page)`.
 SNAPSHOT = f"""
 entity as (select page, item, concat('[', string_agg(row_text, ',' order by row_text), ']')
     as rows_text from ({ENTITY_ROWS}) group by page, item),
-items as (select l_orderkey as event_id, l_partkey as item,
-    row_number() over (partition by l_orderkey order by l_partkey) - 1 as position from lineitem),
+items as ({ITEMS}),
 records as (select e.event_id, i.position, coalesce(n.rows_text, '[]') as record
     from events_with_page e join items i on e.event_id = i.event_id
     left join entity n on n.page = e.page and n.item = i.item
@@ -221,11 +224,11 @@ ORACLE: dict[str, str] = {
     "flatten_post": _requests("""select req_id, concat('id:', req_id, '|items:', user_id,
         '%7|login_password:x|PassPhrase:y|header:false|__csrf_magic:z|status:', status) as flat
         from requests"""),
-    "request_fields": f"""with requests as ({REQUESTS}), items as (select l_orderkey,
-            string_agg(l_partkey, ',' order by l_partkey) as items from lineitem group by all)
+    "request_fields": f"""with requests as ({REQUESTS}), item_texts as (select event_id,
+            string_agg(item, ',' order by position) as items from ({ITEMS}) group by event_id)
         select req_id, req_action, mode_arg, cast(code as varchar) as drp_action, purge_continue,
             has_items, case when has_items then coalesce(items, '') end as items
-        from requests left join items on req_id = l_orderkey""",
+        from requests left join item_texts on req_id = event_id""",
     "admit_requests": _requests(
         "select req_id, script_name, preset as preset_action from admitted"),
     "classify_action": _requests("select req_id, action from classified"),
@@ -243,10 +246,8 @@ ORACLE: dict[str, str] = {
         union all select req_id, 'status', concat('"', status, '"') from requests"""),
     "encode_post": _requests("select req_id, post from requests"),
     "decode_selected_items": f"""with requests as ({REQUESTS})
-        select req_id, cast(code as varchar) as drp_action,
-            cast(row_number() over (partition by req_id order by l_partkey) - 1 as integer)
-            as position, l_partkey as item
-        from requests join lineitem on req_id = l_orderkey where has_items""",
+        select req_id, cast(code as varchar) as drp_action, cast(position as integer) as position,
+            item from requests join ({ITEMS}) on req_id = event_id where has_items""",
     "snapshot_objects": f"with events_with_page as ({THREE_PAGES}), {SNAPSHOT} {SNAPSHOT_RESULT}",
     "snapshot_all_pages": f"with events_with_page as ({ALL_PAGES}), {SNAPSHOT} {SNAPSHOT_RESULT}",
     "snapshot_shuffled": f"with events_with_page as ({ALL_PAGES}), {SNAPSHOT} {SNAPSHOT_RESULT}",

@@ -49,9 +49,7 @@ def _stored_log(spark: SparkSession, sf: str) -> LogStore:
 
 def _request_log(spark: SparkSession, sf: str) -> DataFrame:
     """All requests as log rows, whether admitted or not, without snapshots."""
-    requests = fx.raw_requests(spark, sf).withColumns({
-        "preset_action": F.lit(None).cast("string"),
-        "selected_items": F.lit(None).cast("array<bigint>")})
+    requests = fx.raw_requests(spark, sf).withColumn("preset_action", F.lit(None).cast("string"))
     return ingest.normalise_requests(requests).drop("items")
 
 
@@ -344,7 +342,7 @@ def expire_stored(spark, sf):
 
 
 def _web_events(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.web_events(fx.full_requests(spark, sf), fx.entity_tables(spark, sf))
+    return ingest.web_events(fx.raw_requests(spark, sf), fx.entity_tables(spark, sf))
 
 
 @query
@@ -360,7 +358,7 @@ def append_events(spark, sf):
 @query
 def ingest_stream(spark, sf):
     folder = _scratch(spark)
-    requests = fx.full_requests(spark, sf).select(
+    requests = fx.raw_requests(spark, sf).select(
         *[F.col(f.name).cast(f.dataType) for f in REQUEST_SCHEMA])
     requests.write.parquet(f"{folder}/raw")
     stream = read_requests(spark, f"{folder}/raw", REQUEST_SCHEMA, stream=True)

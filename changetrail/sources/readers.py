@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changetrail.functions.params import STRICT_JSON
 from changetrail.functions.requests import decode_item_list
 from changetrail.schemas import CLI_SCHEMA, USER_SCHEMA, WEB_REQUEST_SCHEMA
 
@@ -60,5 +61,5 @@ def with_request_fields(requests: DataFrame) -> DataFrame:
         "selected_items": decode_item_list(F.col("_steering.selected_items")),
     }
     missing = {name: column for name, column in fields.items() if name not in requests.columns}
-    return (requests.withColumn("_steering", F.from_json("params", STEERING))
+    return (requests.withColumn("_steering", F.from_json("params", STEERING, STRICT_JSON))
             .withColumns(missing).drop("_steering"))

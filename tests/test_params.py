@@ -28,6 +28,8 @@ def one(spark, text, column):
     ('{"d":["1",true,false,["x"],{"y":2}]}', 'd:1%1%%["x"]%{"y":2}'),
     ('{"a":"1","b":"2","a":"3"}', "a:3|b:2"),
     ('{"a|b":"c:d%e"}', "a|b:c:d%e"),
+    ('["p",["q","r"]]', "0:p|1:q%r"),
+    ("{'a':1}", None), ('{"a":NaN}', None), ('{"a":1', None), ('"text"', None), ("5", None),
 ])
 def test_flatten(spark, post, flat):
     assert one(spark, post, P.flatten_post) == flat

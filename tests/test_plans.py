@@ -1,6 +1,7 @@
 """Physical plans: what is pushed down, pruned, broadcast and shuffled."""
 
 import datetime as dt
+from unittest.mock import Mock
 
 import pytest
 from conftest import SF_DIR
@@ -70,4 +71,21 @@ def test_snapshots_shuffle_once_when_tables_fit_in_a_broadcast(spark):
 
 
 def test_checkpoints_go_where_the_session_says(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_folder(spark) == (named or spark.sparkContext.getCheckpointDir())
+
+
+@pytest.mark.parametrize("master, fails", [("local[2]", False), ("spark://host:7077", True)])
+def test_only_a_local_master_gets_a_temporary_folder(master, fails):
+    session = Mock()
+    session.conf.get.return_value = None
+    session.sparkContext.master = master
+    session.sparkContext.getCheckpointDir.return_value = None
+    if fails:
+        with pytest.raises(ValueError):
+            shared_folder(session)
+    else:
+        session.sparkContext.setCheckpointDir.assert_not_called()
+        session.sparkContext.setCheckpointDir.side_effect = lambda folder: None
+        assert shared_folder(session)
+        session.sparkContext.setCheckpointDir.assert_called_once()

@@ -23,7 +23,7 @@ def rows(df):
 
 @pytest.fixture
 def requests(spark):
-    return fx.full_requests(spark, SF_DIR).select(
+    return fx.raw_requests(spark, SF_DIR).select(
         *[F.col(f.name).cast(f.dataType) for f in REQUEST_SCHEMA])
 
 
