@@ -80,7 +80,7 @@ def classify_action(page: Column, drp_action: Column, has_items: Column, preset:
 def decode_item_list(text: Column) -> Column:
     """Ids out of a serialized flat list such as ``a:2:{i:0;s:1:"5";i:1;i:12;}``, in order."""
     ids = F.regexp_extract_all(text, F.lit(r'i:\d+;(?:s:\d+:"|i:)(\d+)"?;'), F.lit(1))
-    return F.transform(ids, lambda i: i.cast("long"))
+    return F.transform(ids, lambda i: i.try_cast("long"))
 
 
 def upper_first(text: Column) -> Column:

@@ -44,11 +44,11 @@ def escape_fields(exported: DataFrame) -> DataFrame:
 def write_export(exported: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write an export as a folder of part files, in parallel.
 
-    ``csv`` quotes fields and has a header per file. ``legacy`` is plain lines with one header
+    ``csv`` quotes fields, doubles quotes inside them, and has a header per file. ``legacy`` is plain lines with one header
     in the first part, so the parts in name order are one file; nothing at all if no event.
     """
     if fmt == "csv":
-        exported.write.mode("errorifexists").csv(path, header=True, quoteAll=True)
+        exported.write.mode("errorifexists").csv(path, header=True, quoteAll=True, escape='"')
     elif fmt == "legacy":
         lines = legacy_lines(exported)
         header = exported.limit(1).select(F.lit(fixed.EXPORT_HEADER).alias("line"))

@@ -209,7 +209,7 @@ def export_csv(spark, sf):
     path = _scratch(spark)
     exported = export.export_events(fx.activity_log(spark, sf), fx.users(spark, sf))
     export.write_export(exported, path, fmt="csv")
-    return spark.read.schema(exported.schema).csv(path, header=True)
+    return spark.read.schema(exported.schema).csv(path, header=True, escape='"')
 
 
 @query

@@ -172,9 +172,10 @@ def test_small_text_functions(spark):
 
 def test_item_lists_are_decoded_in_order(spark):
     df = spark.createDataFrame(
-        [('a:3:{i:0;s:2:"12";i:1;s:1:"5";i:2;i:7;}',), ("a:0:{}",), ("junk",), (None,)], "t string")
+        [('a:3:{i:0;s:2:"12";i:1;s:1:"5";i:2;i:7;}',), ("a:0:{}",), ("junk",), (None,),
+         ('a:1:{i:0;s:30:"123456789012345678901234567890";}',)], "t string")
     out = [r[0] for r in df.select(R.decode_item_list(F.col("t"))).collect()]
-    assert out == [[12, 5, 7], [], [], None]
+    assert out == [[12, 5, 7], [], [], None, [None]]
 
 
 def test_steering_fields_come_from_the_parameters(spark):
