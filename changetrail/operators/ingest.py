@@ -99,3 +99,9 @@ def web_events(requests: DataFrame, tables: Mapping[str, DataFrame],
 def command_events(commands: DataFrame) -> DataFrame:
     """Log rows of the commands people ran."""
     return normalise_commands(admit_commands(commands)).select(*LOG_SCHEMA.fieldNames())
+
+
+def log_events(requests: DataFrame, commands: DataFrame, tables: Mapping[str, DataFrame],
+               settings: Settings = Settings()) -> DataFrame:
+    """Log rows of both sources."""
+    return web_events(requests, tables, settings).unionByName(command_events(commands))

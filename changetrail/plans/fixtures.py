@@ -46,7 +46,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as req_id",
-        "o_custkey as user_id",
+        "case when o_custkey % 11 <> 0 then o_custkey end as user_id",
         """timestamp_ntz '2024-01-01 00:00:00'
            + make_dt_interval(cast(o_orderkey % 28 as int), 0, 0, o_orderkey % 86400)
            as event_time""",

@@ -18,7 +18,8 @@ LOG = """select event_id as id, concat(event_type, '.php') as page, user_id,
 
 USERS = "select c_custkey as id, c_name as username from customer where c_custkey % 7 <> 3"
 
-REQUESTS = f"""select o_orderkey as req_id, o_custkey as user_id,
+REQUESTS = f"""select o_orderkey as req_id, o_custkey as custkey,
+    case when o_custkey % 11 <> 0 then o_custkey else 0 end as user_id,
     timestamp '2024-01-01 00:00:00' + cast(o_orderkey % 28 as integer) * interval 1 day
         + cast(o_orderkey % 86400 as integer) * interval 1 second as event_time,
     concat('/srv/app/', {_pick('o_orderkey % 10', SCRIPTS)}) as script_name,
@@ -151,7 +152,7 @@ EXPORT = f"""select page, user_id, username, action, ip_address, user_agent,
 REQUEST_EXPORT = _requests(f"""
     select page, user_id, username, coalesce(req_action, 'none') as action, ip_address,
     user_agent, {LOG_TIME} as event_time,
-    concat('id:', req_id, '|items:', user_id, '%7|status:', status) as post
+    concat('id:', req_id, '|items:', custkey, '%7|status:', status) as post
     from (select * exclude (req_action, post), case
         when page = 'automation_devices.php' and has_items and code = 2 then 'Delete Device'
         when page = 'automation_devices.php' and has_items and code = 1 then 'Create Device'
@@ -206,7 +207,7 @@ ORACLE: dict[str, str] = {
     "event_attributes": _requests("""
         select req_id as id, 1 as position, 'id' as attribute, cast(req_id as varchar) as value,
             false as wide from requests
-        union all select req_id, 2, 'items', concat(user_id, ',7'), false from requests
+        union all select req_id, 2, 'items', concat(custkey, ',7'), false from requests
         union all select req_id, 3, 'status', status, false from requests"""),
     "event_objects": f"""with events_with_page as ({THREE_PAGES}), {SNAPSHOT}
         select event_id as id, cast(position as integer) as position, record from records""",
@@ -221,7 +222,7 @@ ORACLE: dict[str, str] = {
         where exists (select 1 from orders)""",
     "export_csv": _log(f"""{EXPORT}, replace(replace(replace(post, '{{"', ''), '": ', ':'),
         '}}', '') as post from log left join users on log.user_id = users.id"""),
-    "flatten_post": _requests("""select req_id, concat('id:', req_id, '|items:', user_id,
+    "flatten_post": _requests("""select req_id, concat('id:', req_id, '|items:', custkey,
         '%7|login_password:x|PassPhrase:y|header:false|__csrf_magic:z|status:', status) as flat
         from requests"""),
     "request_fields": f"""with requests as ({REQUESTS}), item_texts as (select event_id,
@@ -232,6 +233,8 @@ ORACLE: dict[str, str] = {
     "admit_requests": _requests(
         "select req_id, script_name, preset as preset_action from admitted"),
     "classify_action": _requests("select req_id, action from classified"),
+    "normalise_requests": _requests("""select req_id as id, page, user_id, action, ip_address,
+        user_agent, event_time, post from classified"""),
     "client_ip": _requests("select req_id, ip_address from requests"),
     "page_name": _requests(
         "select req_id, regexp_replace(script_name, '^.*/', '') as page from requests"),
@@ -242,7 +245,7 @@ ORACLE: dict[str, str] = {
         and req_id not in (select req_id from admitted)"""),
     "redact_params": _requests("""
         select req_id, 'id' as param, concat('"', req_id, '"') as value from requests
-        union all select req_id, 'items', concat('["', user_id, '","7"]') from requests
+        union all select req_id, 'items', concat('["', custkey, '","7"]') from requests
         union all select req_id, 'status', concat('"', status, '"') from requests"""),
     "encode_post": _requests("select req_id, post from requests"),
     "decode_selected_items": f"""with requests as ({REQUESTS})

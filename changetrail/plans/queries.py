@@ -238,6 +238,13 @@ def classify_action(spark, sf):
     return ingest.classify_actions(admitted).select("req_id", "action")
 
 
+@query
+def normalise_requests(spark, sf):
+    """Log rows of admitted requests before their snapshots."""
+    admitted = ingest.admit_requests(fx.raw_requests(spark, sf))
+    return ingest.normalise_requests(admitted).drop("items")
+
+
 @query
 def client_ip(spark, sf):
     return fx.raw_requests(spark, sf).select(
@@ -347,11 +354,10 @@ def _web_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def append_events(spark, sf):
-    """Web requests and command runs; the latter written twice, as after a failure."""
+    """Web requests and command runs appended to a log and read back."""
     store = LogStore(spark, _scratch(spark))
-    store.append(_web_events(spark, sf), "web-0")
-    for _ in range(2):
-        store.append(ingest.command_events(fx.raw_cli(spark, sf)), "cli-0")
+    store.append(ingest.log_events(fx.raw_requests(spark, sf), fx.raw_cli(spark, sf),
+                                   fx.entity_tables(spark, sf)))
     return store.read().select(*LOG_COLUMNS)
 
 
