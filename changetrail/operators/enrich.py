@@ -34,6 +34,10 @@ def decode_device_flags(devices: DataFrame) -> DataFrame:
     return devices.withColumns(device_flag_columns())
 
 
+def _json_list(texts: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
+
+
 def entity_rows(tables: Mapping[str, DataFrame],
                 lookups: Mapping[str, tuple] = fixed.ENTITY_LOOKUPS) -> DataFrame:
     """All dimensions as one table ``(page, item, rows)``, ``rows`` being a JSON list.
@@ -53,11 +57,10 @@ def entity_rows(tables: Mapping[str, DataFrame],
                         {"ignoreNullFields": "false"})
         keyed = source.select(F.col(key).cast("long").alias("item"), row.alias("row"))
         if unique:
-            rows = keyed.select("item", F.concat(F.lit("["), "row", F.lit("]")).alias("rows"))
+            rows = keyed.select("item", _json_list(F.array("row")).alias("rows"))
         else:
-            collected = F.array_join(F.array_sort(F.collect_list("row")), ",")
             rows = keyed.groupBy("item").agg(
-                F.concat(F.lit("["), collected, F.lit("]")).alias("rows"))
+                _json_list(F.sort_array(F.collect_list("row"))).alias("rows"))
         parts.append(rows.select(F.lit(page).alias("page"), "item", "rows"))
     if not parts:
         raise ValueError("no entity table given for any known page")
@@ -74,8 +77,8 @@ def snapshot_objects(events: DataFrame, tables: Mapping[str, DataFrame],
 
     Events without anything to look up (most of them) do not move. For the others only
     ``(id, position, page, item)`` goes through the lookup join, and the event itself moves
-    once, to meet its finished lookups. The group of one event is no larger than its own item
-    list, which is one row of the input already.
+    once, to meet its finished document. The group of one event is no larger than its own item
+    list, which is one row of the input already. Ids must be unique.
     """
     has_lookup = F.coalesce(
         (F.size(items_column) > 0) & F.col("page").isin(*lookups), F.lit(False))
@@ -85,16 +88,10 @@ def snapshot_objects(events: DataFrame, tables: Mapping[str, DataFrame],
     wanted = explode_positions(bulk, [id_column, "page"], F.col(items_column), "item")
     found = join_dimension(wanted, entity_rows(tables, lookups), ["page", "item"],
                            spread_by=id_column, broadcast_limit=broadcast_limit)
-    payload_columns = [name for name in events.columns if name != id_column]
-    payload = bulk.select(id_column, F.struct(*payload_columns).alias("payload"))
     slot = F.struct("position", F.coalesce("rows", F.lit(EMPTY_LIST)).alias("rows"))
-    pieces = payload.unionByName(found.select(id_column, slot.alias("slot")),
-                                 allowMissingColumns=True)
-    slots = F.array_sort(F.collect_list("slot"))
-    finished = (pieces.groupBy(id_column)
-                .agg(F.first("payload", ignorenulls=True).alias("payload"),
-                     F.concat(F.lit("["),
-                              F.array_join(F.transform(slots, lambda s: s["rows"]), ","),
-                              F.lit("]")).alias("object_data"))
-                .select(id_column, "payload.*", "object_data"))
-    return plain.unionByName(finished.select(*plain.columns))
+    in_order = F.sort_array(F.collect_list(slot))["rows"]
+    documents = found.groupBy(id_column).agg(_json_list(in_order).alias("object_data"))
+    # Documents can be far larger than their source suggests to Spark, so never broadcast them.
+    finished = (bulk.join(documents.hint("shuffle_merge"), id_column, "left")
+                .withColumn("object_data", F.coalesce("object_data", F.lit(EMPTY_LIST))))
+    return plain.unionByName(finished)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 128 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
+# Spark's estimate knows neither compression nor how long JSON text gets: trust it only where the
+# limit leaves room for it to be this many times too low.
+ESTIMATE_SLACK = 16
 SALT_BUCKETS = 32
 
 
@@ -21,11 +24,11 @@ def measured_bytes(dimension: DataFrame) -> int:
 
 
 def spark_broadcasts(dimension: DataFrame, limit: int) -> bool:
-    """Whether Spark's own statistics put the dimension within its threshold and ``limit``."""
+    """Whether Spark's own statistics put the dimension well within its threshold and ``limit``."""
     plan = dimension._jdf.queryExecution().optimizedPlan()
     conf = dimension.sparkSession._jsparkSession.sessionState().conf()
     planned = int(plan.stats().sizeInBytes())
-    return planned <= min(conf.autoBroadcastJoinThreshold(), limit)
+    return planned <= min(conf.autoBroadcastJoinThreshold(), limit // ESTIMATE_SLACK)
 
 
 def join_dimension(facts: DataFrame, dimension: DataFrame, on: list[str], spread_by: str,

@@ -61,13 +61,14 @@ def test_a_stored_page_is_fetched_by_day_time_and_id(spark, stored):
     assert "GreaterThanOrEqual(event_time" in text and "PartitionFilters: [isnotnull(event_date" in text
 
 
-def test_snapshots_shuffle_once_when_tables_fit_in_a_broadcast(spark):
+def test_snapshots_shuffle_by_event_only_when_tables_fit_in_a_broadcast(spark):
     events = spark.range(10).selectExpr("id as event_id", "'host.php' as page",
                                         "array(id) as items")
     from changetrail.operators.enrich import snapshot_objects
     tables = {"host": fx.entity_tables(spark, SF_DIR)["host"]}
     text = plan(snapshot_objects(events, tables))
-    assert text.count("Exchange hashpartitioning") == 1
+    assert text.count("Exchange hashpartitioning(event_id") == 2      # events, documents
+    assert text.count("Exchange hashpartitioning") == 2
 
 
 def test_checkpoints_go_where_the_session_says(spark):
