@@ -70,8 +70,8 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Selected items of an event, zero to seven, with repeats and out of order. They come from the
 # event's own row: a list gathered over a group could grow with the data.
-ITEMS = """transform(slice(array(0, 1, 2, 3, 4, 5, 6), 1, cast(o_orderkey % 8 as int)),
-                     p -> o_custkey + (o_orderkey + p * p) % 5)"""
+PLACES = ", ".join(f"o_custkey + (o_orderkey + {place * place}) % 5" for place in range(7))
+ITEMS = f"slice(array({PLACES}), 1, cast(o_orderkey % 8 as int))"
 
 
 def selected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
