@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from changetrail.llm.shipping import ship_code
+
 NO_RANK = np.int32(2**31 - 1)
 HASH_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MATRIX_BYTES = 256
@@ -242,6 +244,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
                      text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: ``key``, ``n_tokens``, ``ids`` (if ``with_ids``), ``ids_sha256`` of
     the ids as little-endian unsigned 32-bit integers, and ``decoded_sha256`` of their bytes."""
+    ship_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     key_type = docs.schema[key].dataType.simpleString()
     schema = (f"`{key}` {key_type}, n_tokens long" + ", ids array<int>" * with_ids
@@ -272,6 +275,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str,
                      key: str = "doc_id") -> DataFrame:
     """``key`` and ``text`` of rows with ``ids``; bytes that are not UTF-8 become U+FFFD."""
+    ship_code(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     key_type = encoded.schema[key].dataType.simpleString()
 

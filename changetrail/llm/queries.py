@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changetrail.llm import byte_bpe
+from changetrail.llm import byte_bpe, near_dedup
 from changetrail.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op2_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"),
