@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changetrail.llm import byte_bpe, near_dedup
+from changetrail.llm import byte_bpe, mixing, near_dedup
 from changetrail.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +32,8 @@ def op5_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"),
                                      public_tokenizers.path(RANKS), public_tokenizers.PATTERN,
                                      with_ids=False)
+
+
+@query
+def op6_mixing(spark, sf_dir):
+    return mixing.training_order(mixing.assign(table(spark, sf_dir, "documents")))
