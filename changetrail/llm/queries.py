@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changetrail.llm import byte_bpe, mixing, near_dedup
+from changetrail.llm import byte_bpe, mixing, near_dedup, toxicity
 from changetrail.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,9 @@ def op5_byte_bpe(spark, sf_dir):
 @query
 def op6_mixing(spark, sf_dir):
     return mixing.training_order(mixing.assign(table(spark, sf_dir, "documents")))
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"),
+                                    table(spark, sf_dir, "labels"))
