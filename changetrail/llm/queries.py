@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changetrail.llm import byte_bpe, mixing, near_dedup, toxicity
+from changetrail.llm import byte_bpe, line_dedup, mixing, near_dedup, toxicity
 from changetrail.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,12 @@ def op6_mixing(spark, sf_dir):
     return mixing.training_order(mixing.assign(table(spark, sf_dir, "documents")))
 
 
+@query
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "text")
+
+
 @query
 def op9_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"),

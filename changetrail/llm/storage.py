@@ -6,8 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +33,8 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_side(frame: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, to be broadcast if its counted rows fit ``BROADCAST_BYTES``."""
+    return F.broadcast(frame) if frame.count() * row_bytes <= BROADCAST_BYTES else frame
