@@ -15,8 +15,9 @@ too, so no link between different texts is lost, but for pairs that can't be lin
 - the sizes of their sets are too different, or
 - their exact distances to the bucket's leader differ by more than the allowed distance (Jaccard
   distance is a metric), or
-- both sets are large and fewer than ``SIGN_AGREE`` of the ``BINS`` low bits of their sketches agree
-  (at a similarity of 0.75 the probability of that is below 2e-6, by Chernoff's bound).
+- both sets are large and their sketches, cut to ``SIGN_PLANES`` bits a coordinate, agree in fewer
+  than ``SIGN_AGREE`` of ``BINS`` coordinates: 4.8 standard deviations below what a similarity of
+  0.75 gives, so a linked pair is missed with a probability of about 1e-6.
 
 Results: null and empty texts, and texts without words, have no shingles, are linked with nothing
 and kept; a text with fewer than five words is one shingle; equal texts are linked; rows that share
@@ -30,22 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changetrail.llm.components import connected_components
 from changetrail.llm.shipping import ship_code
-from changetrail.llm.storage import written
+from changetrail.llm.storage import small_side, written
 from changetrail.llm.text_arrays import column_shingles, mix, ragged
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
 BAND_ROWS, BANDS = 5, 48
-BINS = BAND_ROWS * BANDS
-SIGN_WORDS = 4
-SIGN_BITS = BINS // SIGN_WORDS
-SIGN_AGREE = 180
-SIGN_LEAST_SET = 32
+BINS = 512
+SIGN_PLANES = 4
+SIGN_WORDS = BINS // 64
+SIGN_AGREE = 346
+SIGN_LEAST_SET = 64
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -73,7 +74,7 @@ def sketches(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def band_keys(table: np.ndarray) -> np.ndarray:
     """A 64-bit key per band, its number included."""
-    parts = table.reshape(len(table), BANDS, BAND_ROWS)
+    parts = table[:, :BANDS * BAND_ROWS].reshape(len(table), BANDS, BAND_ROWS)
     keys = np.broadcast_to(mix(np.arange(BANDS, dtype=np.uint64)), parts.shape[:2]).copy()
     for j in range(BAND_ROWS):
         keys = mix(keys ^ parts[:, :, j])
@@ -81,9 +82,23 @@ def band_keys(table: np.ndarray) -> np.ndarray:
 
 
 def low_bits(table: np.ndarray) -> np.ndarray:
-    """One mixed bit per coordinate, SIGN_BITS of them in each of SIGN_WORDS numbers."""
-    bits = (mix(table) & np.uint64(1)).reshape(len(table), SIGN_WORDS, SIGN_BITS)
-    return (bits << np.arange(SIGN_BITS, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+    """SIGN_PLANES mixed bits of every coordinate, plane by plane in SIGN_WORDS numbers each."""
+    mixed = mix(table).reshape(len(table), 1, SIGN_WORDS, 64)
+    planes = (mixed >> np.arange(SIGN_PLANES, dtype=np.uint64)[:, None, None]) & np.uint64(1)
+    packed = (planes << np.arange(64, dtype=np.uint64)).sum(axis=3, dtype=np.uint64)
+    return packed.reshape(len(table), -1).view(np.int64)
+
+
+def agreeing(x: str, y: str) -> Column:
+    """Coordinates in which two columns of ``low_bits`` agree."""
+    agree = F.lit(BINS)
+    for word in range(SIGN_WORDS):
+        differ = F.lit(0).cast("long")
+        for plane in range(SIGN_PLANES):
+            at = plane * SIGN_WORDS + word
+            differ = differ.bitwiseOR(F.col(x)[at].bitwiseXOR(F.col(y)[at]))
+        agree = agree - F.bit_count(differ)
+    return agree
 
 
 def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,9 +134,9 @@ def lists(table: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
 
 def compare_texts(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """``a, b, common, united``: exact sizes over the full shingle sets of every pair's texts."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    needed = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
     texts = written(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-                    .join(needed, "id", "left_semi"), "texts")
+                    .join(small_side(needed, 16), "id", "left_semi"), "texts")
     both = (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .select("a", "b", "text_a", "text_b"))
@@ -141,7 +156,7 @@ def compare_texts(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> Dat
     return both.mapInArrow(compare, "a long, b long, common long, united long")
 
 
-def linked() -> F.Column:
+def linked() -> Column:
     return (DENOMINATOR * F.col("common") >= NUMERATOR * F.col("united")) & (F.col("united") > 0)
 
 
@@ -154,7 +169,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     copies = written(sketched.where("n_shingles > 0").groupBy(*same)
                      .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"))
                      .where("rows > 1").drop("rows"), "copies")
-    members = sketched.join(copies, same, "left").withColumn("rep", F.coalesce("rep", "id"))
+    members = sketched.join(small_side(copies, 48), same, "left").withColumn("rep", F.coalesce("rep", "id"))
     single = F.col("id") == F.col("rep")
     members = written(members.select("id", "n_shingles", "rep",
                                      F.when(single, F.col("bands")).alias("bands"),
@@ -164,12 +179,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     buckets = written(classes.select("id", F.explode("bands").alias("band"))
                       .groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
                       .where("leader <> last").drop("last"), "buckets")
-    filed = written(classes.select("id", F.col("n_shingles").alias("n"), "signs",
-                                   F.explode("bands").alias("band"))
-                    .join(buckets, "band"), "filed")
-    first = written(compare_texts(
-        filed.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-        .distinct(), docs, key, text), "compared")
+    filed = written(classes.select("id", F.explode("bands").alias("band"))
+                    .join(small_side(buckets, 32), "band"), "filed")
+    stars = (filed.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+             .distinct())
+    first = written(compare_texts(written(stars, "stars"), docs, key, text), "compared")
     edges = first.where(linked()).select("a", "b")
     roots = connected_components(edges)
     # Buckets whose classes are still apart.
@@ -183,18 +197,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     split = written(placed.groupBy("band").agg(F.min("component").alias("low"),
                                                F.max("component").alias("high"))
                     .where("low <> high").select("band"), "split")
-    apart = written(placed.join(split, "band"), "apart")
+    apart = placed.join(small_side(split, 24), "band").join(
+        classes.select("id", F.col("n_shingles").alias("n"), "signs"), "id")
+    apart = written(apart, "apart")
     x, y = apart.alias("x"), apart.alias("y")
-    agree = F.lit(BINS)
-    for i in range(SIGN_WORDS):
-        agree = agree - F.bit_count(F.col("x.signs")[i].bitwiseXOR(F.col("y.signs")[i]))
     share = NUMERATOR / DENOMINATOR
     rest = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))
                    & (F.col("x.component") != F.col("y.component"))
                    & (F.col("x.id") != F.col("x.leader"))
                    & (F.least("x.n", "y.n") * DENOMINATOR >= F.greatest("x.n", "y.n") * NUMERATOR)
                    & (F.abs(F.col("x.away") - F.col("y.away")) <= 1 - share + 1e-9)
-                   & ((F.least("x.n", "y.n") < SIGN_LEAST_SET) | (agree >= SIGN_AGREE)))
+                   & ((F.least("x.n", "y.n") < SIGN_LEAST_SET) | (agreeing("x.signs", "y.signs") >= SIGN_AGREE)))
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     second = written(compare_texts(written(rest, "rest"), docs, key, text).where(linked())
                      .select("a", "b"), "more")
