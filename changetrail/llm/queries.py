@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changetrail.llm import byte_bpe, line_dedup, mixing, near_dedup, secret_scan, toxicity
+from changetrail.llm import (byte_bpe, fingerprints, line_dedup, mixing, near_dedup, secret_scan,
+                             toxicity)
 from changetrail.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,11 @@ def op3_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"),
