@@ -111,9 +111,11 @@ def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
                 n = end - begin
                 rows = np.flatnonzero(sizes)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                digest = [np.concatenate([[0], np.cumsum(part, dtype=np.uint64)]).astype(np.uint64)
-                          for part in (values, mix(values ^ np.uint64(0x5851F42D4C957F2D)))]
-                digest = [(part[ends[1:]] - part[ends[:-1]]).view(np.int64) for part in digest]
+                digest = []
+                for part in (values, mix(values ^ np.uint64(0x5851F42D4C957F2D))):
+                    sums = np.zeros(len(part) + 1, dtype=np.uint64)
+                    np.cumsum(part, out=sums[1:])
+                    digest.append((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64))
                 table = sketches(values, sizes[rows])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(begin, n), pa.array(sizes, pa.int64()),
