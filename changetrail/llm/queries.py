@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from changetrail.llm import (byte_bpe, fingerprints, line_dedup, mixing, near_dedup, secret_scan,
-                             toxicity)
+                             substring_dedup, toxicity)
 from changetrail.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,12 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_sentences", "n_removed", "text")
+
+
 @query
 def op2_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
