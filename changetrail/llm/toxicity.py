@@ -2,7 +2,7 @@
 
 Terms are words and their beginnings of four and five letters, so that unseen words of a seen stem
 count. The vocabulary holds the terms that occur with label 1 more often than chance allows
-(chi-square), at most ``TERMS``. Examples are a sample of learned labels, at most ``EXAMPLES`` of
+(chi-square) and at least ``LEAST_LIFT`` times as often as with label 0, at most ``TERMS``. Examples are a sample of learned labels, at most ``EXAMPLES`` of
 each label, by a hash of the id, each text once; vocabulary, vectors of examples and the index are
 bounded by these and are what the driver holds. Document frequencies are counted over all
 documents.
@@ -42,6 +42,7 @@ EXAMPLES = 4000
 TERMS = 4096
 LEAST_DOCS = 3
 LEAST_CHI_SQUARE = 24.0
+LEAST_LIFT = 4.0
 NEIGHBOURS = 15
 BLOCK = 64
 FIRST_BLOCKS = 4
@@ -212,7 +213,7 @@ def vocabulary(examples: DataFrame) -> list[str]:
                .agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")))
     a, n, total = F.col("a").cast("double"), F.col("n").cast("double"), float(ones + zeros)
     chi = total * F.pow(a * zeros - (n - a) * ones, 2) / (ones * zeros * n * (total - n))
-    best = (counted.where((F.col("n") >= LEAST_DOCS) & (n < total) & (a * zeros > (n - a) * ones))
+    best = (counted.where((F.col("n") >= LEAST_DOCS) & (n < total) & (a * zeros >= LEAST_LIFT * (n - a) * ones))
             .withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI_SQUARE)
             .orderBy(F.desc("chi"), "term").limit(TERMS))
     return [row["term"] for row in best.select("term").collect()]
