@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from changetrail.llm import (byte_bpe, fingerprints, line_dedup, mixing, near_dedup, secret_scan,
-                             substring_dedup, toxicity)
+from changetrail.llm import (byte_bpe, fingerprints, license_scan, line_dedup, mixing, near_dedup,
+                             secret_scan, substring_dedup, top_k, toxicity)
 from changetrail.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +67,32 @@ def op8_line_dedup(spark, sf_dir):
 def op9_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"),
                                     table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k.nearest_by_product(vectors, F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op7_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id query_id, c.vec_id,
+    list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+), ordered as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank"
+  from scored
+)
+select query_id, "rank", vec_id, score from ordered where "rank" <= 10
+"""
+
+
+@query
+def op10_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
