@@ -145,18 +145,25 @@ def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return repeats.union(matched).union(more).distinct()
 
 
+def packed(docs: DataFrame, key: str) -> DataFrame:
+    """``row``, the whole row, and ``key`` and ``_id``: no name of ``docs`` can clash with ours."""
+    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
+                       F.col(key).alias("key"))
+    return with_line_order(rows, "key").drop("key")
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with later similar lines taken out of ``text``, and ``n_lines, n_removed``."""
-    numbered = with_line_order(docs, key)
-    gone = removed_lines(numbered.select("_id", text), text)
+    numbered = packed(docs, key)
+    body = F.col(f"row.`{text}`")
+    gone = removed_lines(numbered.select("_id", body.alias("text")))
     by_doc = written(gone.groupBy(F.shiftright("ord", LINE_BITS).alias("_id")).agg(
         F.collect_list(F.col("ord").bitwiseAND(2**LINE_BITS - 1).cast("int")).alias("_gone")), "gone")
     joined = numbered.join(small_side(by_doc, 64), "_id", "left")
-    lines = F.split(text, "\n")
-    kept = let(lines, lambda own: F.transform(
+    kept = let(F.split(body, "\n"), lambda own: F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("_gone")), lambda i: F.get(own, i)))
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text)
-          if name == text else F.col(f"`{name}`") for name in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        *[F.when(F.col("_gone").isNull(), body).otherwise(F.array_join(kept, "\n")).alias(text)
+          if name == text else F.col(f"row.`{name}`").alias(name) for name in docs.columns],
+        F.coalesce(F.size(F.split(body, "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))

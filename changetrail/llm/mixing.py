@@ -148,21 +148,26 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     The one copy of a source that its target cuts keeps its first words; ``n_chars`` follows.
     """
     assigned = assign(docs, key, text, source)
-    chosen = assigned.groupBy(key, "draw").agg(
+    chosen = assigned.groupBy(F.col(key).alias("id"), F.col("draw").alias("chosen_draw")).agg(
         F.flatten(F.collect_list("copies")).alias("copies"), F.first("size").alias("size"))
-    drawn = docs.withColumn("draw", F.xxhash64(key, text))
-    same = drawn[key].eqNullSafe(chosen[key]) & (drawn["draw"] == chosen["draw"])
-    joined = (drawn.join(chosen.where(F.size("copies") > 0), same)
-              .select(*[drawn[name] for name in docs.columns], drawn["draw"], chosen["size"],
-                      chosen["copies"])
-              .dropDuplicates([key, "draw"]))
-    copies = joined.withColumn("_copy", F.explode("copies"))
-    whole = F.col("_copy.words") >= F.col("size")
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORDS_WITH_GAPS), F.lit(0)),
-                                 F.lit(1), F.col("_copy.words").cast("int")), "")
-    copies = copies.withColumn(text, F.when(whole, F.col(text)).otherwise(first))
-    if "n_chars" in docs.columns:
-        length = F.length(text).cast(docs.schema["n_chars"].dataType)
-        copies = copies.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(length))
-    order = [F.col("_copy.position"), F.col(key), F.col("draw")]
-    return copies.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    # The whole row in one column: no name of docs can clash with ours.
+    drawn = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
+                        F.col(key).alias("key"), F.xxhash64(key, text).alias("draw"))
+    same = F.col("key").eqNullSafe(F.col("id")) & (F.col("draw") == F.col("chosen_draw"))
+    joined = drawn.join(chosen.where(F.size("copies") > 0), same).dropDuplicates(["key", "draw"])
+    copies = joined.select("row", "key", "draw", "size", F.explode("copies").alias("copy"))
+    whole = F.col("copy.words") >= F.col("size")
+    body = F.col(f"row.`{text}`")
+    first = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORDS_WITH_GAPS), F.lit(0)),
+                                 F.lit(1), F.col("copy.words").cast("int")), "")
+    order = [F.col("copy.position"), F.col("key"), F.col("draw")]
+    columns = []
+    for name in docs.columns:
+        column = F.col(f"row.`{name}`")
+        if name == text:
+            column = F.when(whole, body).otherwise(first)
+        elif name == "n_chars":
+            length = F.length(first).cast(docs.schema["n_chars"].dataType)
+            column = F.when(whole, column).otherwise(length)
+        columns.append(column.alias(name))
+    return copies.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)

@@ -140,10 +140,10 @@ def train(docs: DataFrame, key: str, text: str) -> list[float] | None:
                       .orderBy(F.xxhash64("run"), "run").limit(SECRET_SAMPLE), "secrets")
     if secrets.isEmpty():
         return None
-    chosen = written(docs.select(F.col(key).alias("id")).distinct().orderBy(F.xxhash64("id"), "id")
-                     .limit(ORDINARY_DOCS), "ordinary")
+    chosen = written(docs.select(F.col(key).alias("_chosen")).distinct()
+                     .orderBy(F.xxhash64("_chosen"), "_chosen").limit(ORDINARY_DOCS), "ordinary")
     # Broadcast: at most ORDINARY_DOCS ids.
-    texts = docs.join(F.broadcast(chosen), F.col(key).eqNullSafe(F.col("id")), "left_semi")
+    texts = docs.join(F.broadcast(chosen), F.col(key).eqNullSafe(F.col("_chosen")), "left_semi")
     rest = F.regexp_replace(body, F.lit(f"{ASSIGN}|{ACCESS}|{HEX}"), F.lit(" "))
     ordinary = texts.select(F.explode(F.regexp_extract_all(
         rest, F.lit(f"{RUNS}{{{ORDINARY_RUN},}}"), F.lit(0))).alias("run"))
@@ -167,8 +167,9 @@ def markov_spans(text: Column, base: Column, ratios: list[float] | None) -> Colu
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per input row ``key, n_assign, n_access, n_hex, n_markov, base_sha256, spans`` and
     ``found``: the spans as an array of (start, kind, end), kinds numbered as in KINDS."""
-    ratios = train(docs, key, text)
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    docs = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    ratios = train(docs, key, "_text")
+    rows = docs
     body = F.col("_text")
     kinds = rows.select(key, "_text", assign_spans(body).alias("_assign"),
                         spans(body, ACCESS, 1).alias("_access"), spans(body, HEX, 2).alias("_hex"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changetrail.llm.line_dedup import with_line_order
+from changetrail.llm.line_dedup import packed
 from changetrail.llm.shipping import ship_code
 from changetrail.llm.storage import small_side, written
 from changetrail.llm.text_arrays import mix, row_chunks, utf8, word_hashes
@@ -73,7 +73,8 @@ def run_hashes(data: np.ndarray, offsets: np.ndarray, run: int = RUN,
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and ``n_sentences, n_removed``."""
     ship_code(docs.sparkSession)
-    numbered = with_line_order(docs, key)
+    numbered = packed(docs, key)
+    body = F.col(f"row.`{text}`").alias("text")
 
     def hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +86,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(place)],
                                                  ["run", "place"])
 
-    runs = numbered.select("_id", text).mapInArrow(hash_runs, "run long, place long")
+    runs = numbered.select("_id", body).mapInArrow(hash_runs, "run long, place long")
     runs = written(runs, "runs")
     again = written(runs.groupBy("run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
                     .where("first < last").drop("last"), "again")
@@ -118,4 +119,5 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
                 [*columns[:at], pa.array(kept, pa.string()), *columns[at + 1:-1],
                  pa.array(sentences, pa.int64()), pa.array(removed, pa.int64())], schema.names)
 
-    return joined.select(*docs.columns, "_gone").mapInArrow(cut, schema)
+    own = [F.col(f"row.`{name}`").alias(name) for name in docs.columns]
+    return joined.select(*own, F.col("_gone").alias("__gone")).mapInArrow(cut, schema)
