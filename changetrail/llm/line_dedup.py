@@ -36,19 +36,26 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def line_words(line: Column) -> Column:
+    """The words of a line in lower case. A split at one plain character needs no regular expression,
+    so only lines with other white space are rewritten first."""
+    own = F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r"))
+    single = F.when(own.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(own, SPACES, " ")).otherwise(own)
+    return F.split(single, " ")
+
+
 def shingles(line: Column) -> Column:
-    """Distinct 32-bit hashes of the runs of WORDS words of a line; of all its words if fewer."""
-    words = F.filter(F.split(F.lower(line), SPACES), lambda w: w != "")
+    """32-bit hashes of the runs of WORDS words of a line; of all its words if fewer."""
     pair = lambda a, b: F.zip_with(a, b, lambda x, y: F.hash(x, y))
 
-    def of_hashes(h: Column) -> Column:
-        n = F.size(h)
-        twos = lambda: pair(F.slice(h, F.lit(1), n - 1), F.slice(h, F.lit(2), n - 1))
-        fours = let(twos(), lambda p: pair(F.slice(p, F.lit(1), n - 3), F.slice(p, F.lit(3), n - 3)))
-        fives = let(fours, lambda q: pair(F.slice(q, F.lit(1), n - 4), F.slice(h, F.lit(5), n - 4)))
-        return F.when(n >= WORDS, fives).when(n > 0, F.array(F.hash(h)))
+    def of_words(w: Column) -> Column:
+        n = F.size(w)
+        twos = pair(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1))
+        fours = let(twos, lambda p: pair(F.slice(p, F.lit(1), n - 3), F.slice(p, F.lit(3), n - 3)))
+        fives = let(fours, lambda q: pair(F.slice(q, F.lit(1), n - 4), F.slice(w, F.lit(5), n - 4)))
+        return F.when(n >= WORDS, fives).otherwise(F.array(F.hash(w)))
 
-    return F.array_distinct(let(F.transform(words, lambda w: F.hash(w)), of_hashes))
+    return let(line_words(line), of_words)
 
 
 def with_line_order(docs: DataFrame, key: str) -> DataFrame:
@@ -77,6 +84,12 @@ def slot_ranks(lines: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
 
 
+def low_half(code: Column) -> Column:
+    """The low 32 bits of a number as a signed one."""
+    low = code.bitwiseAND(2**32 - 1)
+    return F.when(low >= 2**31, low - 2**32).otherwise(low).cast("int")
+
+
 def prefix_size(n: Column) -> Column:
     return F.floor(n / 4).cast("int") + 1
 
@@ -99,23 +112,25 @@ def later_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     both = (pairs.join(sets.select(F.col("ord").alias("a"), F.col("tokens").alias("x")), "a")
             .join(sets.select(F.col("ord").alias("b"), F.col("tokens").alias("y")), "b"))
     common = F.size(F.array_intersect("x", "y"))
-    return (both.select("b", common.alias("common"), (F.size("x") + F.size("y")).alias("total"))
+    sizes = F.size(F.array_distinct("x")) + F.size(F.array_distinct("y"))
+    return (both.select("b", common.alias("common"), sizes.alias("total"))
             .where("common * 4 >= (total - common) * 3").select(F.col("b").alias("ord")).distinct())
 
 
 def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """``ord`` of every line to remove; ``docs`` comes from ``with_line_order``."""
-    split = docs.select("_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    split = (docs.select("_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+             .where(F.col("line").rlike(r"[^\x20\x09-\x0D]")))
     place = F.shiftleft("_id", LINE_BITS) + F.least("line_no", F.lit(2**LINE_BITS - 1))
-    lines = written(split.select(place.alias("ord"), shingles(F.col("line")).alias("tokens"))
-                    .where("size(tokens) > 0"), "lines")
+    lines = written(split.select(place.alias("ord"), shingles(F.col("line")).alias("tokens")), "lines")
     ranks = slot_ranks(lines)
-    code = F.array_sort(F.transform("tokens", lambda t: F.shiftleft(
+    # Rank above token; the order of the codes is rarest first, and the token is the low half.
+    code = F.array_distinct(F.sort_array(F.transform("tokens", lambda t: F.shiftleft(
         F.element_at(ranks, F.pmod(t, F.lit(SLOTS)) + 1).cast("long"), 32)
-        + t.cast("long").bitwiseAND(2**32 - 1)))
-    coded = lines.select("ord", F.size("tokens").alias("n"), code.alias("codes"))
-    coded = written(coded.select("ord", "n", F.xxhash64("codes").alias("same"),
-                                 F.slice("codes", F.lit(1), prefix_size(F.col("n"))).alias("prefix")),
+        + t.cast("long").bitwiseAND(2**32 - 1))))
+    coded = lines.select("ord", code.alias("codes")).withColumn("n", F.size("codes"))
+    first = F.transform(F.slice("codes", F.lit(1), prefix_size(F.col("n"))), low_half)
+    coded = written(coded.select("ord", "n", F.xxhash64("codes").alias("same"), first.alias("prefix")),
                     "coded")
     # Lines with equal tokens: all but the first go.
     firsts = written(coded.groupBy("same", "n").agg(F.min("ord").alias("first"),
