@@ -16,8 +16,9 @@ too, so no link between different texts is lost, but for pairs that can't be lin
 - their exact distances to the bucket's leader differ by more than the allowed distance (Jaccard
   distance is a metric), or
 - both sets are large and their sketches, cut to ``SIGN_PLANES`` bits a coordinate, agree in fewer
-  than ``SIGN_AGREE`` of ``BINS`` coordinates: 4.8 standard deviations below what a similarity of
-  0.75 gives, so a linked pair is missed with a probability of about 1e-6.
+  than ``SIGN_AGREE`` of ``BINS`` coordinates: 4.4 standard deviations below what a similarity of
+  0.75 gives, so such a pair is passed over with a probability of about 5e-6.
+A pair is made in the first of its common buckets only.
 
 Results: null and empty texts, and texts without words, have no shingles, are linked with nothing
 and kept; a text with fewer than five words is one shingle; equal texts are linked; rows that share
@@ -45,7 +46,7 @@ BAND_ROWS, BANDS = 5, 48
 BINS = 512
 SIGN_PLANES = 4
 SIGN_WORDS = BINS // 64
-SIGN_AGREE = 346
+SIGN_AGREE = 350
 SIGN_LEAST_SET = 64
 EMPTY = np.uint64(2**64 - 1)
 
@@ -200,7 +201,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                                                F.max("component").alias("high"))
                     .where("low <> high").select("band"), "split")
     apart = placed.join(small_side(split, 24), "band").join(
-        classes.select("id", F.col("n_shingles").alias("n"), "signs"), "id")
+        classes.select("id", F.col("n_shingles").alias("n"), "signs", "bands"), "id")
     apart = written(apart, "apart")
     x, y = apart.alias("x"), apart.alias("y")
     share = NUMERATOR / DENOMINATOR
@@ -209,7 +210,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                    & (F.col("x.id") != F.col("x.leader"))
                    & (F.least("x.n", "y.n") * DENOMINATOR >= F.greatest("x.n", "y.n") * NUMERATOR)
                    & (F.abs(F.col("x.away") - F.col("y.away")) <= 1 - share + 1e-9)
-                   & ((F.least("x.n", "y.n") < SIGN_LEAST_SET) | (agreeing("x.signs", "y.signs") >= SIGN_AGREE)))
+                   & ((F.least("x.n", "y.n") < SIGN_LEAST_SET) | (agreeing("x.signs", "y.signs") >= SIGN_AGREE))
+                   & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")))
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     second = written(compare_texts(written(rest, "rest"), docs, key, text).where(linked())
                      .select("a", "b"), "more")
