@@ -231,9 +231,11 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     found = written(near_duplicates(docs, key, text), "near")
     gone = found.where("not kept").select(key).distinct()
-    repeated = found.where(F.col(key).isNotNull() & F.col("kept")).groupBy(key).count().where("count > 1")
-    left = docs.join(gone.union(repeated.select(key)), key, "left_anti")
-    again = docs.join(repeated.select(key), key, "left_semi")
+    repeated = written(found.where(F.col(key).isNotNull() & F.col("kept")).groupBy(key).count()
+                       .where("count > 1").select(key), "repeated")
+    other = written(gone.union(repeated), "other")
+    left = docs.join(small_side(other, 16), key, "left_anti")
+    again = docs.join(small_side(repeated, 16), key, "left_semi")
     columns = [F.col(f"row.`{name}`").alias(name) for name in docs.columns]
     first = F.min_by(F.struct(*[F.col(f"`{name}`") for name in docs.columns]), F.struct(text))
     return (left.select(*docs.columns)

@@ -7,6 +7,7 @@ read again as the next one's ``docs``. All stages but the last return the column
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -15,11 +16,28 @@ from pyspark.sql import functions as F
 
 from changetrail.llm import byte_bpe, line_dedup, mixing, near_dedup, toxicity
 from changetrail.llm.queries import RANKS
-from changetrail.llm.storage import small_side, table, written
+from changetrail.llm.storage import Scratch, small_side, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Intermediate tables of the stage before. Its output has been written when the next one begins.
+_last: list[Scratch] = []
 
+
+def stage(function: Stage) -> Stage:
+    """A stage that first deletes the intermediate tables of the stage before it."""
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _last:
+            _last.pop().delete()
+        with Scratch(spark) as scratch:
+            _last.append(scratch)
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without those predicted to be toxic; rows without a doc_id stay."""
     scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
@@ -27,6 +45,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(small_side(toxic, 16), "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without later similar lines; documents of which nothing is left go."""
     cleaned = line_dedup.dedup_lines(docs)
@@ -38,14 +57,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return cleaned.where(~nothing).select(*docs.columns)
 
 
+@stage
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.keep_one_of_each(docs).select(*docs.columns)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -64,7 +86,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, function in STAGES:
+        result = function(spark, docs, sf_dir)
+        with Scratch(spark) as output:
+            docs = written(result, f"stage-{name}")
+        if before is not None:
+            before.delete()
+        before = output
+    while _last:
+        _last.pop().delete()
     return docs
