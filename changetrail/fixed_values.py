@@ -11,7 +11,7 @@ BACKGROUND_SCRIPT_MARKS = ("poller", "cmd.php", "/scripts/", "script_server.php"
 
 # --- fixed values: redaction ---------------------------------------------------------
 TRANSPORT_PARAMS = ("__csrf_magic", "header")
-SECRET_PARAM_PARTS = ("pass", "phrase")       # anywhere in the name, in any case
+SECRET_PARAM_PATTERN = "(?i)pass|phrase"      # anywhere in the name
 
 # --- fixed values: action names ------------------------------------------------------
 ACTION_DELETE = "delete"

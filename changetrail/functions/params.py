@@ -7,8 +7,6 @@ the text ``"[x"`` and an array, which ``map<string,string>`` loses.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,12 +52,8 @@ def parse_params(text: Column) -> Column:
 
 def redact(params: Column) -> Column:
     """Drop transport parameters and every top-level key that smells of a secret."""
-    def is_dropped(key: Column) -> Column:
-        secret = let(F.lower(key), lambda k: reduce(
-            or_, [k.contains(part) for part in fixed.SECRET_PARAM_PARTS]))
-        return secret | key.isin(*fixed.TRANSPORT_PARAMS)
-
-    return F.map_filter(params, lambda key, _: ~is_dropped(key))
+    return F.map_filter(params, lambda key, _: ~(
+        key.rlike(fixed.SECRET_PARAM_PATTERN) | key.isin(*fixed.TRANSPORT_PARAMS)))
 
 
 def encode_params(params: Column) -> Column:
@@ -95,10 +89,11 @@ def flatten_post(post: Column) -> Column:
     return F.array_join(pairs, "|")
 
 
-def sorted_attributes(post: Column, numeric_keys: bool = False) -> Column:
+def sorted_attributes(post: Column, numeric_keys: bool = True) -> Column:
     """Attributes of one event as an array of structs with ``attribute`` and ``value``, by key.
 
-    Byte order by default; with ``numeric_keys`` whole-number keys come first, by value.
+    Whole-number keys come first, by value, then the others in byte order; without
+    ``numeric_keys`` all stand in byte order.
     """
     def attribute(entry: Column) -> Column:
         key = entry["key"]

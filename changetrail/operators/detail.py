@@ -30,7 +30,7 @@ def cli_detail(log: DataFrame) -> DataFrame:
         "action", F.col("post").alias("script"))
 
 
-def event_attributes(log: DataFrame, numeric_keys: bool = False) -> DataFrame:
+def event_attributes(log: DataFrame, numeric_keys: bool = True) -> DataFrame:
     """One row per parameter of each web event, numbered in key order within the event."""
     web = log.filter(F.coalesce(F.col("action") != fixed.ACTION_CLI, F.lit(True)))
     attributes = web.select(

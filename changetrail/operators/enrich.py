@@ -7,9 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changetrail import fixed_values as fixed
 from changetrail.functions.binding import explode_positions
+from changetrail.functions.requests import time_text
 from changetrail.operators.lookups import BROADCAST_LIMIT_BYTES, join_dimension
 
 EMPTY_LIST = "[]"
@@ -38,6 +40,16 @@ def _json_list(texts: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
 
 
+def _as_stored(source: DataFrame, name: str) -> Column:
+    """A column as the log stores it: times as ``yyyy-MM-dd HH:mm:ss``, in UTC if they have a zone."""
+    kind, column = source.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.TimestampType):
+        column = F.convert_timezone(F.current_timezone(), F.lit("UTC"), column.cast("timestamp_ntz"))
+    elif not isinstance(kind, T.TimestampNTZType):
+        return column
+    return time_text(column)
+
+
 def entity_rows(tables: Mapping[str, DataFrame],
                 lookups: Mapping[str, tuple] = fixed.ENTITY_LOOKUPS) -> DataFrame:
     """All dimensions as one table ``(page, item, rows)``, ``rows`` being a JSON list.
@@ -53,7 +65,7 @@ def entity_rows(tables: Mapping[str, DataFrame],
         source = tables[table]
         if page == fixed.DEVICE_PAGE:
             source = decode_device_flags(source)
-        row = F.to_json(F.struct(*[F.col(name).alias(field) for name, field in columns]),
+        row = F.to_json(F.struct(*[_as_stored(source, name).alias(field) for name, field in columns]),
                         {"ignoreNullFields": "false"})
         keyed = source.select(F.col(key).cast("long").alias("item"), row.alias("row"))
         if unique:
@@ -73,7 +85,8 @@ def snapshot_objects(events: DataFrame, tables: Mapping[str, DataFrame],
                      broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Add ``object_data``: per selected item, in order, the list of its rows as JSON.
 
-    A missing entity leaves an empty inner list; no items or an unknown page give ``[]``.
+    A missing entity leaves an empty inner list; no items or an unknown page give ``[]``. An
+    event of a page whose table is not in ``tables`` is an error.
 
     Events without anything to look up (most of them) do not move. For the others only
     ``(id, position, page, item)`` goes through the lookup join, and the event itself moves
@@ -86,6 +99,12 @@ def snapshot_objects(events: DataFrame, tables: Mapping[str, DataFrame],
     bulk = events.filter(has_lookup)
 
     wanted = explode_positions(bulk, [id_column, "page"], F.col(items_column), "item")
+    unread = [page for page, (table, *_) in lookups.items() if table not in tables]
+    if unread:
+        # A table that is not there must not look like entities that are not there.
+        message = F.concat(F.lit("no entity table given for page "), F.col("page"))
+        wanted = wanted.withColumn("item", F.when(F.col("page").isin(*unread), F.raise_error(message)
+                                                  .cast("long")).otherwise(F.col("item")))
     found = join_dimension(wanted, entity_rows(tables, lookups), ["page", "item"],
                            spread_by=id_column, broadcast_limit=broadcast_limit)
     slot = F.struct("position", F.coalesce("rows", F.lit(EMPTY_LIST)).alias("rows"))

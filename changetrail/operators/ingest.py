@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changetrail import fixed_values as fixed
@@ -87,18 +87,25 @@ def split_routes(raw: DataFrame, enabled: bool = True) -> tuple[DataFrame, DataF
     return raw.filter(admitted), raw.filter(~admitted & F.col("argv").isNotNull())
 
 
+def unique_id(source_id: Column, source: int) -> Column:
+    """Id of an event in the log: the two sources number their events apart from one another,
+    so the log keeps even numbers for web requests (0) and odd ones for command runs (1)."""
+    return source_id * 2 + source
+
+
 def web_events(requests: DataFrame, tables: Mapping[str, DataFrame],
                settings: Settings = Settings(), lookups: Mapping[str, tuple] = fixed.ENTITY_LOOKUPS,
                ) -> DataFrame:
     """Log rows of the admitted web requests, with object snapshots."""
     rows = normalise_requests(admit_requests(requests, settings.enabled))
     return (snapshot_objects(rows, tables, lookups, id_column="id")
-            .select(*LOG_SCHEMA.fieldNames()))
+            .withColumn("id", unique_id(F.col("id"), 0)).select(*LOG_SCHEMA.fieldNames()))
 
 
 def command_events(commands: DataFrame) -> DataFrame:
     """Log rows of the commands people ran."""
-    return normalise_commands(admit_commands(commands)).select(*LOG_SCHEMA.fieldNames())
+    rows = normalise_commands(admit_commands(commands))
+    return rows.withColumn("id", unique_id(F.col("id"), 1)).select(*LOG_SCHEMA.fieldNames())
 
 
 def log_events(requests: DataFrame, commands: DataFrame, tables: Mapping[str, DataFrame],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 128 * 1024 * 1024
@@ -31,20 +31,27 @@ def spark_broadcasts(dimension: DataFrame, limit: int) -> bool:
     return planned <= min(conf.autoBroadcastJoinThreshold(), limit // ESTIMATE_SLACK)
 
 
+def may_broadcast(spark: SparkSession) -> bool:
+    """Whether the session allows broadcasts at all: a negative threshold forbids them."""
+    conf = spark._jsparkSession.sessionState().conf()
+    return int(conf.autoBroadcastJoinThreshold()) >= 0
+
+
 def join_dimension(facts: DataFrame, dimension: DataFrame, on: list[str], spread_by: str,
                    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
                    salt_buckets: int = SALT_BUCKETS) -> DataFrame:
     """``facts LEFT JOIN dimension``, keeping every fact row.
 
     A dimension that Spark knows to be small is left to Spark, which broadcasts it. Any other
-    is measured: within ``broadcast_limit`` it is broadcast too, so the facts do not move.
+    is measured: within ``broadcast_limit`` it is broadcast too, so the facts do not move, unless
+    the session forbids broadcasts.
     A larger one is joined by shuffle. One key may hold a third of the facts (the user 0 of
     command runs, a much edited host), so each key is spread over ``salt_buckets`` by the hash
     of ``spread_by``, and the dimension, the smaller side, is repeated once per bucket.
     """
     if spark_broadcasts(dimension, broadcast_limit):
         return facts.join(dimension, on, "left")
-    if measured_bytes(dimension) <= broadcast_limit:
+    if may_broadcast(dimension.sparkSession) and measured_bytes(dimension) <= broadcast_limit:
         return facts.join(F.broadcast(dimension), on, "left")
     salt = F.pmod(F.xxhash64(spread_by), F.lit(salt_buckets)).cast("int")
     repeated = dimension.withColumn(

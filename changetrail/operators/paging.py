@@ -41,11 +41,13 @@ def slice_sorted(df: DataFrame, column: str, descending: bool, offset: int, rows
         return (top.withColumn("_place", place).filter(F.col("_place") > offset)
                 .orderBy("_place").drop("_place"))
     ranks = rank_keys(df, column, descending, id_column)
+    # Not by id alone: an id that another value of the sort column has too is another row.
     wanted = (ranks.filter(F.col("rank").between(offset, offset + rows - 1))
-              .select(id_column, "rank"))
+              .select(F.col(id_column).alias("_id"), F.col(column).alias("_value"), "rank"))
     if rows <= shallow_rows:
         wanted = F.broadcast(wanted)
-    return df.join(wanted, id_column).orderBy("rank").select(*df.columns)
+    same = F.col(id_column).eqNullSafe(F.col("_id")) & F.col(column).eqNullSafe(F.col("_value"))
+    return df.join(wanted, same).orderBy("rank").select(*df.columns)
 
 
 def rank_keys(df: DataFrame, column: str, descending: bool, id_column: str = "id") -> DataFrame:

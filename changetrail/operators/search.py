@@ -20,6 +20,7 @@ from changetrail.settings import Settings
 ALL = -1
 # A page of at most this many rows is fetched by literal keys, which Parquet can skip on.
 LITERAL_KEYS = 1_000
+KEY_COLUMNS = ("id", "event_time", "event_date")
 
 
 def like_pattern(text: str) -> str:
@@ -137,20 +138,17 @@ def list_events(log: DataFrame, users: DataFrame, where: EventFilter = EventFilt
             per_day = count_per_day(hits) if per_day is None else per_day
             days, offset = days_of_slice(per_day, descending, offset, rows)
             hits = hits.filter(_in_days(days))
-        if rows <= LITERAL_KEYS:
-            narrow = {"id", "event_time", "event_date", "user_id", sort_column}
-            keys = rank(hits.select(*[n for n in hits.columns if n in narrow]))
-            page = _fetch(hits, keys.select("id", "event_time", "event_date").collect())
-        else:
-            page = rank(hits)
-    else:
-        page = rank(hits.select(*columns))
-    if sort_column == "username" and "username" in page.columns:
-        named = page.select(*columns, "username")
+    # Only keys are ranked; the wide columns are read for the rows of the page alone.
+    narrow = {"id", "event_time", "event_date", "user_id", sort_column}
+    keys = rank(hits.select(*[n for n in hits.columns if n in narrow])).select(
+        *[n for n in KEY_COLUMNS if n in hits.columns])
+    if "event_date" in log.columns and rows <= LITERAL_KEYS:
+        page = _fetch(hits, keys.collect())
     else:
-        # No hint: the page is small, and Spark holds the users' size against its own threshold.
-        names = users.select(F.col("id").alias("user_id"), "username")
-        named = page.join(names, "user_id", "left").select(*columns, "username")
+        page = _with_keys(hits, F.broadcast(keys) if rows <= shallow_rows else keys)
+    # No hint: the page is small, and Spark holds the users' size against its own threshold.
+    names = users.select(F.col("id").alias("user_id"), "username")
+    named = page.join(names, "user_id", "left").select(*columns, "username")
     return named.orderBy(*sort_order(sort_column, descending))
 
 
@@ -187,10 +185,20 @@ def _in_days(days: list[date | None]) -> Column:
     return dated | F.col("event_date").isNull() if None in days else dated
 
 
+def _with_keys(hits: DataFrame, keys: DataFrame) -> DataFrame:
+    """Exactly the events whose keys are given, NULLs included."""
+    names = keys.columns
+    named = keys.select(*[F.col(n).alias(f"_{n}") for n in names])
+    same = reduce(and_, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])
+    return hits.join(named, same, "left_semi")
+
+
 def _fetch(hits: DataFrame, keys: list[Row]) -> DataFrame:
     """Whole events of one page, by literals on day, time and id that prune files and row groups.
 
-    ``keys`` are those of the page, at most ``LITERAL_KEYS``.
+    ``keys`` are those of the page, at most ``LITERAL_KEYS``. The literals alone would also take
+    another page's event with the id of one row and the day of another, so the keys themselves
+    decide.
     """
     if not keys:
         return hits.filter(F.lit(False))
@@ -201,7 +209,8 @@ def _fetch(hits: DataFrame, keys: list[Row]) -> DataFrame:
         kind = hits.schema["event_time"].dataType
         low, high = (F.lit(str(t)).cast(kind) for t in (min(times), max(times)))
         fetched = fetched.filter(F.col("event_time").between(low, high))
-    return fetched
+    schema = hits.select(*[n for n in KEY_COLUMNS if n in hits.columns]).schema
+    return _with_keys(fetched, F.broadcast(hits.sparkSession.createDataFrame(keys, schema)))
 
 
 def display_view(page: DataFrame) -> DataFrame:

@@ -16,6 +16,11 @@ ITEM_PAGES = ("host.php", "host_templates.php", "templates_export.php",
               "user_admin.php", "user_group_admin.php", "links.php")
 
 
+# The dimensions are whole, so events that miss them get keys beyond all of theirs.
+UNKNOWN_USER = "case when {} % 7 = 3 then 1000000000 else 0 end"
+UNKNOWN_ITEM = "case when ({}) % 10 = 0 then 1000000000 else 0 end"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,7 +35,7 @@ def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "event_id as id",
         "concat(event_type, '.php') as page",
-        "user_id",
+        f"user_id + {UNKNOWN_USER.format('user_id')} as user_id",
         "case when user_id = 0 then 'cli' else event_type end as action",
         "concat('10.0.0.', user_id % 256) as ip_address",
         "concat('agent-', user_id % 7) as user_agent",
@@ -39,14 +44,14 @@ def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (table(spark, sf_dir, "customer").filter("c_custkey % 7 <> 3")
-            .selectExpr("c_custkey as id", "c_name as username"))
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "c_name as username")
 
 
 def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as req_id",
-        "case when o_custkey % 11 <> 0 then o_custkey end as user_id",
+        f"""case when o_custkey % 11 <> 0
+                 then o_custkey + {UNKNOWN_USER.format('o_custkey')} end as user_id""",
         """timestamp_ntz '2024-01-01 00:00:00'
            + make_dt_interval(cast(o_orderkey % 28 as int), 0, 0, o_orderkey % 86400)
            as event_time""",
@@ -70,7 +75,8 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Selected items of an event, zero to seven, with repeats and out of order. They come from the
 # event's own row: a list gathered over a group could grow with the data.
-PLACES = ", ".join(f"o_custkey + (o_orderkey + {place * place}) % 5" for place in range(7))
+KEYS = [f"o_custkey + (o_orderkey + {place * place}) % 5" for place in range(7)]
+PLACES = ", ".join(f"{key} + {UNKNOWN_ITEM.format(key)}" for key in KEYS)
 ITEMS = f"slice(array({PLACES}), 1, cast(o_orderkey % 8 as int))"
 
 
@@ -113,10 +119,8 @@ def web_form_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Entity dimensions; every tenth key is missing."""
-    part = table(spark, sf_dir, "part").filter("p_partkey % 10 <> 0")
-    supplier = table(spark, sf_dir, "supplier").filter("s_suppkey % 10 <> 0")
-    customer = table(spark, sf_dir, "customer").filter("c_custkey % 10 <> 0")
+    """Entity dimensions, over whole tables."""
+    part, supplier, customer = (table(spark, sf_dir, name) for name in ("part", "supplier", "customer"))
     part_names = part.selectExpr("p_partkey as id", "p_name as name")
     return {
         "host": part.selectExpr(

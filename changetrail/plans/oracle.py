@@ -10,16 +10,18 @@ def _pick(index: str, values: tuple[str, ...]) -> str:
     return f"case {index} {cases} end"
 
 
-LOG = """select event_id as id, concat(event_type, '.php') as page, user_id,
-    case when user_id = 0 then 'cli' else event_type end as action,
-    concat('10.0.0.', cast(user_id % 256 as varchar)) as ip_address,
-    concat('agent-', cast(user_id % 7 as varchar)) as user_agent,
+LOG = """select event_id as id, concat(event_type, '.php') as page,
+    events.user_id + case when events.user_id % 7 = 3 then 1000000000 else 0 end as user_id,
+    case when events.user_id = 0 then 'cli' else event_type end as action,
+    concat('10.0.0.', cast(events.user_id % 256 as varchar)) as ip_address,
+    concat('agent-', cast(events.user_id % 7 as varchar)) as user_agent,
     ts as event_time, props as post from events"""
 
-USERS = "select c_custkey as id, c_name as username from customer where c_custkey % 7 <> 3"
+USERS = "select c_custkey as id, c_name as username from customer"
 
 REQUESTS = f"""select o_orderkey as req_id, o_custkey as custkey,
-    case when o_custkey % 11 <> 0 then o_custkey else 0 end as user_id,
+    case when o_custkey % 11 <> 0 then o_custkey
+        + case when o_custkey % 7 = 3 then 1000000000 else 0 end else 0 end as user_id,
     timestamp '2024-01-01 00:00:00' + cast(o_orderkey % 28 as integer) * interval 1 day
         + cast(o_orderkey % 86400 as integer) * interval 1 second as event_time,
     concat('/srv/app/', {_pick('o_orderkey % 10', SCRIPTS)}) as script_name,
@@ -61,7 +63,7 @@ CLI = f"""select * from (select event_id, {_pick('event_id % 6', COMMANDS)} as s
     concat('os-', cast(user_id % 5 as varchar)) as os_user, ts as event_time from events)
     where script = '/a/cli/add.php'"""
 
-CLI_ROWS = """select event_id as id, 'add.php' as page, cast(0 as bigint) as user_id,
+CLI_ROWS = """select event_id * 2 + 1 as id, 'add.php' as page, cast(0 as bigint) as user_id,
     'cli' as action, host_ip as ip_address, os_user as user_agent,
     date_trunc('second', event_time) as event_time,
     concat(script, ' ', arg1, ' ', arg2) as post, cast(null as varchar) as object_data
@@ -71,7 +73,7 @@ CLI_ROWS = """select event_id as id, 'add.php' as page, cast(0 as bigint) as use
 def _rows(page: str, source: str, key: str, fields: str, where: str = "true") -> str:
     return (f"select '{page}' as page, {key} as item, "
             f"cast(json_object({fields}) as varchar) as row_text "
-            f"from {source} where {key} % 10 <> 0 and {where}")
+            f"from {source} where {where}")
 
 
 ENTITY_ROWS = " union all ".join([
@@ -102,9 +104,11 @@ ENTITY_ROWS = " union all ".join([
     _rows("user_group_admin.php", "customer", "c_custkey", "'name', c_mktsegment"),
 ])
 
-ITEMS = """select o_orderkey as event_id, position,
-    o_custkey + (o_orderkey + position * position) % 5 as item
-    from orders, unnest(range(0, o_orderkey % 8)) as places(position)"""
+ITEMS = """select event_id, position,
+    key + case when key % 10 = 0 then 1000000000 else 0 end as item
+    from (select o_orderkey as event_id, position,
+        o_custkey + (o_orderkey + position * position) % 5 as key
+        from orders, unnest(range(0, o_orderkey % 8)) as places(position))"""
 
 # Expects a CTE `events_with_page(event_id, page)`.
 SNAPSHOT = f"""
@@ -129,11 +133,16 @@ SNAPSHOT_RESULT = """select e.event_id, coalesce(o.object_data, '[]') as object_
 WEB_EVENTS = f"""with requests as ({REQUESTS}), admitted as ({ADMITTED}),
 classified as ({CLASSIFIED}),
 events_with_page as (select req_id as event_id, page from admitted where has_items), {SNAPSHOT},
-web as (select c.req_id as id, c.page, c.user_id, c.action, c.ip_address, c.user_agent,
+web as (select c.req_id * 2 as id, c.page, c.user_id, c.action, c.ip_address, c.user_agent,
     c.event_time, c.post, coalesce(o.object_data, '[]') as object_data
     from classified c left join objects o on c.req_id = o.event_id)"""
 
 
+MIXED_PAGES = (("event_time", 30, 3), ("event_time", 1200, 1), ("page", 40, 2), ("username", 600, 1))
+MIXED = f"""{WEB_EVENTS}, cli as ({CLI}), log as (select * from web union all ({CLI_ROWS})),
+users as ({USERS})"""
+
+
 def _log(sql: str) -> str:
     return f"with log as ({LOG}), users as ({USERS}) {sql}"
 
@@ -257,12 +266,22 @@ ORACLE: dict[str, str] = {
     "device_flags": """select p_partkey as id,
         case when p_partkey % 3 = 1 then 'UP' else 'Down' end as snmp,
         case when p_partkey % 2 = 1 then 'Yes' else 'No' end as up
-        from part where p_partkey % 10 <> 0""",
+        from part""",
     "expire_events": _log(
         f"select * from log where event_time >= {CUTOFF} or event_time is null"),
     "purged_count": _log(f"select count(*) as purged from log where event_time < {CUTOFF}"),
     "expire_stored": _log(f"""select *, cast(null as varchar) as object_data from log
         where event_time >= {CUTOFF} or event_time is null"""),
+    "append_after_expire": _log(f"""select *, cast(null as varchar) as object_data from log
+        where event_time >= {CUTOFF} or event_time is null union all
+        select * replace (id + 1000000000 as id), cast(null as varchar) from log"""),
+    "append_after_purge": _log("select *, cast(null as varchar) as object_data from log"),
+    "list_mixed_log": f"{MIXED} " + " union all ".join(
+        f"""select * from (select '{sort} {rows}' as list, log.*, username
+            from log left join users on log.user_id = users.id order by {sort} desc nulls last,
+            log.id desc limit {rows} offset {rows * (page - 1)})"""
+        for sort, rows, page in MIXED_PAGES),
+    "event_by_id_mixed": f"{MIXED} select * from log where id in (1200, 1201)",
     "append_events": f"{WEB_EVENTS}, cli as ({CLI}) select * from web union all ({CLI_ROWS})",
     "ingest_stream": f"{WEB_EVENTS} select * from web",
     "json_log_sink": f"""{WEB_EVENTS} select * exclude (id, event_time),

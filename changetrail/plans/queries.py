@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ REGISTRY: dict[str, Query] = {}
 
 NOW = datetime(2024, 1, 31)
 RETENTION_DAYS = 14
+LATE_IDS = 10**9
+MIXED_PAGES = (("event_time", 30, 3), ("event_time", 1200, 1), ("page", 40, 2), ("username", 600, 1))
 LOG_COLUMNS = LOG_SCHEMA.fieldNames()
 
 
@@ -402,6 +405,51 @@ def purge_all(spark, sf):
                             F.count(F.lit(1)).alias("events_after"))
 
 
+@query
+def append_after_expire(spark, sf):
+    """Older events that arrive after a retention run stay until the next one."""
+    store = _stored_log(spark, sf)
+    store.expire(NOW, RETENTION_DAYS)
+    late = maintain.evolve_schema(fx.activity_log(spark, sf))
+    store.append(late.withColumn("id", F.col("id") + LATE_IDS), batch="late")
+    return store.read().select(*LOG_COLUMNS)
+
+
+@query
+def append_after_purge(spark, sf):
+    """A purge forgets the retention of what it removed."""
+    store = _stored_log(spark, sf)
+    store.expire(NOW, RETENTION_DAYS)
+    store.purge("admin")
+    store.append(maintain.evolve_schema(fx.activity_log(spark, sf)), batch="anew")
+    return store.read().select(*LOG_COLUMNS)
+
+
+def _mixed_log(spark: SparkSession, sf: str) -> LogStore:
+    """A stored log of web requests and command runs, whose source ids overlap."""
+    store = LogStore(spark, _scratch(spark))
+    store.append(ingest.log_events(fx.raw_requests(spark, sf), fx.raw_cli(spark, sf),
+                                   fx.entity_tables(spark, sf)))
+    return store
+
+
+@query
+def list_mixed_log(spark, sf):
+    """Pages below and above the limits at which paging takes another way."""
+    store, users, pages = _mixed_log(spark, sf), fx.users(spark, sf), []
+    for sort, rows, page in MIXED_PAGES:
+        listed = store.list_events(users, rows=rows, page_no=page, sort_column=sort, shallow_rows=500)
+        pages.append(listed.select(F.lit(f"{sort} {rows}").alias("list"), *LOG_COLUMNS, "username"))
+    return reduce(DataFrame.unionByName, pages)
+
+
+@query
+def event_by_id_mixed(spark, sf):
+    """The events of both sources that have the same source id."""
+    log = _mixed_log(spark, sf).read()
+    return search.event_by_id(log, 1200).unionByName(search.event_by_id(log, 1201)).select(*LOG_COLUMNS)
+
+
 @query
 def ensure_log(spark, sf):
     """Ensuring a log that exists leaves its events alone."""

@@ -1,17 +1,17 @@
-"""The stored log: Parquet, split by day, with retention and purge that readers never trip over."""
+"""The stored log: Parquet, split by day, with retention and purge."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Collection
 from dataclasses import dataclass
-from datetime import date, datetime
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changetrail.operators.maintain import (
-    json_log_lines, keep_since, purged_count, retention_cutoff)
+from changetrail.operators.maintain import json_log_lines, purged_count, retention_cutoff
 from changetrail.operators.paging import page_offset
 from changetrail.operators.search import ALL, EventFilter, count_per_day, list_events
 from changetrail.schemas import STORED_SCHEMA
@@ -31,10 +31,11 @@ DAYS_GROWTH = 8
 class LogStore:
     """A log below one folder of any file system Spark can write.
 
-    ``generation=G/event_date=D/batch=B`` holds the events. ``_marks`` holds empty marker files
-    whose names carry the state: the current generation and the time events are kept from. Both
-    only grow and the largest wins, so creating one file is an atomic change. Readers see either
-    the old or the new state, and files are deleted only once no new reader looks at them.
+    ``generation=G/event_date=D/batch=B`` holds the events. ``_marks`` holds small files whose
+    names carry the state: the current generation, and the latest cut of the retention. Both only
+    grow and the largest wins, so creating one file is an atomic change: a reader that opens the
+    log sees either the old or the new state. A DataFrame opened before a retention run or a purge
+    may fail afterwards, as files that it has listed are gone; open the log anew then.
     """
 
     spark: SparkSession
@@ -63,6 +64,24 @@ class LogStore:
         values = [n.split("=", 1)[1] for n in self._names("_marks") if n.startswith(name + "=")]
         return max(values, default=None)
 
+    def _read_text(self, *parts: str) -> str:
+        stream = self._files().open(self._path(*parts))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _write_text(self, text: str, *parts: str) -> None:
+        """A whole new file: written beside its place and then renamed."""
+        beside = self._path("_writing", uuid.uuid4().hex)
+        stream = self._files().create(beside, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        self._files().mkdirs(self._path(*parts).getParent())
+        self._files().rename(beside, self._path(*parts))
+
     def make_folder(self, *parts: str) -> None:
         self._files().mkdirs(self._path(*parts))
 
@@ -72,9 +91,17 @@ class LogStore:
         return int(self._mark("generation") or 0)
 
     @property
-    def kept_from(self) -> datetime | None:
-        mark = self._mark("kept_from")
-        return datetime.strptime(mark, MARK_TIME) if mark else None
+    def cut(self) -> tuple[datetime, list[str]] | None:
+        """The last cut of this generation's retention, and the batches of the cut's day then.
+
+        Only these batches are cut: events appended later are kept until the next run.
+        """
+        name = f"cut-{self.generation:06d}"
+        mark = self._mark(name)
+        if mark is None:
+            return None
+        text = self._read_text("_marks", f"{name}={mark}")
+        return datetime.strptime(mark.partition("-")[0], MARK_TIME), json.loads(text)
 
     @property
     def _generation_folder(self) -> str:
@@ -109,10 +136,7 @@ class LogStore:
 
     def days(self) -> list[date | None]:
         """Days that may hold events, oldest first; events without a time come before all."""
-        kept_from = self.kept_from
-        return sorted((d for d in self._day_folders()
-                       if d is None or kept_from is None or d >= kept_from.date()),
-                      key=lambda d: d or date.min)
+        return sorted(self._day_folders(), key=lambda d: d or date.min)
 
     def read(self, days: Collection[date | None] | None = None) -> DataFrame:
         """The log, with ``event_date`` to prune by; with days given, of these days only.
@@ -126,7 +150,13 @@ class LogStore:
             return self.spark.createDataFrame([], STORED_SCHEMA)
         stored = (self.spark.read.schema(STORED_SCHEMA).option("basePath", self.data_path)
                   .parquet(*[f"{self.data_path}/{folders[day]}" for day in wanted]))
-        return stored if self.kept_from is None else keep_since(stored, self.kept_from)
+        cut = self.cut
+        if cut is None or cut[0].date() not in wanted:
+            return stored
+        limit, batches = cut
+        later = (F.col("event_date") != F.lit(limit.date())) | ~F.col("batch").isin(batches)
+        kept = F.col("event_time") >= F.lit(limit.isoformat(sep=" ")).cast("timestamp_ntz")
+        return stored.filter(F.col("event_date").isNull() | later | kept)
 
     def list_events(self, users: DataFrame, where: EventFilter = EventFilter(), rows: int = ALL,
                     page_no: int = 1, sort_column: str = "event_time",
@@ -173,25 +203,42 @@ class LogStore:
 
     # --- maintenance ------------------------------------------------------------------
     def expire(self, now: datetime, retention_days: int) -> int:
-        """Remove events older than the retention; returns how many.
+        """Remove the events that are older than the retention now; returns how many.
 
-        Readers stop seeing them at once, by the new mark. Whole days before it are then
-        deleted; nothing is rewritten. The day of the cut goes when it has passed altogether.
+        Older days are deleted. Of the day of the cut, a new mark hides the older events of the
+        batches that are there; the files go when the day has passed altogether. Nothing is
+        rewritten. Older events that are appended afterwards stay until the next run.
         """
         cutoff = retention_cutoff(now, retention_days)
         if cutoff is None or not self.exists():
             return 0
         touched = [d for d in self.days() if d is not None and d <= cutoff.date()]
         purged = purged_count(self.read(touched), now, retention_days).first()["purged"]
-        self._set_mark("kept_from", cutoff.strftime(MARK_TIME))
-        for day, name in self._day_folders().items():
+        folders = self._day_folders()
+        if cutoff.date() in folders:
+            batches = [n.partition("=")[2] for n in self._names(
+                self._generation_folder, folders[cutoff.date()]) if n.startswith("batch=")]
+            name, before = f"cut-{self.generation:06d}", self._mark(f"cut-{self.generation:06d}")
+            run = 1 + int(before.partition("-")[2]) if before else 0
+            mark = f"{cutoff.strftime(MARK_TIME)}-{run:09d}"
+            if before is None or mark > before:
+                self._write_text(json.dumps(batches), "_marks", f"{name}={mark}")
+                if before is not None:
+                    self._files().delete(self._path("_marks", f"{name}={before}"), False)
+        for day, name in folders.items():
             if day is not None and day < cutoff.date():
                 self._files().delete(self._path(self._generation_folder, name), True)
         return purged
 
-    def purge(self) -> None:
-        """Remove every event: switch to a new, empty generation, then delete the old ones."""
+    def purge(self, actor: str = "") -> None:
+        """Remove every event: switch to a new, empty generation, then delete the old ones.
+
+        Who purged, and when, is noted; the notes outlive purges. A cut of the retention does not.
+        """
         self.ensure()
+        note = {"actor": actor, "time": datetime.now(UTC).isoformat(timespec="seconds"),
+                "generation": self.generation}
+        self._write_text(json.dumps(note), "_purges", f"{self.generation:06d}-{uuid.uuid4().hex}.json")
         new = self.generation + 1
         self.make_folder(f"generation={new:06d}")
         self._set_mark("generation", f"{new:06d}")
@@ -200,6 +247,11 @@ class LogStore:
                 self._files().delete(self._path(name), True)
 
 
+    def purges(self) -> list[dict]:
+        """The notes of all purges, oldest first."""
+        return [json.loads(self._read_text("_purges", name)) for name in sorted(self._names("_purges"))]
+
+
 def append_json_log(events: DataFrame, settings: Settings, batch: str) -> bool:
     """Feed web events to the JSON-lines log, if it is on, named and there; says whether it was.
 

@@ -57,7 +57,8 @@ def with_request_fields(requests: DataFrame) -> DataFrame:
         "mode_arg": F.col("_steering.mode"),
         "drp_action": F.col("_steering.drp_action"),
         "purge_continue": F.col("_steering.purge_continue").isNotNull(),
-        "has_items": F.col("_steering.selected_items").isNotNull(),
+        # Text that is no list of either form counts as no items.
+        "has_items": decode_item_list(F.col("_steering.selected_items")).isNotNull(),
         "selected_items": decode_item_list(F.col("_steering.selected_items")),
     }
     missing = {name: column for name, column in fields.items() if name not in requests.columns}

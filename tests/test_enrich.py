@@ -51,14 +51,24 @@ def test_snapshots(spark, tables, limit):
         [{"Data_Source_Name": "m", "active": None}],
         [{"Data_Source_Name": "a", "active": ""}, {"Data_Source_Name": "z", "active": "on"}]]
     assert shot("user_admin.php", [None, 1]) == [[], [{"username": "bea"}]]
-    # a known page whose table was not given, an unknown page, and no items
-    assert shot("thold.php", [1, 2]) == [[], []]
+    # a known page whose table was not given must not look like deleted entities
+    with pytest.raises(Exception, match="no entity table given for page thold.php"):
+        shot("thold.php", [1, 2])
+    # an unknown page, and no items
     assert shot("links.php", [1]) == []
     assert shot(None, [1]) == []
     assert shot("host.php", []) == []
     assert shot("host.php", None) == []
 
 
+def test_times_are_stored_as_text_in_utc(spark):
+    table = spark.sql("""select 1L id, timestamp_ntz '2024-01-02 03:04:05.25' local,
+        timestamp '2024-01-02 03:04:05+02:00' zoned, cast(null as timestamp) missing""")
+    lookups = {"x.php": ("x", "id", (("local", "a"), ("zoned", "b"), ("missing", "c")), True)}
+    assert snapshot(spark, {"x": table}, "x.php", [1], lookups=lookups) == [[
+        {"a": "2024-01-02 03:04:05", "b": "2024-01-02 01:04:05", "c": None}]]
+
+
 def test_item_order_is_kept_beyond_ten(spark, tables):
     items = [1, 2] * 15
     got = snapshot(spark, tables, "host.php", items)

@@ -114,7 +114,7 @@ def test_command_rows(spark):
         "event_time timestamp_ntz")
     row = ingest.command_events(df).first()
     assert row.asDict() == {
-        "id": 7, "page": "add.php", "user_id": 0, "action": "cli", "ip_address": "10.0.0.1",
+        "id": 15, "page": "add.php", "user_id": 0, "action": "cli", "ip_address": "10.0.0.1",
         "user_agent": "root", "event_time": TIME.replace(microsecond=0),
         "post": "/opt/cli/add.php --password=x y", "object_data": None}
 
@@ -175,7 +175,10 @@ def test_item_lists_are_decoded_in_order(spark):
         [('a:3:{i:0;s:2:"12";i:1;s:1:"5";i:2;i:7;}',), ("a:0:{}",), ("junk",), (None,),
          ('a:1:{i:0;s:30:"123456789012345678901234567890";}',)], "t string")
     out = [r[0] for r in df.select(R.decode_item_list(F.col("t"))).collect()]
-    assert out == [[12, 5, 7], [], [], None, [None]]
+    assert out == [[12, 5, 7], [], None, None, [None]]
+    df = spark.createDataFrame([('["5","12"]',), ("[7, 1]",), ("[]",), ("5",)], "t string")
+    assert [r[0] for r in df.select(R.decode_item_list(F.col("t"))).collect()] == [
+        [5, 12], [7, 1], [], None]
 
 
 def test_steering_fields_come_from_the_parameters(spark):

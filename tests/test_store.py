@@ -64,7 +64,44 @@ def test_retention_keeps_from_the_cutoff_on(spark, folder):
     assert ids(store.read()) == [*range(32, 60), 1000]
     assert store.days()[:2] == [None, dt.date(2024, 1, 17)]
     assert reader.filter("event_date >= '2024-01-17'").count() > 0
-    assert len([m for m in os.listdir(folder + "/_marks") if m.startswith("kept_from")]) == 1
+    assert len([m for m in os.listdir(folder + "/_marks") if m.startswith("cut-000000=")]) == 1
+
+
+def test_retention_does_not_hide_later_events(spark, folder):
+    store = LogStore(spark, folder)
+    store.append(some_events(spark))
+    store.expire(NOW, 14)
+    late = some_events(spark).withColumn("id", F.col("id") + 5000)
+    store.append(late, "late")
+    assert ids(store.read()) == sorted([*range(32, 60), 1000, *ids(late)])
+    assert store.expire(NOW, 14) == 32               # the next run removes them
+    assert ids(store.read()) == sorted([*range(32, 60), 1000, *range(5032, 5060), 6000])
+
+
+def test_purge_forgets_the_retention_and_notes_who(spark, folder):
+    store = LogStore(spark, folder)
+    store.append(some_events(spark))
+    store.expire(NOW, 14)
+    store.purge("bea")
+    store.append(some_events(spark))
+    assert store.read().count() == 61
+    store.purge()
+    assert [note["actor"] for note in store.purges()] == ["bea", ""]
+
+
+def test_pages_of_a_log_of_both_sources_agree_on_every_path(spark, folder):
+    web = some_events(spark).withColumn("id", F.col("id") * 2)
+    store = LogStore(spark, folder)
+    store.append(web.unionByName(some_events(spark).withColumn("id", F.col("id") * 2 + 1)))
+    users = spark.createDataFrame([(i, f"u{i % 3}") for i in range(5)], "id long, username string")
+    for sort in ("event_time", "page", "username"):
+        whole = [r["id"] for r in store.list_events(users, rows=500, sort_column=sort).collect()]
+        assert len(whole) == len(set(whole)) == 122
+        for options in ({}, {"shallow_rows": 0}):
+            for rows, page in ((7, 3), (30, 2), (2000, 1)):
+                got = [r["id"] for r in store.list_events(users, rows=rows, page_no=page, sort_column=sort,
+                                                          **options).collect()]
+                assert got == whole[rows * (page - 1):rows * page], (sort, options, rows)
 
 
 def test_kept_and_purged_make_up_the_log(spark):
