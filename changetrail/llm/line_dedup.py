@@ -107,8 +107,7 @@ def tokens_left(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
 def later_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """``ord`` of the later lines of those ``pairs(a, b)``, a before b, that are similar."""
     wanted = written(pairs.select(F.col("a").alias("ord")).union(pairs.select("b")).distinct(), "wanted")
-    sets = written(lines.select("ord", "tokens").join(small_side(wanted, 16), "ord", "left_semi")
-                   .dropDuplicates(["ord"]), "sets")
+    sets = written(lines.select("ord", "tokens").join(small_side(wanted, 16), "ord", "left_semi"), "sets")
     both = (pairs.join(sets.select(F.col("ord").alias("a"), F.col("tokens").alias("x")), "a")
             .join(sets.select(F.col("ord").alias("b"), F.col("tokens").alias("y")), "b"))
     common = F.size(F.array_intersect("x", "y"))
