@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 
 from llm_rows import DOCS
 
@@ -48,8 +49,11 @@ def test_base_spans_equal_brute_force(spark):
 
 def test_models_tell_random_from_ordinary(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*DOCS.fieldNames())
+    rnd = random.Random(9)
+    random_text = lambda: "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(40))
     planted = spark.createDataFrame([
-        (10**6, "key Zk3+Qp9vXw7Lr2Tn8YbH4dC0 here, thisisaverylongordinaryidentifier there", None, "s", 1)], DOCS)
+        (10**6, "key Zk3+Qp9vXw7Lr2Tn8YbH4dC0 here, thisisaverylongordinaryidentifier there", None, "s", 1),
+        *[(10**6 + i, f"token={random_text()}", None, "s", 1) for i in range(1, 60)]], DOCS)
     found = {r["doc_id"]: r for r in secret_scan.scan_secrets(table.union(planted)).collect()}
     assert found[10**6]["spans"] == "markov:4:28"
     assert sum(r["n_markov"] for r in found.values()) == 1
