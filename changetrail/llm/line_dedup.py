@@ -46,13 +46,13 @@ def line_words(line: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """32-bit hashes of the runs of WORDS words of a line; of all its words if fewer."""
-    pair = lambda a, b: F.zip_with(a, b, lambda x, y: F.hash(x, y))
-
     def of_words(w: Column) -> Column:
         n = F.size(w)
-        twos = pair(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1))
-        fours = let(twos, lambda p: pair(F.slice(p, F.lit(1), n - 3), F.slice(p, F.lit(3), n - 3)))
-        fives = let(fours, lambda q: pair(F.slice(q, F.lit(1), n - 4), F.slice(w, F.lit(5), n - 4)))
+        twos = F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1),
+                          lambda x, y: F.hash(x, y))
+        fives = let(twos, lambda p: F.transform(
+            F.slice(p, F.lit(1), n - WORDS + 1),
+            lambda x, i: F.hash(x, F.get(p, i + 2), F.get(w, i + WORDS - 1))))
         return F.when(n >= WORDS, fives).otherwise(F.array(F.hash(w)))
 
     return let(line_words(line), of_words)
@@ -71,7 +71,10 @@ def with_line_order(docs: DataFrame, key: str) -> DataFrame:
 
 
 def slot_ranks(lines: DataFrame) -> Column:
-    """An array literal of SLOTS ranks: the place of every slot by the number of its tokens."""
+    """An array literal: the place of every slot by the number of its tokens, times 2^32, plus 2^31.
+
+    A token added to its slot's entry is a code that orders by rank, and by token within a rank.
+    """
     slot = F.pmod(F.col("token"), F.lit(SLOTS))
     counted = (lines.select(F.explode("tokens").alias("token")).groupBy(slot.alias("slot"))
                .agg(F.count(F.lit(1)).alias("n")).collect())  # at most SLOTS rows
@@ -81,13 +84,12 @@ def slot_ranks(lines: DataFrame) -> Column:
     ranks = [0] * SLOTS
     for rank, slot_number in enumerate(sorted(range(SLOTS), key=counts.__getitem__)):
         ranks[slot_number] = rank
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(str((rank << 32) + 2**31) for rank in ranks)), ",").cast("array<bigint>")
 
 
 def low_half(code: Column) -> Column:
-    """The low 32 bits of a number as a signed one."""
-    low = code.bitwiseAND(2**32 - 1)
-    return F.when(low >= 2**31, low - 2**32).otherwise(low).cast("int")
+    """The token of a code."""
+    return (code.bitwiseAND(2**32 - 1) - 2**31).cast("int")
 
 
 def prefix_size(n: Column) -> Column:
@@ -123,10 +125,8 @@ def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     place = F.shiftleft("_id", LINE_BITS) + F.least("line_no", F.lit(2**LINE_BITS - 1))
     lines = written(split.select(place.alias("ord"), shingles(F.col("line")).alias("tokens")), "lines")
     ranks = slot_ranks(lines)
-    # Rank above token; the order of the codes is rarest first, and the token is the low half.
-    code = F.array_distinct(F.sort_array(F.transform("tokens", lambda t: F.shiftleft(
-        F.element_at(ranks, F.pmod(t, F.lit(SLOTS)) + 1).cast("long"), 32)
-        + t.cast("long").bitwiseAND(2**32 - 1))))
+    code = F.array_distinct(F.sort_array(F.transform(
+        "tokens", lambda t: F.get(ranks, F.pmod(t, F.lit(SLOTS))) + t)))
     coded = lines.select("ord", code.alias("codes")).withColumn("n", F.size("codes"))
     first = F.transform(F.slice("codes", F.lit(1), prefix_size(F.col("n"))), low_half)
     coded = written(coded.select("ord", "n", F.xxhash64("codes").alias("same"), first.alias("prefix")),
@@ -144,7 +144,7 @@ def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
                                                    F.count(F.lit(1)).alias("lines"))
                      .where("leader < last"), "shared")
     crowded = written(shared.where("lines > 2").select("token", "leader"), "crowded")
-    filed = written(postings.join(small_side(crowded, 32), "token"), "filed")
+    filed = written(postings.join(small_side(crowded, 16), "token"), "filed")
     pairs = (shared.where("lines = 2").select(F.col("leader").alias("a"), F.col("last").alias("b"))
              .union(filed.where("ord > leader").select("leader", "ord")).distinct())
     matched = written(later_of(written(pairs, "pairs"), lines), "matched")
