@@ -90,7 +90,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     runs = written(runs, "runs")
     again = written(runs.groupBy("run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
                     .where("first < last").drop("last"), "again")
-    later = runs.join(small_side(again, 32), "run").where("place > first")
+    later = runs.join(small_side(again, 16), "run").where("place > first")
     gone = written(later.groupBy(F.shiftright("place", PLACE_BITS).alias("_id")).agg(
         F.collect_set(F.col("place").bitwiseAND(2**PLACE_BITS - 1).cast("int")).alias("_gone")), "gone")
     joined = numbered.join(small_side(gone, 128), "_id", "left")
