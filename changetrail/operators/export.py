@@ -41,6 +41,17 @@ def escape_fields(exported: DataFrame) -> DataFrame:
     return exported.select(*[clean(name) for name in exported.columns])
 
 
+def _write_header(exported: DataFrame, path: str) -> None:
+    """The header as a part file whose name comes before those of Spark's parts."""
+    spark = exported.sparkSession
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-00000-0-header.txt")
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file, False)
+    try:
+        stream.write(bytearray(f"{fixed.EXPORT_HEADER}\n".encode()))
+    finally:
+        stream.close()
+
+
 def write_export(exported: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write an export as a folder of part files, in parallel.
 
@@ -50,8 +61,9 @@ def write_export(exported: DataFrame, path: str, fmt: str = "csv") -> None:
     if fmt == "csv":
         exported.write.mode("errorifexists").csv(path, header=True, quoteAll=True, escape='"')
     elif fmt == "legacy":
-        lines = legacy_lines(exported)
-        header = exported.limit(1).select(F.lit(fixed.EXPORT_HEADER).alias("line"))
-        header.unionAll(lines).write.mode("errorifexists").text(path)
+        legacy_lines(exported).write.mode("errorifexists").text(path)
+        # From what was written: whether there is any event must not take a second run.
+        if not exported.sparkSession.read.text(path).isEmpty():
+            _write_header(exported, path)
     else:
         raise ValueError(f"export format is one of {FORMATS}, not {fmt!r}")

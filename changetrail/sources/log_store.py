@@ -175,13 +175,13 @@ class LogStore:
                    descending: bool) -> tuple[DataFrame, dict[date | None, int]]:
         """The fewest days (up to a factor) that hold ``needed`` matching events, and their counts."""
         days = self.days()[::-1] if descending else self.days()
-        opened = 1
+        opened, counted, per_day = 1, 0, {}
         while True:
-            log = self.read(days[:opened])
-            per_day = count_per_day(where.apply(log))
+            # Days counted before are not counted again.
+            per_day |= count_per_day(where.apply(self.read(days[counted:opened])))
             if opened >= len(days) or sum(per_day.values()) >= needed:
-                return log, per_day
-            opened *= DAYS_GROWTH
+                return self.read(days[:opened]), per_day
+            opened, counted = opened * DAYS_GROWTH, opened
 
     # --- writing ----------------------------------------------------------------------
     def append(self, events: DataFrame, batch: str | None = None, rebalance: bool = True) -> str:
