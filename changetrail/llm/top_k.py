@@ -112,6 +112,12 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
     return out
 
 
+def bucket(seed: int, n: int) -> Column:
+    """A number below ``n`` by hash of the id. Of the type of the numbers in a sequence: the two sides
+    of a cogroup meet by the hash of their keys, and equal numbers of other types hash differently."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+
+
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     values = column.combine_chunks()
     values = values if isinstance(values, pa.ListArray) else pa.concat_arrays(values.chunks)
@@ -131,10 +137,10 @@ def nearest_by_product(vectors: DataFrame, is_query: Column, k: int = K, key: st
     least = -(-total // LEAST_SHARD_ROWS)
     shards = max(1, -(-total // SHARD_ROWS), min(least, spark.sparkContext.defaultParallelism))
     blocks = max(1, -(-asked // BLOCK_ROWS))
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)))
+    placed = rows.withColumn("shard", bucket(1, shards))
     queries = (rows.where("is_query").groupBy("id", "dim").agg(F.min("v").alias("v"))
                .groupBy("id").agg(F.min_by(F.struct("dim", "v"), "dim").alias("q"))
-               .select("id", "q.*").withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks))))
+               .select("id", "q.*").withColumn("block", bucket(2, blocks)))
     queries = written(queries, "queries")
 
     def find(known: pa.Table, asking: pa.Table, floors: list[int | None]) -> pa.Table:

@@ -62,5 +62,21 @@ def test_many_shards_and_blocks(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == brute(rows)
 
 
+def test_groups_meet_in_every_partition(spark, monkeypatch):
+    for name, value in (("SHARD_ROWS", 60), ("BLOCK_ROWS", 4), ("SEED_ROWS", 20)):
+        monkeypatch.setattr(top_k, name, value)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = vectors(1200, 5)
+        found = top_k.nearest_by_product(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0)
+        assert sorted(map(tuple, found.collect())) == brute(rows)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_empty_table(spark):
     assert top_k.nearest_by_product(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 100 == 0).count() == 0
