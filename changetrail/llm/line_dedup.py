@@ -1,8 +1,9 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions.
 
-A line's tokens are its distinct five-word shingles; fewer words are one token. Frequencies of all
-tokens are counted in ``SLOTS`` slots by hash, and the tokens of a line stand in the order of
-their slot's frequency, rarest first. Two lines of Jaccard similarity 0.75 or more share a token
+A line's tokens are its distinct five-word shingles as 64-bit hashes; fewer words are one token.
+Frequencies of all tokens are counted in ``SLOTS`` slots by hash, and the tokens of a line stand in
+the order of their slot's frequency, rarest first. Prefixes hold the low 32 bits of tokens, which
+can only make more candidates; classes of equal lines and similarities are those of the 64 bits. Two lines of Jaccard similarity 0.75 or more share a token
 among the first floor(n / 4) + 1 of each (prefix filter), their sizes differ by a factor of 3/4 at
 most (length filter), and from the place of a shared token on they have enough tokens left
 (positional filter). Lines with all tokens equal are one class from the start.
@@ -45,15 +46,15 @@ def line_words(line: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """32-bit hashes of the runs of WORDS words of a line; of all its words if fewer."""
+    """64-bit hashes of the runs of WORDS words of a line; of all its words if fewer."""
     def of_words(w: Column) -> Column:
         n = F.size(w)
         twos = F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1),
-                          lambda x, y: F.hash(x, y))
+                          lambda x, y: F.xxhash64(x, y))
         fives = let(twos, lambda p: F.transform(
             F.slice(p, F.lit(1), n - WORDS + 1),
-            lambda x, i: F.hash(x, F.get(p, i + 2), F.get(w, i + WORDS - 1))))
-        return F.when(n >= WORDS, fives).otherwise(F.array(F.hash(w)))
+            lambda x, i: F.xxhash64(x, F.get(p, i + 2), F.get(w, i + WORDS - 1))))
+        return F.when(n >= WORDS, fives).otherwise(F.array(F.xxhash64(w)))
 
     return let(line_words(line), of_words)
 
@@ -71,9 +72,10 @@ def with_line_order(docs: DataFrame, key: str) -> DataFrame:
 
 
 def slot_ranks(lines: DataFrame) -> Column:
-    """An array literal: the place of every slot by the number of its tokens, times 2^32, plus 2^31.
+    """An array literal: the place of every slot by the number of its tokens, times 2^32.
 
-    A token added to its slot's entry is a code that orders by rank, and by token within a rank.
+    The low half of a token added to its slot's entry is a code that orders by rank, and by the
+    token's low half within a rank.
     """
     slot = F.pmod(F.col("token"), F.lit(SLOTS))
     counted = (lines.select(F.explode("tokens").alias("token")).groupBy(slot.alias("slot"))
@@ -84,11 +86,11 @@ def slot_ranks(lines: DataFrame) -> Column:
     ranks = [0] * SLOTS
     for rank, slot_number in enumerate(sorted(range(SLOTS), key=counts.__getitem__)):
         ranks[slot_number] = rank
-    return F.split(F.lit(",".join(str((rank << 32) + 2**31) for rank in ranks)), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(str(rank << 32) for rank in ranks)), ",").cast("array<bigint>")
 
 
 def low_half(code: Column) -> Column:
-    """The token of a code."""
+    """The low half of a code's token."""
     return (code.bitwiseAND(2**32 - 1) - 2**31).cast("int")
 
 
@@ -125,11 +127,13 @@ def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     place = F.shiftleft("_id", LINE_BITS) + F.least("line_no", F.lit(2**LINE_BITS - 1))
     lines = written(split.select(place.alias("ord"), shingles(F.col("line")).alias("tokens")), "lines")
     ranks = slot_ranks(lines)
-    code = F.array_distinct(F.sort_array(F.transform(
-        "tokens", lambda t: F.get(ranks, F.pmod(t, F.lit(SLOTS))) + t)))
-    coded = lines.select("ord", code.alias("codes")).withColumn("n", F.size("codes"))
+    # Two tokens of a line may have one code: it counts twice then, as their number does.
+    own = lines.select("ord", F.sort_array(F.array_distinct("tokens")).alias("tokens"))
+    code = F.sort_array(F.transform(
+        "tokens", lambda t: F.get(ranks, F.pmod(t, F.lit(SLOTS))) + t.bitwiseAND(2**32 - 1)))
+    coded = own.select("ord", "tokens", F.size("tokens").alias("n"), code.alias("codes"))
     first = F.transform(F.slice("codes", F.lit(1), prefix_size(F.col("n"))), low_half)
-    coded = written(coded.select("ord", "n", F.xxhash64("codes").alias("same"), first.alias("prefix")),
+    coded = written(coded.select("ord", "n", F.xxhash64("tokens").alias("same"), first.alias("prefix")),
                     "coded")
     # Lines with equal tokens: all but the first go.
     firsts = written(coded.groupBy("same", "n").agg(F.min("ord").alias("first"),

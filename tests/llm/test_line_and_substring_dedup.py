@@ -107,3 +107,15 @@ def test_ids_out_of_range_are_ranked(spark, unique_rows):
     found = {r["doc_id"]: (r["text"], r["n_removed"])
              for r in line_dedup.dedup_lines(spark.createDataFrame(wide, DOCS)).collect()}
     assert found == brute_lines(wide)
+
+
+def test_short_lines_of_one_32_bit_hash_stay(spark):
+    from pyspark.sql import functions as F
+
+    made = spark.range(300000).select(F.concat_ws(" ", F.lit("line"), F.col("id").cast("string")).alias("line"))
+    alike = [r["own"] for r in made.groupBy(F.hash(F.split("line", " "))).agg(
+        F.sort_array(F.collect_list("line")).alias("own")).where(F.size("own") > 1).collect()]
+    assert alike
+    rows = [(i, "\n".join(own[i] for own in alike), None, None, None) for i in (0, 1)]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == {row[0]: row[1] for row in rows}
