@@ -10,9 +10,11 @@ follow from it. Windows and templates that share a band are compared: shingles o
 the window, over those of the template. Containments of ``LEAST_CONTAINMENT`` or more are matches, the
 best window of a template in a text being its place.
 
-No window can match unless it holds an anchor: for each template a word that occurs in so many of
-its shingles that those without it would not be enough. Only texts with an anchor are cut to
-windows; this skips no match. The templates are a fixed list; everything is DataFrame functions.
+No window can match unless it holds an anchor: for each template a word, or several, so that its
+shingles without any of them would not be enough. A text is cut to windows of those template
+lengths only of which it has an anchor; this skips no match. Where the text of one template makes a
+match of another too (versions of one header), only the one held the most stays at that place. The
+templates are a fixed list; everything is DataFrame functions.
 
 Results: null and empty texts have no match; a text with several notices has several; a notice
 repeated in a text counts once; repeated rows are scanned alike; an empty table gives an empty table;
@@ -24,10 +26,11 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Notices by the names under which licences are listed.
+# Notices by the names under which licences are listed. Titles, standard headers and
+# sentences of the texts have entries of their own; none is part of another.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -35,7 +38,91 @@ NOTICES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "MIT-grant": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    "MIT-body": (
+        "to deal in the Software without restriction, including without limitation the rights to use, "
+        "copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so"),
+    "Apache-2.0-header": (
+        "you may not use this file except in compliance with the License. You may obtain a copy of the "
+        "License at http://www.apache.org/licenses/LICENSE-2.0"),
+    "Apache-2.0-title": "Apache License Version 2.0, January 2004",
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the "
+        "GNU General Public License as published by the Free Software Foundation; either version 2 of the "
+        "License, or (at your option) any later version."),
+    "GPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the "
+        "GNU General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version."),
+    "GPL-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the "
+        "GNU Lesser General Public License as published by the Free Software Foundation; either version "
+        "2.1 of the License, or (at your option) any later version."),
+    "LGPL-3.0-header": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the "
+        "GNU Lesser General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version."),
+    "LGPL-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the "
+        "GNU Affero General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version."),
+    "AGPL-3.0-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "BSD-source": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions "
+        "and the following disclaimer."),
+    "BSD-3-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written "
+        "permission."),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+        "fee is hereby granted, provided that the above copyright notice and this permission notice "
+        "appear in all copies."),
+    "MPL-2.0-title": "Mozilla Public License Version 2.0",
+    "EPL-1.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse "
+        "Public License v1.0 which accompanies this distribution, and is available at "
+        "http://www.eclipse.org/legal/epl-v10.html"),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse "
+        "Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Unlicense-body": (
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either "
+        "in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and "
+        "by any means."),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of "
+        "the software and accompanying documentation covered by this license"),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the "
+        "authors be held liable for any damages arising from the use of this software."),
+    "CC0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring "
+        "rights to this work."),
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-4.0-deed": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-deed": (
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC-BY-ND-4.0-deed": (
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International "
+        "License."),
+    "CC-BY-NC-4.0-deed": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International "
+        "License."),
+    "CC-BY-NC-SA-4.0-deed": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+        "International License."),
+    "CC-BY-NC-ND-4.0-deed": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+        "International License."),
 }
 
 WORDS = 5
@@ -60,12 +147,26 @@ def shingle_texts(notice: str) -> list[str]:
     return sorted({" ".join(words[i:i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))})
 
 
-def anchor(notice: str) -> str:
-    """The longest word that all sufficient subsets of the notice's shingles contain."""
+def anchors(notice: str) -> list[str]:
+    """Words of which every sufficient subset of the notice's shingles contains at least one: the
+    longest that does alone, or the longest ones that do together."""
     parts = [set(s.split()) for s in shingle_texts(notice)]
     need = math.ceil(LEAST_CONTAINMENT * len(parts) - 1e-9)
-    fit = [w for w in set().union(*parts) if sum(w not in p for p in parts) < need]
-    return max(fit, key=lambda w: (len(w), w))
+    longest = sorted(set().union(*parts), key=lambda w: (len(w), w), reverse=True)
+    for word in longest:
+        if sum(word not in p for p in parts) < need:
+            return [word]
+    chosen: list[str] = []
+    while sum(p.isdisjoint(chosen) for p in parts) >= need:
+        chosen.append(longest[len(chosen)])
+    return chosen
+
+
+def rivals(notices: dict[str, str]) -> list[str]:
+    """Pairs ``a|b`` of templates where the text of b alone makes a match of a."""
+    own = {name: set(shingle_texts(notice)) for name, notice in notices.items()}
+    return [f"{a}|{b}" for a in own for b in own
+            if a != b and len(own[a] & own[b]) >= LEAST_CONTAINMENT * len(own[a]) - 1e-9]
 
 
 def window_words(n_words: int) -> tuple[int, int]:
@@ -107,31 +208,50 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES, key: str =
     if not notices:
         found = empty
     else:
-        anchors = "|".join(sorted({re.escape(anchor(notice)) for notice in notices.values()}))
+        values = template_values(docs.sparkSession, notices)
+        any_of = lambda names: F.lower(body).rlike("|".join(sorted(
+            {re.escape(word) for name in names for word in anchors(notices[name])})))
         words = F.filter(F.split(F.lower(body), NORMAL), lambda w: w != "")
         by_length: dict[int, list[str]] = {}
         for name, notice in notices.items():
             by_length.setdefault(len(normal_words(notice)), []).append(name)
         parts = lambda shingles: F.concat(*[
-            matches_of_length(shingles, n, {name: notices[name] for name in names})
-            for n, names in sorted(by_length.items())])
-        every = let(let(words, shingle_hashes), parts)
+            F.when(any_of(names), matches_of_length(shingles, n, {name: values[name] for name in names}))
+            .otherwise(empty) for n, names in sorted(by_length.items())])
+        pairs = rivals(notices)
+        reach = window_words(max(by_length))[0]
+        # Of rival templates at one place the one that is held the most.
+        stronger = lambda x, y: (
+            F.array_contains(F.array(*map(F.lit, pairs)), F.concat(x["name"], F.lit("|"), y["name"]))
+            & (y["containment"] > x["containment"]) & (F.abs(y["word"] - x["word"]) < reach))
+        every = let(words, lambda w: let(shingle_hashes(w), parts))
+        if pairs:
+            every = let(every, lambda m: F.filter(m, lambda x: ~F.exists(m, lambda y: stronger(x, y))))
         # Of each template the best window, the first of equal ones.
         best = let(every, lambda m: F.array_sort(F.filter(m, lambda x: ~F.exists(m, lambda y: (
             y["name"] == x["name"]) & ((y["containment"] > x["containment"]) | (
                 (y["containment"] == x["containment"]) & (y["word"] < x["word"])))))))
-        found = F.when(F.lower(body).rlike(anchors), best).otherwise(empty)
+        found = F.when(any_of(notices), best).otherwise(empty)
     scanned = docs.select(F.col(key), found.alias("matches"))
     return scanned.select(key, F.size("matches").cast("long").alias("n_licenses"),
                           F.array_join(F.transform("matches", lambda x: x["name"]), ",").alias("licenses"),
                           "matches")
 
 
-def template_hashes(notice: str) -> Column:
-    return F.array(*[F.xxhash64(F.lit(s)) for s in shingle_texts(notice)])
+def template_values(spark: SparkSession, notices: dict[str, str]) -> dict[str, tuple[list[int], list[int]]]:
+    """Of every template the hashes of its shingles and its sketch."""
+    hashes = lambda notice: F.array(*[F.xxhash64(F.lit(s)) for s in shingle_texts(notice)])
+    row = spark.range(1).select(*[F.struct(
+        hashes(notice).alias("own"), sketch(hashes(notice), bands_needed(len(normal_words(notice)))).alias("bands")
+    ).alias(f"t{i}") for i, notice in enumerate(notices.values())]).first()
+    return {name: (row[i]["own"], row[i]["bands"]) for i, name in enumerate(notices)}
+
+
+def longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(value).cast("long") for value in values])
 
 
-def matches_of_length(shingles: Column, n_words: int, notices: dict[str, str]) -> Column:
+def matches_of_length(shingles: Column, n_words: int, templates: dict[str, tuple[list[int], list[int]]]) -> Column:
     """Matches of templates of one length in the windows of a text's shingles."""
     length, step = window_words(n_words)
     span, bands = max(1, length - WORDS + 1), bands_needed(n_words)
@@ -142,19 +262,19 @@ def matches_of_length(shingles: Column, n_words: int, notices: dict[str, str]) -
     sketched = F.transform(windows, lambda w: F.struct(
         w["word"].alias("word"), w["hashes"].alias("hashes"), sketch(w["hashes"], bands).alias("bands")))
 
-    def of_template(name: str, notice: str):
-        own, size = template_hashes(notice), len(shingle_texts(notice))
+    def of_template(name: str, hashes: list[int], own_bands: list[int]):
+        own = longs(hashes)
 
         def matched(all_windows: Column) -> Column:
             hit = F.filter(all_windows, lambda w: F.exists(
-                F.zip_with(w["bands"], sketch(own, bands), lambda a, b: a == b), lambda same: same))
+                F.zip_with(w["bands"], longs(own_bands), lambda a, b: a == b), lambda same: same))
             scored = F.transform(hit, lambda w: F.struct(
                 F.lit(name).alias("name"),
-                (F.size(F.array_intersect(w["hashes"], own)) / F.lit(float(size))).alias("containment"),
+                (F.size(F.array_intersect(w["hashes"], own)) / F.lit(float(len(hashes)))).alias("containment"),
                 w["word"].alias("word")))
             return F.filter(scored, lambda x: x["containment"] >= LEAST_CONTAINMENT)
 
         return matched
 
-    return let(sketched, lambda w: F.concat(*[of_template(name, notice)(w)
-                                              for name, notice in notices.items()]))
+    return let(sketched, lambda w: F.concat(*[of_template(name, *values)(w)
+                                              for name, values in templates.items()]))

@@ -114,3 +114,33 @@ def test_odd_rows_of_licences(docs, clashing, rows, empty):
     assert sorted(map(str, license_scan.scan_licenses(clashing).collect())) == sorted(map(str, plain))
     assert license_scan.scan_licenses(empty).count() == 0
     assert license_scan.scan_licenses(docs, {"none": " ,. "}).agg({"n_licenses": "sum"}).first()[0] == 0
+
+
+STANDARD = {
+    "GPL-2.0-header": """This program is free software; you can redistribute it and/or
+        modify it under the terms of the GNU General Public License as published by the Free Software
+        Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "GPL-3.0-header": """# This program is free software: you can redistribute it and/or modify
+        # it under the terms of the GNU General Public License as published by
+        # the Free Software Foundation, either version 3 of the License, or
+        # (at your option) any later version.""",
+    "LGPL-2.1-header": """This library is free software; you can redistribute it and/or modify it under
+        the terms of the GNU Lesser General Public License as published by the Free Software Foundation;
+        either version 2.1 of the License, or (at your option) any later version.""",
+    "CC-BY-SA-4.0-deed": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+}
+
+
+def test_standard_headers_are_told_apart(spark):
+    rows = [(i, f"before it {text} after it", None, "s", 1) for i, text in enumerate(STANDARD.values())]
+    rows.append((99, rows[0][1] + " word" * 200 + rows[1][1], None, "s", 1))
+    found = {r["doc_id"]: r["licenses"] for r in
+             license_scan.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == {**dict(enumerate(STANDARD)), 99: "GPL-2.0-header,GPL-3.0-header"}
+
+
+def test_templates_without_a_common_word_are_scanned(spark):
+    notice = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"so {notice} on", None, "s", 1), (2, "w1 w2 w3", None, "s", 1)], DOCS)
+    found = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(docs, {"long": notice}).collect()}
+    assert found == {1: "long", 2: ""}
