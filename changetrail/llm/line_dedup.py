@@ -13,8 +13,8 @@ stays or not. So not all pairs are needed: of the lines with a common prefix tok
 with the earliest first; only lines still unmatched are compared with the other earlier ones.
 
 Results: blank lines, null and empty texts stay as they are; case and the kind of white space
-between words don't matter; rows that repeat a doc_id and text fare alike; rows without a doc_id
-come last; an empty table gives an empty table; other columns are carried by ``dedup_lines``.
+between words don't matter; rows that repeat a doc_id (or lack one) and text fare alike; rows
+without a doc_id come last, by a hash of the text, as do texts of one doc_id among themselves; an empty table gives an empty table; other columns are carried by ``dedup_lines``.
 """
 
 from __future__ import annotations
@@ -59,16 +59,26 @@ def shingles(line: Column) -> Column:
     return let(line_words(line), of_words)
 
 
-def with_line_order(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with ``_id``: a number of ID_BITS bits in the order of ``key``, nulls last."""
+def with_line_order(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """``docs`` with ``_id``: a number of ID_BITS bits in the order of ``key``, nulls last.
+
+    Rows without a key, or of the same key, are ordered by a hash of their text, and only those of
+    the same text share a number.
+    """
     last = 2**ID_BITS - 1
-    low, high = docs.agg(F.min(key), F.max(key)).first()
-    if low is None or (low >= 0 and high < last):
-        return docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(last)))
-    ids = ranked(docs.select(F.col(key).alias("_key")).where("_key is not null").distinct(),
-                 [F.col("_key")], "_id")
-    return (docs.join(ids, docs[key] == ids["_key"], "left").drop("_key")
-            .withColumn("_id", F.coalesce("_id", F.lit(last))))
+    rows = docs.select(F.col(key).alias("_key"))
+    low, high = rows.agg(F.min("_key"), F.max("_key")).first()
+    alone = rows.groupBy("_key").count().where("_key is null or count > 1").isEmpty()
+    if alone and (low is None or (low >= 0 and high <= last)):
+        return docs.withColumn("_id", F.col(key).cast("long"))
+    # Two hashes, as rows without a key may be many.
+    own = docs.withColumns({"_key": F.col(key), "_digest": F.xxhash64(text), "_check": F.xxhash64(text, F.lit(1))})
+    names = ["_key", "_digest", "_check"]
+    ids = ranked(own.select(*names).distinct(),
+                 [F.col("_key").asc_nulls_last(), F.col("_digest"), F.col("_check")], "_id")
+    ids = ids.select(*[F.col(name).alias(f"_of{name}") for name in names], "_id")
+    same = [own[name].eqNullSafe(ids[f"_of{name}"]) for name in names]
+    return own.join(ids, same[0] & same[1] & same[2], "left").select(*docs.columns, "_id")
 
 
 def slot_ranks(lines: DataFrame) -> Column:
@@ -163,16 +173,16 @@ def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return repeats.union(matched).union(more).distinct()
 
 
-def packed(docs: DataFrame, key: str) -> DataFrame:
+def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``row``, the whole row, and ``key`` and ``_id``: no name of ``docs`` can clash with ours."""
     rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
                        F.col(key).alias("key"))
-    return with_line_order(rows, "key").drop("key")
+    return with_line_order(rows, "key", F.col(f"row.`{text}`")).drop("key")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with later similar lines taken out of ``text``, and ``n_lines, n_removed``."""
-    numbered = packed(docs, key)
+    numbered = packed(docs, key, text)
     body = F.col(f"row.`{text}`")
     gone = removed_lines(numbered.select("_id", body.alias("text")))
     by_doc = written(gone.groupBy(F.shiftright("ord", LINE_BITS).alias("_id")).agg(

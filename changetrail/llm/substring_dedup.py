@@ -10,8 +10,8 @@ A run may occur in any share of all documents: its first place is a minimum that
 the shuffle, and only runs that do occur again are joined back.
 
 Results: null and empty texts stay as they are; case and white space don't matter to a run; a run
-that repeats within one document counts too; rows that repeat a doc_id and text fare alike; rows
-without a doc_id come last; an empty table gives an empty table; other columns are carried.
+that repeats within one document counts too; rows that repeat a doc_id (or lack one) and text fare
+alike; rows without a doc_id come last, by a hash of the text, as do texts of one doc_id among themselves; an empty table gives an empty table; other columns are carried.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def run_hashes(data: np.ndarray, offsets: np.ndarray, run: int = RUN,
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and ``n_sentences, n_removed``."""
     ship_code(docs.sparkSession)
-    numbered = packed(docs, key)
+    numbered = packed(docs, key, text)
     body = F.col(f"row.`{text}`").alias("text")
 
     def hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,3 +119,24 @@ def test_short_lines_of_one_32_bit_hash_stay(spark):
     rows = [(i, "\n".join(own[i] for own in alike), None, None, None) for i in (0, 1)]
     found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
     assert found == {row[0]: row[1] for row in rows}
+
+
+def test_texts_without_an_id_or_of_one_id_have_their_own_places(spark):
+    say = lambda name: ". ".join(" ".join(f"{name}{i}x{j}" for j in range(6)) for i in range(4)) + "."
+    shared = "a shared line of seven plain words. and some more of it here. and its end is this.\n"
+    for key in (None, 5):
+        rows = [(key, shared + say(name) + "\n" + say(name + "z"), None, None, None) for name in "abcd"]
+        rows.append((1, shared, None, None, None))
+        docs = spark.createDataFrame(rows, DOCS)
+        for operator in (line_dedup.dedup_lines, substring_dedup.dedup_substrings):
+            found = operator(docs).collect()
+            assert [r["text"] for r in found if r["doc_id"] == 1] == [shared]
+            assert sorted(r["text"].strip() for r in found if r["doc_id"] == key) == [
+                say(name) + "\n" + say(name + "z") for name in "abcd"]
+        # A line that stands at the same place of two of them goes from one; no other text does.
+        twins = [(key, "own first line of " + name + "\n" + shared + "own last line of " + name, None, None, None)
+                 for name in ("north", "south")]
+        lines = [line for r in line_dedup.dedup_lines(spark.createDataFrame(twins, DOCS)).collect()
+                 for line in r["text"].split("\n")]
+        assert sorted(lines) == sorted(["own first line of north", "own first line of south", shared.strip(),
+                                        "own last line of north", "own last line of south"])
