@@ -220,7 +220,7 @@ def vocabulary(examples: DataFrame) -> list[str]:
 
 
 def document_vectors(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
-    """``id, terms, counts`` of every row: the known terms of its whole text."""
+    """``id, terms, counts, digest`` of every row: the known terms of its whole text, and its hash."""
     shared = docs.sparkSession.sparkContext.broadcast({term: i for i, term in enumerate(terms)})
     key_type = docs.schema[key].dataType.simpleString()
 
@@ -242,17 +242,23 @@ def document_vectors(docs: DataFrame, terms: list[str], key: str, text: str) ->
                 own.append(sorted(found.items()))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([[t for t, _ in row] for row in own], pa.list_(pa.int32())),
-                pa.array([[n for _, n in row] for row in own], pa.list_(pa.int32()))],
-                ["id", "terms", "counts"])
+                pa.array([[n for _, n in row] for row in own], pa.list_(pa.int32())), batch.column(2)],
+                ["id", "terms", "counts", "digest"])
 
-    return docs.select(key, text).mapInArrow(
-        vectors, f"id {key_type}, terms array<int>, counts array<int>")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest")).mapInArrow(
+        vectors, f"id {key_type}, terms array<int>, counts array<int>, digest long")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """Per input row ``key, held_out, score, predicted, evidence`` (the nearest examples' ids) and
     ``found_terms`` (the known terms of most weight)."""
+    return scored_texts(docs, labels, key, text).select(
+        F.col("id").alias(key), held_out("id").alias("held_out"), "score", "predicted", "evidence", "found_terms")
+
+
+def scored_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per input row ``id, score, evidence, found_terms, predicted`` and ``digest``, the text's xxhash64."""
     spark = docs.sparkSession
     ship_code(spark)
     learned = written(learned_labels(labels, key), "learned")
@@ -290,10 +296,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
                 strong.append([names[i] for i in numbers[np.argsort(-weights, kind="stable")[:5]]])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())),
-                pa.array(strong, pa.list_(pa.string()))], ["id", "score", "evidence", "found_terms"])
+                pa.array(strong, pa.list_(pa.string())), batch.column(3)],
+                ["id", "score", "evidence", "found_terms", "digest"])
 
     scored = vectors.mapInArrow(
-        score, f"id {key_type}, score double, evidence array<long>, found_terms array<string>")
-    return scored.select(F.col("id").alias(key), held_out("id").alias("held_out"), "score",
-                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
-                         "evidence", "found_terms")
+        score, f"id {key_type}, score double, evidence array<long>, found_terms array<string>, digest long")
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

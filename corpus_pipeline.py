@@ -39,10 +39,11 @@ def stage(function: Stage) -> Stage:
 
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without those predicted to be toxic; rows without a doc_id stay."""
-    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
-    toxic = written(scored.where("predicted = 1").select("doc_id").distinct(), "toxic")
-    return docs.join(small_side(toxic, 16), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without those predicted to be toxic. Scores depend on the text alone, so a hash of it
+    tells rows without a doc_id apart, and rows of one doc_id too."""
+    scored = toxicity.scored_texts(docs, table(spark, sf_dir, "labels"))
+    toxic = written(scored.where("predicted = 1").select("digest").distinct(), "toxic")
+    return docs.join(small_side(toxic, 16), F.xxhash64(docs["text"]) == toxic["digest"], "left_anti").select(*docs.columns)
 
 
 @stage

@@ -60,3 +60,16 @@ def test_empty_tables(spark):
     spark.createDataFrame([], DOCS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_toxic_rows_go_by_their_text(spark):
+    folder = tempfile.mkdtemp(prefix="changetrail-pipeline-")
+    bad = [(1000 + i, "vile grimy kindless " * 3 + f"nasty vile nasty slur{i}", "en", "s1", 9) for i in range(40)]
+    good = [(i, f"plain words about the weather of day{i} and more", "en", "s1", 9) for i in range(40)]
+    docs = spark.createDataFrame([*bad, *good, (None, bad[0][1], None, None, None), (0, bad[1][1], None, None, None),
+                                  (None, good[0][1], None, None, None)], DOCS)
+    spark.createDataFrame([(r[0], 1, int(r[0] >= 1000)) for r in bad + good],
+                          "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    left = corpus_pipeline.drop_toxic(spark, docs, folder).collect()
+    assert sorted(map(str, left)) == sorted(
+        str(r) for r in docs.collect() if "weather" in r["text"])
