@@ -8,10 +8,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-SF_DIR = "/root/testdata/sf0.001"
-TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
-          "pages benchmark labels conversations").split()
-
 
 @pytest.fixture(scope="session")
 def spark():

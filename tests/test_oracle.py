@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SF_DIR, TABLES
+from tables import SF_DIR, TABLES
 
 import __spark_entry__ as driver
 from changetrail.plans.oracle import ORACLE

@@ -4,7 +4,7 @@ import datetime as dt
 from unittest.mock import Mock
 
 import pytest
-from conftest import SF_DIR
+from tables import SF_DIR
 
 import __spark_entry__ as driver
 from changetrail.operators import maintain, search

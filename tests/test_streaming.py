@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import SF_DIR
+from tables import SF_DIR
 from pyspark.sql import functions as F
 
 from changetrail.operators.ingest import command_events, web_events
