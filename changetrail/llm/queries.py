@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changetrail.llm import (byte_bpe, fingerprints, license_scan, line_dedup, mixing, near_dedup,
-                             secret_scan, substring_dedup, top_k, toxicity)
+                             periodic_runs, secret_scan, substring_dedup, top_k, toxicity)
 from changetrail.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,8 @@ select query_id, "rank", vec_id, score from ordered where "rank" <= 10
 @query
 def op10_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.find_runs(table(spark, sf_dir, "documents"), plant=True, with_text=False)
