@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changetrail.llm import (byte_bpe, fingerprints, license_scan, line_dedup, mixing, near_dedup,
-                             periodic_runs, secret_scan, substring_dedup, top_k, toxicity)
+                             ngram_join, periodic_runs, secret_scan, spelling_variants, substring_dedup, top_k, toxicity)
 from changetrail.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,16 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_variants.variants(table(spark, sf_dir, "documents"), plant=True)
+
+
+@query
+def op12_ngram_join(spark, sf_dir):
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_periodic_runs(spark, sf_dir):
     return periodic_runs.find_runs(table(spark, sf_dir, "documents"), plant=True, with_text=False)
