@@ -1,6 +1,6 @@
 """Change-activity log on Spark: record, search, export and expire who changed what."""
 
 from changetrail.settings import Settings
-from changetrail.sources.log_store import LogStore
+from changetrail.sources.log_table import LogTable
 
-__all__ = ["LogStore", "Settings"]
+__all__ = ["LogTable", "Settings"]

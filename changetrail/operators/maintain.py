@@ -25,7 +25,8 @@ def _limit(log: DataFrame, cutoff: datetime) -> Column:
     return F.lit(cutoff.isoformat(sep=" ")).cast(log.schema["event_time"].dataType)
 
 
-def _is_due(log: DataFrame, cutoff: datetime) -> Column:
+def is_due(log: DataFrame, cutoff: datetime) -> Column:
+    """Whether an event is older than the cutoff; NULL for an event without a time."""
     due = F.col("event_time") < _limit(log, cutoff)
     if "event_date" in log.columns:
         due = due & (F.col("event_date") <= F.lit(cutoff.date()))
@@ -53,7 +54,7 @@ def expire_events(log: DataFrame, now: datetime, retention_days: int) -> DataFra
 def purged_count(log: DataFrame, now: datetime, retention_days: int) -> DataFrame:
     """How many events the retention removes."""
     cutoff = retention_cutoff(now, retention_days)
-    due = F.lit(False) if cutoff is None else _is_due(log, cutoff)
+    due = F.lit(False) if cutoff is None else is_due(log, cutoff)
     return log.filter(due).agg(F.count(F.lit(1)).alias("purged"))
 
 

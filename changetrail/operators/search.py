@@ -137,7 +137,7 @@ def list_events(log: DataFrame, users: DataFrame, where: EventFilter = EventFilt
         if sort_column == "event_time":
             per_day = count_per_day(hits) if per_day is None else per_day
             days, offset = days_of_slice(per_day, descending, offset, rows)
-            hits = hits.filter(_in_days(days))
+            hits = hits.filter(in_days(days))
     # Only keys are ranked; the wide columns are read for the rows of the page alone.
     narrow = {"id", "event_time", "event_date", "user_id", sort_column}
     keys = rank(hits.select(*[n for n in hits.columns if n in narrow])).select(
@@ -178,7 +178,8 @@ def days_of_slice(per_day: dict[date | None, int], descending: bool, offset: int
     return days, offset - skipped
 
 
-def _in_days(days: list[date | None]) -> Column:
+def in_days(days: list[date | None]) -> Column:
+    """Whether an event is of one of these days."""
     if not days:
         return F.lit(False)
     dated = F.col("event_date").isin([d for d in days if d is not None])
@@ -202,7 +203,7 @@ def _fetch(hits: DataFrame, keys: list[Row]) -> DataFrame:
     """
     if not keys:
         return hits.filter(F.lit(False))
-    fetched = hits.filter(_in_days(list({k["event_date"] for k in keys}))
+    fetched = hits.filter(in_days(list({k["event_date"] for k in keys}))
                           & F.col("id").isin([k["id"] for k in keys]))
     times = [k["event_time"] for k in keys]
     if None not in times:

@@ -19,7 +19,8 @@ from changetrail.operators.search import EventFilter
 from changetrail.plans import fixtures as fx
 from changetrail.schemas import LOG_SCHEMA, REQUEST_SCHEMA
 from changetrail.settings import Settings
-from changetrail.sources.log_store import LogStore, append_json_log
+from changetrail.sources.files import make_folder
+from changetrail.sources.log_table import LogTable, append_json_log
 from changetrail.sources.readers import read_requests, with_request_fields
 from changetrail.streaming.ingest import ingest_requests
 
@@ -43,11 +44,18 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/changetrail-{uuid.uuid4().hex}"
 
 
-def _stored_log(spark: SparkSession, sf: str) -> LogStore:
-    store = LogStore(spark, _scratch(spark))
-    log = maintain.evolve_schema(fx.activity_log(spark, sf))
-    store.append(log, batch="load")
-    return store
+def _empty_log(spark: SparkSession) -> LogTable:
+    """A log in a database of its own, whose tables lie in the shared folder."""
+    folder = _scratch(spark)
+    database = folder.rpartition("/")[2].replace("-", "_")
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{folder}'")
+    return LogTable(spark, f"{database}.activity_log")
+
+
+def _stored_log(spark: SparkSession, sf: str) -> LogTable:
+    log = _empty_log(spark)
+    log.append(maintain.evolve_schema(fx.activity_log(spark, sf)), batch="load")
+    return log
 
 
 def _request_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -358,7 +366,7 @@ def _web_events(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def append_events(spark, sf):
     """Web requests and command runs appended to a log and read back."""
-    store = LogStore(spark, _scratch(spark))
+    store = _empty_log(spark)
     store.append(ingest.log_events(fx.raw_requests(spark, sf), fx.raw_cli(spark, sf),
                                    fx.entity_tables(spark, sf)))
     return store.read().select(*LOG_COLUMNS)
@@ -371,7 +379,7 @@ def ingest_stream(spark, sf):
         *[F.col(f.name).cast(f.dataType) for f in REQUEST_SCHEMA])
     requests.write.parquet(f"{folder}/raw")
     stream = read_requests(spark, f"{folder}/raw", REQUEST_SCHEMA, stream=True)
-    store = LogStore(spark, f"{folder}/log")
+    store = _empty_log(spark)
     job = ingest_requests(stream, store, lambda: fx.entity_tables(spark, sf),
                           f"{folder}/checkpoint", trigger={"availableNow": True})
     job.awaitTermination()
@@ -382,7 +390,7 @@ def ingest_stream(spark, sf):
 def json_log_sink(spark, sf):
     """The JSON-lines feed, written and parsed back."""
     settings = Settings(json_log_enabled=True, json_log_path=_scratch(spark))
-    LogStore(spark, settings.json_log_path).make_folder()
+    make_folder(spark, settings.json_log_path)
     append_json_log(_web_events(spark, sf), settings, batch="web-0")
     lines = spark.read.text(settings.json_log_path)
     fields = "page string, user_id bigint, action string, ip_address string, " \
@@ -425,9 +433,9 @@ def append_after_purge(spark, sf):
     return store.read().select(*LOG_COLUMNS)
 
 
-def _mixed_log(spark: SparkSession, sf: str) -> LogStore:
+def _mixed_log(spark: SparkSession, sf: str) -> LogTable:
     """A stored log of web requests and command runs, whose source ids overlap."""
-    store = LogStore(spark, _scratch(spark))
+    store = _empty_log(spark)
     store.append(ingest.log_events(fx.raw_requests(spark, sf), fx.raw_cli(spark, sf),
                                    fx.entity_tables(spark, sf)))
     return store
@@ -460,7 +468,7 @@ def ensure_log(spark, sf):
 @query
 def clone_schema(spark, sf):
     store = _stored_log(spark, sf)
-    clone = store.clone_schema(_scratch(spark))
+    clone = store.clone_schema(f"{store.name}_clone")
     columns = len(set(store.read().columns) & set(clone.read().columns))
     return store.read().agg(
         F.count(F.lit(1)).alias("events"), F.lit(clone.read().count()).alias("cloned_events"),

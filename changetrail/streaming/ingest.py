@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from changetrail.operators.ingest import command_events, web_events
 from changetrail.settings import Settings
-from changetrail.sources.log_store import LogStore, append_json_log
+from changetrail.sources.log_table import LogTable, append_json_log
 
 Tables = Mapping[str, DataFrame]
 
@@ -24,7 +24,7 @@ def batch_label(batch: DataFrame, name: str, batch_id: int) -> str:
     return f"{name}-{query or 'batch'}-{batch_id:09d}"
 
 
-def web_batch_writer(store: LogStore, tables: Callable[[], Tables], settings: Settings,
+def web_batch_writer(log: LogTable, tables: Callable[[], Tables], settings: Settings,
                      name: str) -> Callable[[DataFrame, int], None]:
     """Writer of one micro-batch of requests.
 
@@ -36,20 +36,20 @@ def web_batch_writer(store: LogStore, tables: Callable[[], Tables], settings: Se
         batch = batch_label(requests, name, batch_id)
         events = web_events(requests, tables(), settings)
         if not settings.json_log_enabled:
-            store.append(events, batch)
+            log.append(events, batch)
             return
         events = events.persist()          # two sinks, one computation
         try:
-            store.append(events, batch)
+            log.append(events, batch)
             append_json_log(events, settings, batch)
         finally:
             events.unpersist()
     return write
 
 
-def command_batch_writer(store: LogStore, name: str) -> Callable[[DataFrame, int], None]:
+def command_batch_writer(log: LogTable, name: str) -> Callable[[DataFrame, int], None]:
     def write(commands: DataFrame, batch_id: int) -> None:
-        store.append(command_events(commands), batch_label(commands, name, batch_id))
+        log.append(command_events(commands), batch_label(commands, name, batch_id))
     return write
 
 
@@ -59,14 +59,14 @@ def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-def ingest_requests(stream: DataFrame, store: LogStore, tables: Callable[[], Tables],
+def ingest_requests(stream: DataFrame, log: LogTable, tables: Callable[[], Tables],
                     checkpoint: str, settings: Settings = Settings(), name: str = "web",
                     trigger: Mapping = {"processingTime": "5 minutes"}) -> StreamingQuery:
     """Start ingesting a stream of web requests."""
-    return _start(stream, web_batch_writer(store, tables, settings, name), checkpoint, trigger)
+    return _start(stream, web_batch_writer(log, tables, settings, name), checkpoint, trigger)
 
 
-def ingest_commands(stream: DataFrame, store: LogStore, checkpoint: str, name: str = "cli",
+def ingest_commands(stream: DataFrame, log: LogTable, checkpoint: str, name: str = "cli",
                     trigger: Mapping = {"processingTime": "5 minutes"}) -> StreamingQuery:
     """Start ingesting a stream of command runs. They have no JSON feed and no snapshot."""
-    return _start(stream, command_batch_writer(store, name), checkpoint, trigger)
+    return _start(stream, command_batch_writer(log, name), checkpoint, trigger)

@@ -4,14 +4,13 @@ import datetime as dt
 from unittest.mock import Mock
 
 import pytest
-from tables import SF_DIR
+from tables import SF_DIR, new_log
 
 import __spark_entry__ as driver
 from changetrail.operators import maintain, search
 from changetrail.operators.checkpoints import shared_folder
 from changetrail.operators.search import EventFilter
 from changetrail.plans import fixtures as fx
-from changetrail.sources.log_store import LogStore
 
 
 def plan(df):
@@ -20,7 +19,7 @@ def plan(df):
 
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
-    store = LogStore(spark, str(tmp_path_factory.mktemp("plans")))
+    store = new_log(spark, tmp_path_factory.mktemp("plans"))
     store.append(maintain.evolve_schema(fx.activity_log(spark, SF_DIR)))
     return store
 

@@ -4,13 +4,13 @@ import datetime as dt
 import random
 
 import pytest
+from tables import new_log
 
 from changetrail.operators import search
 from changetrail.operators.maintain import evolve_schema
 from changetrail.operators.paging import slice_sorted
 from changetrail.operators.search import EventFilter, days_of_slice, like_pattern, list_events
 from changetrail.schemas import LOG_SCHEMA
-from changetrail.sources.log_store import LogStore
 
 START = dt.datetime(2024, 1, 1)
 
@@ -45,7 +45,7 @@ def users(spark):
 
 @pytest.fixture(scope="module")
 def stored(spark, events, tmp_path_factory):
-    store = LogStore(spark, str(tmp_path_factory.mktemp("log")))
+    store = new_log(spark, tmp_path_factory.mktemp("log"))
     store.append(events[1])
     return store
 

@@ -6,11 +6,14 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from tables import new_log
 
 from changetrail.operators import detail, export, maintain
 from changetrail.schemas import LOG_SCHEMA, STORED_SCHEMA
 from changetrail.settings import Settings
-from changetrail.sources.log_store import LogStore, append_json_log
+from changetrail.sources.files import folder_exists
+from changetrail.sources.log_table import LogTable, append_json_log
 from test_search import log_of
 
 NOW = dt.datetime(2024, 1, 31, 12, 0, 0)
@@ -27,7 +30,7 @@ def ids(df):
 
 
 def test_append_is_idempotent_per_batch(spark, folder):
-    store = LogStore(spark, folder)
+    store = new_log(spark, folder)
     events = some_events(spark)
     store.append(events, "b1")
     store.append(events, "b1")
@@ -39,7 +42,7 @@ def test_append_is_idempotent_per_batch(spark, folder):
 
 
 def test_reading_some_days(spark, folder):
-    store = LogStore(spark, folder)
+    store = new_log(spark, folder)
     store.append(some_events(spark))
     day = dt.date(2024, 1, 3)
     assert ids(store.read([day])) == [3, 4]
@@ -49,26 +52,26 @@ def test_reading_some_days(spark, folder):
 
 
 def test_retention_keeps_from_the_cutoff_on(spark, folder):
-    store = LogStore(spark, folder)
+    store = new_log(spark, folder)
     store.append(some_events(spark))
     assert store.expire(NOW, 0) == 0 and store.expire(NOW, -1) == 0
     assert store.read().count() == 61
-    reader = store.read()
     purged = store.expire(NOW, 14)
     assert purged == 32                              # everything before 17 January, noon
     assert ids(store.read()) == [*range(32, 60), 1000]
-    days = {d for d in os.listdir(store.data_path) if d.startswith("event_date")}
-    assert "event_date=2024-01-16" not in days and "event_date=2024-01-17" in days
+    days = {d for d in os.listdir(folder + "/activity_log") if d.startswith("event_date")}
+    assert all(not os.listdir(f"{folder}/activity_log/{d}") for d in days if "2024-01-16" in d)
     assert store.expire(NOW, 14) == 0                # running it again changes nothing
     assert store.expire(NOW, 90) == 0                # a longer retention brings nothing back
     assert ids(store.read()) == [*range(32, 60), 1000]
     assert store.days()[:2] == [None, dt.date(2024, 1, 17)]
-    assert reader.filter("event_date >= '2024-01-17'").count() > 0
-    assert len([m for m in os.listdir(folder + "/_marks") if m.startswith("cut-000000=")]) == 1
+    # No state beside the events.
+    assert {d for d in os.listdir(folder)} == {"activity_log"}
+    assert not folder_exists(spark, store._staging)
 
 
 def test_retention_does_not_hide_later_events(spark, folder):
-    store = LogStore(spark, folder)
+    store = new_log(spark, folder)
     store.append(some_events(spark))
     store.expire(NOW, 14)
     late = some_events(spark).withColumn("id", F.col("id") + 5000)
@@ -78,20 +81,93 @@ def test_retention_does_not_hide_later_events(spark, folder):
     assert ids(store.read()) == sorted([*range(32, 60), 1000, *range(5032, 5060), 6000])
 
 
+def day_of_the_cut(spark):
+    """Events every hour, in batches of which the cut at noon of 17 January leaves all, some or nothing."""
+    times = [dt.datetime(2024, 1, 16, 18) + dt.timedelta(hours=i) for i in range(36)]
+    events = log_of(spark, [{"id": i, "page": "p", "event_time": t} for i, t in enumerate(times)])
+    kept = [i for i, t in enumerate(times) if t >= dt.datetime(2024, 1, 17, 12)]
+    return events, kept
+
+
+class Killed(Exception):
+    pass
+
+
+def killed(*_):
+    raise Killed
+
+
+@pytest.mark.parametrize("lost", [False, True])
+def test_a_run_killed_between_staging_and_overwrite_is_made_up_for(spark, folder, monkeypatch, lost):
+    store = new_log(spark, folder)
+    events, kept = day_of_the_cut(spark)
+    for name, where in (("early", "id < 12"), ("cut", "id between 12 and 24"), ("late", "id > 24")):
+        store.append(events.filter(where), name)
+    write_back, done = LogTable._write_back, []
+
+    def killed_once_staged(table):
+        if not done:
+            done.append(1)                           # nothing is staged when a run begins
+            return write_back(table)
+        raise Killed
+
+    monkeypatch.setattr(LogTable, "_write_back", killed_once_staged)
+    with pytest.raises(Killed):
+        store.expire(NOW, 14)
+    monkeypatch.undo()
+    assert folder_exists(spark, store._staging)
+    if lost:
+        # As if the overwrite had removed the old files, and had not put the new ones in their place.
+        store._drop([(dt.date(2024, 1, 17), "cut")])
+    store.append(events.filter("id = 13").withColumn("id", F.lit(777)), "meanwhile")
+    again = store.expire(NOW, 14)
+    assert again == 1                                # what came meanwhile; the rest was done
+    assert ids(store.read()) == kept
+    assert not folder_exists(spark, store._staging)
+    assert store.expire(NOW, 14) == 0
+
+
+def test_a_run_killed_while_staging_starts_anew(spark, folder, monkeypatch):
+    store = new_log(spark, folder)
+    events, kept = day_of_the_cut(spark)
+    store.append(events, "b")
+    monkeypatch.setattr(LogTable, "_stage", killed)
+    with pytest.raises(Killed):
+        store.expire(NOW, 14)
+    monkeypatch.undo()
+    # Half a staging: files, but no mark of Spark's that they are all.
+    store.read().limit(1).write.parquet(store._staging)
+    os.remove(store._staging.removeprefix("file:") + "/_SUCCESS")
+    store.expire(NOW, 14)
+    assert ids(store.read()) == kept
+
+
+def test_what_is_staged_does_not_outlive_a_purge(spark, folder, monkeypatch):
+    store = new_log(spark, folder)
+    events, _ = day_of_the_cut(spark)
+    store.append(events, "b")
+    store._stage(store.read())
+    store.purge("bea")
+    store.append(events.filter("id = 30"), "c")
+    store.expire(NOW, 14)
+    assert ids(store.read()) == [30]
+
+
 def test_purge_forgets_the_retention_and_notes_who(spark, folder):
-    store = LogStore(spark, folder)
+    store = new_log(spark, folder)
     store.append(some_events(spark))
     store.expire(NOW, 14)
     store.purge("bea")
     store.append(some_events(spark))
     assert store.read().count() == 61
     store.purge()
-    assert [note["actor"] for note in store.purges()] == ["bea", ""]
+    notes = store.purges().orderBy("purged_at", F.desc("actor")).collect()
+    assert [(note["actor"], note["events"]) for note in notes] == [("bea", 29), ("", 61)]
 
 
 def test_pages_of_a_log_of_both_sources_agree_on_every_path(spark, folder):
     web = some_events(spark).withColumn("id", F.col("id") * 2)
-    store = LogStore(spark, folder)
+    store = new_log(spark, folder)
     store.append(web.unionByName(some_events(spark).withColumn("id", F.col("id") * 2 + 1)))
     users = spark.createDataFrame([(i, f"u{i % 3}") for i in range(5)], "id long, username string")
     for sort in ("event_time", "page", "username"):
@@ -114,37 +190,41 @@ def test_kept_and_purged_make_up_the_log(spark):
 
 
 def test_purge(spark, folder):
-    store = LogStore(spark, folder)
+    store = new_log(spark, folder)
     store.append(some_events(spark), "b")
     store.purge()
     assert store.read().count() == 0 and store.read().columns == STORED_SCHEMA.fieldNames()
-    assert store.generation == 1 and store.exists()
-    assert not os.path.exists(folder + "/generation=000000")
+    assert store.exists() and store.days() == []
     store.append(some_events(spark), "b")
     assert store.read().count() == 61
 
 
 def test_ensure_and_clone(spark, folder):
-    store = LogStore(spark, folder + "/a").ensure()
+    store = new_log(spark, folder).ensure()
     assert store.read().count() == 0
     store.append(some_events(spark))
     assert store.ensure().read().count() == 61
-    clone = store.clone_schema(folder + "/b")
+    clone = store.clone_schema(store.name + "_remote")
     assert clone.read().schema == store.read().schema and clone.read().count() == 0
-    clone.append(some_events(spark).limit(2))
-    assert store.clone_schema(folder + "/b").read().count() == 2
+    clone.append(some_events(spark).filter("id < 2"), "b")
+    clone.append(some_events(spark).filter("id < 2"), "b")   # a clone replaces batches too
+    assert store.clone_schema(clone.name).read().count() == 2
 
 
-def test_files_from_before_a_column_was_added(spark, folder):
-    store = LogStore(spark, folder)
-    old = some_events(spark).drop("object_data").withColumns(
-        {"event_date": F.to_date("event_time"), "batch": F.lit("old")})
-    old.write.partitionBy("event_date", "batch").parquet(store.ensure().data_path, mode="append")
+def test_a_log_from_before_a_column_was_added(spark, folder):
+    store = new_log(spark, folder)
+    old = T.StructType([f for f in LOG_SCHEMA if f.name != "object_data"])
+    store.ensure(old).append(some_events(spark).drop("object_data"), "old")
+    assert "object_data" not in spark.table(store.name).columns
+    assert store.read().filter("object_data is null").count() == 61
     store.append(some_events(spark).withColumn("object_data", F.lit("[]")), "new")
+    assert "object_data" in spark.table(store.name).columns
     by_batch = {r["batch"]: r["n"] for r in store.read().groupBy("batch").agg(
         F.count("object_data").alias("n")).collect()}
     assert by_batch == {"old": 0, "new": 61}
-    assert maintain.evolve_schema(old).columns == LOG_SCHEMA.fieldNames()
+    store.append(some_events(spark).drop("object_data"), "later")
+    assert store.read().count() == 183
+    assert maintain.evolve_schema(some_events(spark).drop("object_data")).columns == LOG_SCHEMA.fieldNames()
 
 
 def test_overlong_values_are_reported_and_kept(spark):

@@ -3,14 +3,14 @@
 import json
 
 import pytest
-from tables import SF_DIR
+from tables import SF_DIR, new_log
 from pyspark.sql import functions as F
 
 from changetrail.operators.ingest import command_events, web_events
 from changetrail.plans import fixtures as fx
 from changetrail.schemas import CLI_SCHEMA, LOG_SCHEMA, REQUEST_SCHEMA
 from changetrail.settings import Settings
-from changetrail.sources.log_store import LogStore
+from changetrail.sources.files import make_folder
 from changetrail.sources.readers import read_commands, read_requests
 from changetrail.streaming.ingest import ingest_commands, ingest_requests, web_batch_writer
 
@@ -32,8 +32,8 @@ def test_stream_equals_batch_across_a_restart(spark, folder, requests):
         return fx.entity_tables(spark, SF_DIR)
 
     settings = Settings(json_log_enabled=True, json_log_path=folder + "/json")
-    store = LogStore(spark, folder + "/log")
-    LogStore(spark, folder + "/json").make_folder()
+    store = new_log(spark, folder + "/log")
+    make_folder(spark, folder + "/json")
 
     def run():
         stream = read_requests(spark, folder + "/raw", REQUEST_SCHEMA, stream=True,
@@ -70,7 +70,7 @@ def test_command_stream(spark, folder):
     commands = fx.raw_cli(spark, SF_DIR).select(
         *[F.col(f.name).cast(f.dataType) for f in CLI_SCHEMA])
     commands.write.parquet(folder + "/raw")
-    store = LogStore(spark, folder + "/log")
+    store = new_log(spark, folder + "/log")
     stream = read_commands(spark, folder + "/raw", stream=True)
     ingest_commands(stream, store, folder + "/checkpoint", trigger=NOW).awaitTermination()
     assert rows(store.read()) == rows(command_events(commands))
