@@ -77,15 +77,6 @@ def classify_action(page: Column, drp_action: Column, has_items: Column, preset:
     return chain.otherwise(F.coalesce(given, req_action, F.lit(fixed.ACTION_NONE)))
 
 
-def decode_item_list(text: Column) -> Column:
-    """Ids out of a JSON list, or of a serialized flat list such as
-    ``a:2:{i:0;s:1:"5";i:1;i:12;}``, in order; NULL for text that is neither."""
-    serialized = F.regexp_extract_all(text, F.lit(r'i:\d+;(?:s:\d+:"|i:)(\d+)"?;'), F.lit(1))
-    ids = (F.when(text.rlike(r"^\s*\["), F.from_json(text, "array<string>"))
-           .when(text.rlike(r"^a:\d+:\{"), serialized))
-    return F.transform(ids, lambda i: i.try_cast("long"))
-
-
 def upper_first(text: Column) -> Column:
     """Only the first letter in upper case; ``initcap`` would change every word."""
     return F.concat(F.upper(F.substring(text, 1, 1)), text.substr(F.lit(2), F.length(text)))

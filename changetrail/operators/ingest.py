@@ -13,23 +13,34 @@ from changetrail.functions import requests as R
 from changetrail.operators.enrich import snapshot_objects
 from changetrail.schemas import LOG_SCHEMA
 from changetrail.settings import Settings
+from changetrail.sources.readers import with_request_fields
 
 
-def admit_requests(requests: DataFrame, enabled: bool = True) -> DataFrame:
-    """Keep requests that can change state; add the ``preset_action`` admission gives them.
+def _is_admitted() -> Column:
+    return R.is_admitted(F.col("script_name"), F.col("req_action"), F.col("mode_arg"),
+                         F.col("has_post"), F.col("purge_continue"))
+
+
+def _is_by_a_person() -> Column:
+    return R.is_foreground_command(F.get("argv", F.lit(0)))
 
-    A ``preset_action`` column of the source (set by the page itself) stands in where admission
-    gives none.
+
+def with_preset_action(requests: DataFrame) -> DataFrame:
+    """Add the action that the rule gives which admits a request.
+
+    A ``preset_action`` column of the source (set by the page itself) stands in where none does.
     """
-    if not enabled:
-        requests = requests.filter(F.lit(False))
-    admitted = requests.filter(R.is_admitted(
-        F.col("script_name"), F.col("req_action"), F.col("mode_arg"), F.col("has_post"),
-        F.col("purge_continue")))
     preset = R.preset_action(F.col("script_name"), F.col("mode_arg"), F.col("has_post"))
     if "preset_action" in requests.columns:
         preset = F.coalesce(preset, F.col("preset_action"))
-    return admitted.withColumn("preset_action", preset)
+    return requests.withColumn("preset_action", preset)
+
+
+def admit_requests(requests: DataFrame, enabled: bool = True) -> DataFrame:
+    """Keep requests that can change state; add the ``preset_action`` admission gives them."""
+    if not enabled:
+        requests = requests.filter(F.lit(False))
+    return with_preset_action(requests.filter(_is_admitted()))
 
 
 def classify_actions(admitted: DataFrame) -> DataFrame:
@@ -39,41 +50,55 @@ def classify_actions(admitted: DataFrame) -> DataFrame:
         F.col("preset_action"), F.col("req_action")))
 
 
-def normalise_requests(admitted: DataFrame) -> DataFrame:
-    """Admitted requests as log rows, still carrying their ``items`` for the snapshot."""
-    time = F.col("event_time") if "event_time" in admitted.columns else R.utc_now()
-    no_items = F.array().cast("array<bigint>")
-    return classify_actions(admitted).select(
-        F.col("req_id").alias("id"),
+NO_ITEMS = "array<bigint>"
+
+
+def _time(source: DataFrame) -> Column:
+    return R.whole_seconds(F.col("event_time") if "event_time" in source.columns else R.utc_now())
+
+
+def _request_row(source: DataFrame) -> list[Column]:
+    """Columns of a web event, of a source that has its ``action``."""
+    none = F.array().cast(NO_ITEMS)
+    return [
+        F.col("req_id").cast("long").alias("id"),
         R.page_name(F.col("script_name")).alias("page"),
         F.coalesce("user_id", F.lit(0)).cast("long").alias("user_id"),
-        "action",
+        F.col("action"),
         R.client_ip(F.col("xff"), F.col("http_xff"), F.col("remote_addr")).alias("ip_address"),
-        "user_agent",
-        R.whole_seconds(time).alias("event_time"),
+        F.col("user_agent"),
+        _time(source).alias("event_time"),
         P.encode_params(P.redact(P.parse_params(F.col("params")))).alias("post"),
-        F.when(F.col("has_items"), F.coalesce("selected_items", no_items))
-         .otherwise(no_items).alias("items"))
-
-
-def admit_commands(commands: DataFrame) -> DataFrame:
-    """Keep commands a person ran. The setting for web requests does not apply to them."""
-    return commands.filter(R.is_foreground_command(F.get("argv", F.lit(0))))
+        F.when(F.col("has_items"), F.coalesce("selected_items", none)).otherwise(none).alias("items")]
 
 
-def normalise_commands(commands: DataFrame) -> DataFrame:
-    """Command runs as log rows. The command text is not redacted and has no snapshot."""
-    time = F.col("event_time") if "event_time" in commands.columns else R.utc_now()
-    return commands.select(
-        F.col("event_id").alias("id"),
+def _command_row(source: DataFrame, id_column: str) -> list[Column]:
+    """Columns of a command event. The command text is not redacted."""
+    return [
+        F.col(id_column).cast("long").alias("id"),
         R.page_name(F.get("argv", F.lit(0))).alias("page"),
         F.lit(0).cast("long").alias("user_id"),
         F.lit(fixed.ACTION_CLI).alias("action"),
         F.col("host_ip").alias("ip_address"),
         F.col("os_user").alias("user_agent"),
-        R.whole_seconds(time).alias("event_time"),
-        F.array_join("argv", " ", "").alias("post"),
-        F.lit(None).cast("string").alias("object_data"))
+        _time(source).alias("event_time"),
+        F.array_join("argv", " ", "").alias("post")]
+
+
+def normalise_requests(admitted: DataFrame) -> DataFrame:
+    """Admitted requests as log rows, still carrying their ``items`` for the snapshot."""
+    return classify_actions(admitted).select(*_request_row(admitted))
+
+
+def admit_commands(commands: DataFrame) -> DataFrame:
+    """Keep commands a person ran. The setting for web requests does not apply to them."""
+    return commands.filter(_is_by_a_person())
+
+
+def normalise_commands(commands: DataFrame) -> DataFrame:
+    """Command runs as log rows. They have no snapshot."""
+    return commands.select(*_command_row(commands, "event_id"),
+                           F.lit(None).cast("string").alias("object_data"))
 
 
 def split_routes(raw: DataFrame, enabled: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -81,12 +106,35 @@ def split_routes(raw: DataFrame, enabled: bool = True) -> tuple[DataFrame, DataF
 
     A command is considered only where the request part was not admitted.
     """
-    admitted = F.lit(enabled) & R.is_admitted(
-        F.col("script_name"), F.col("req_action"), F.col("mode_arg"), F.col("has_post"),
-        F.col("purge_continue"))
+    admitted = F.lit(enabled) & _is_admitted()
     return raw.filter(admitted), raw.filter(~admitted & F.col("argv").isNotNull())
 
 
+def routed_rows(raw: DataFrame, enabled: bool = True) -> DataFrame:
+    """Raw records (``RAW_SCHEMA``) as log rows of both kinds, with ``items`` and ``is_web``.
+
+    One pass: each record takes the web route if its request is admitted, else the command route if
+    it has an ``argv`` that a person ran, else none. Works on streams too.
+    """
+    fields = classify_actions(with_preset_action(with_request_fields(raw)))
+    admitted = F.lit(enabled) & _is_admitted()
+    none = F.array().cast(NO_ITEMS).alias("items")
+    web = F.struct(*_request_row(fields), F.lit(True).alias("is_web"))
+    command = F.struct(*_command_row(fields, "req_id"), none, F.lit(False).alias("is_web"))
+    route = F.when(admitted, web).when(F.col("argv").isNotNull() & _is_by_a_person(), command)
+    return (fields.select(route.alias("event")).filter(F.col("event").isNotNull()).select("event.*")
+            .withColumn("id", F.when(F.col("is_web"), unique_id(F.col("id"), 0))
+                        .otherwise(unique_id(F.col("id"), 1))))
+
+
+def routed_events(raw: DataFrame, tables: Mapping[str, DataFrame], settings: Settings = Settings(),
+                  lookups: Mapping[str, tuple] = fixed.ENTITY_LOOKUPS) -> DataFrame:
+    """Log rows of raw records of both kinds, with the object snapshots of the web ones."""
+    snapshots = snapshot_objects(routed_rows(raw, settings.enabled), tables, lookups, id_column="id")
+    return (snapshots.withColumn("object_data", F.when(F.col("is_web"), F.col("object_data")))
+            .select(*LOG_SCHEMA.fieldNames()))
+
+
 def unique_id(source_id: Column, source: int) -> Column:
     """Id of an event in the log: the two sources number their events apart from one another,
     so the log keeps even numbers for web requests (0) and odd ones for command runs (1)."""
@@ -96,8 +144,11 @@ def unique_id(source_id: Column, source: int) -> Column:
 def web_events(requests: DataFrame, tables: Mapping[str, DataFrame],
                settings: Settings = Settings(), lookups: Mapping[str, tuple] = fixed.ENTITY_LOOKUPS,
                ) -> DataFrame:
-    """Log rows of the admitted web requests, with object snapshots."""
-    rows = normalise_requests(admit_requests(requests, settings.enabled))
+    """Log rows of the admitted web requests, with object snapshots.
+
+    Parameters that steer admission are taken out of ``params`` unless the source has them as columns.
+    """
+    rows = normalise_requests(admit_requests(with_request_fields(requests), settings.enabled))
     return (snapshot_objects(rows, tables, lookups, id_column="id")
             .withColumn("id", unique_id(F.col("id"), 0)).select(*LOG_SCHEMA.fieldNames()))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changetrail.schemas import RAW_SCHEMA, WEB_REQUEST_SCHEMA
+
 SCRIPTS = ("host.php", "automation_devices.php", "user_admin.php", "plugins.php",
            "graph_view.php", "index.php", "auth_profile.php", "data_templates.php",
            "auth_changepassword.php", "utilities.php")
@@ -103,19 +105,63 @@ def raw_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts as event_time")
 
 
-def web_form_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web requests whose steering parameters are all inside ``params``, items serialized."""
-    requests = raw_requests(spark, sf_dir)
-    items = F.transform(
+# What the item list of a form looks like: most are serialized, some are not readable as a list of ids.
+NESTED_LIST = 'a:2:{i:0;s:1:"5";i:1;a:1:{i:0;i:7;}}'
+TEXT_LIKE_ENTRIES = 'a:1:{i:0;s:20:"x";i:0;s:1:"9";i:0;"";}'
+MIXED_JSON = '["5","x"]'
+ITEM_KIND = "(o_orderkey div 8) % 10"
+
+
+def _form_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as web requests whose steering parameters are all inside ``params``."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as req_id", "o_custkey", f"{ITEM_KIND} as kind",
+        "o_orderkey % 4 = 0 as from_command", "o_orderkey % 6 as command_no")
+    requests = raw_requests(spark, sf_dir).join(orders, "req_id")
+    entries = F.transform(
         "selected_items",
-        lambda item, i: F.concat(F.lit("i:"), i, F.lit(';s:'), F.length(item.cast("string")),
+        lambda item, i: F.concat(F.lit("i:"), i, F.lit(";s:"), F.length(item.cast("string")),
                                  F.lit(':"'), item, F.lit('";')))
-    text = F.concat(F.lit("a:"), F.size(items), F.lit(":{"), F.array_join(items, ""), F.lit("}"))
+    serialized = F.concat(F.lit("a:"), F.size(entries), F.lit(":{"), F.array_join(entries, ""), F.lit("}"))
+    listed = F.to_json(F.transform("selected_items", lambda item: item.cast("string")))
+    text = (F.when(F.col("kind") == 0, NESTED_LIST).when(F.col("kind") == 1, TEXT_LIKE_ENTRIES)
+            .when(F.col("kind") == 2, MIXED_JSON)
+            .when(F.col("kind") == 3, F.concat(F.lit('a:1:{s:3:"é1";i:'), "o_custkey", F.lit(";}")))
+            .when(F.col("kind") == 4, listed).otherwise(serialized))
+    given = F.from_json("params", "id string, items array<string>, status string")
     params = F.to_json(F.struct(
-        F.col("req_action").alias("action"), F.col("mode_arg").alias("mode"), "drp_action",
+        F.col("req_id").cast("string").alias("id"), F.col("req_action").alias("action"),
+        F.col("mode_arg").alias("mode"), "drp_action",
         F.when(F.col("purge_continue"), "1").alias("purge_continue"),
-        F.when(F.col("has_items"), text).alias("selected_items")))
-    return requests.select("req_id", params.alias("params"))
+        F.when(F.col("has_items"), text).alias("selected_items"),
+        F.lit("x").alias("login_password"), F.lit("y").alias("PassPhrase"),
+        F.lit("false").alias("header"), F.lit("z").alias("__csrf_magic"),
+        given["items"].alias("items"), given["status"].alias("status")))
+    return requests.withColumn("params", params)
+
+
+def web_form_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web requests as they come: what steers admission is in ``params`` only."""
+    return _form_records(spark, sf_dir).select(*[
+        F.col(f.name).cast(f.dataType) for f in WEB_REQUEST_SCHEMA])
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web requests, every fourth of which also carries a command line."""
+    script = F.element_at(F.array(*map(F.lit, COMMANDS)), F.col("command_no").cast("int") + 1)
+    argv = F.when(F.col("from_command"), F.array(script, F.concat(F.lit("--id="), "o_custkey")))
+    return _form_records(spark, sf_dir).withColumns({
+        "argv": argv, "host_ip": F.when(F.col("from_command"), "10.3.0.1"),
+        "os_user": F.when(F.col("from_command"), F.concat(F.lit("os-"), F.col("o_custkey") % 5)),
+    }).select(*[F.col(f.name).cast(f.dataType) for f in RAW_SCHEMA])
+
+
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw records as lines of JSON, of which every fiftieth or so ends behind its first value."""
+    line = F.to_json(F.struct(*[f.name for f in RAW_SCHEMA]))
+    short = F.concat(F.lit('{"req_id":'), "req_id")
+    return raw_records(spark, sf_dir).select(
+        F.when(F.col("req_id") % 50 == 7, short).otherwise(line).alias("value"))
 
 
 def entity_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

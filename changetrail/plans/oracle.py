@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from changetrail.plans.fixtures import COMMANDS, ITEM_PAGES, SCRIPTS
+from changetrail.plans.fixtures import (COMMANDS, ITEM_PAGES, MIXED_JSON, NESTED_LIST, SCRIPTS,
+                                        TEXT_LIKE_ENTRIES)
 
 
 def _pick(index: str, values: tuple[str, ...]) -> str:
@@ -137,6 +138,43 @@ web as (select c.req_id * 2 as id, c.page, c.user_id, c.action, c.ip_address, c.
     c.event_time, c.post, coalesce(o.object_data, '[]') as object_data
     from classified c left join objects o on c.req_id = o.event_id)"""
 
+# Requests as they come: what steers them stands in the parameters only.
+FORM = f"""kinds as (select *, (req_id // 8) % 10 as kind from ({REQUESTS})),
+form_items as (select i.event_id, i.position, i.item from ({ITEMS}) i
+    join kinds on req_id = event_id where kind >= 4
+    union all select req_id, 0, custkey from kinds where kind = 3),
+form_texts as (select event_id, concat('a:', count(*), ':{{', string_agg(concat('i:', position,
+        ';s:', length(item::varchar), ':"', item, '";'), '' order by position), '}}') as serialized,
+    concat('["', string_agg(item::varchar, '","' order by position), '"]') as listed
+    from form_items group by event_id),
+requests as (select k.* exclude (post, has_items), k.has_items and kind > 2 as has_items,
+    k.has_items as sent_items,
+    concat('{{"id":"', req_id, '"', 
+        case when req_action is not null then concat(',"action":"', req_action, '"') else '' end,
+        case when mode_arg is not null then concat(',"mode":"', mode_arg, '"') else '' end,
+        case when code is not null then concat(',"drp_action":"', code, '"') else '' end,
+        case when purge_continue then ',"purge_continue":"1"' else '' end,
+        case when k.has_items then concat(',"selected_items":"', replace(case kind
+            when 0 then '{NESTED_LIST}' when 1 then '{TEXT_LIKE_ENTRIES}' when 2 then '{MIXED_JSON}'
+            when 3 then concat('a:1:{{s:3:"é1";i:', custkey, ';}}')
+            when 4 then coalesce(t.listed, '[]') else coalesce(t.serialized, 'a:0:{{}}') end,
+            '"', '\\"'), '"') else '' end,
+        ',"items":["', custkey, '","7"],"status":"', status, '"}}') as post
+    from kinds k left join form_texts t on k.req_id = t.event_id)"""
+
+RAW_WEB = f"""with {FORM}, admitted as ({ADMITTED}), classified as ({CLASSIFIED}),
+events_with_page as (select req_id as event_id, page from admitted where has_items),
+{SNAPSHOT.replace(f"items as ({ITEMS})", "items as (select * from form_items)")},
+web as (select c.req_id * 2 as id, c.page, c.user_id, c.action, c.ip_address, c.user_agent,
+    c.event_time, c.post, coalesce(o.object_data, '[]') as object_data
+    from classified c left join objects o on c.req_id = o.event_id),
+raw_commands as (select req_id, custkey, event_time, {_pick('req_id % 6', COMMANDS)} as script
+    from requests where req_id % 4 = 0 and req_id not in (select req_id from admitted)),
+routed as (select * from web union all select req_id * 2 + 1, 'add.php', 0, 'cli', '10.3.0.1',
+    concat('os-', custkey % 5), event_time, concat(script, ' --id=', custkey), null
+    from raw_commands where script = '/a/cli/add.php')"""
+IS_BROKEN = "req_id % 50 = 7"
+
 
 MIXED_PAGES = (("event_time", 30, 3), ("event_time", 1200, 1), ("page", 40, 2), ("username", 600, 1))
 MIXED = f"""{WEB_EVENTS}, cli as ({CLI}), log as (select * from web union all ({CLI_ROWS})),
@@ -234,8 +272,8 @@ ORACLE: dict[str, str] = {
     "flatten_post": _requests("""select req_id, concat('id:', req_id, '|items:', custkey,
         '%7|login_password:x|PassPhrase:y|header:false|__csrf_magic:z|status:', status) as flat
         from requests"""),
-    "request_fields": f"""with requests as ({REQUESTS}), item_texts as (select event_id,
-            string_agg(item, ',' order by position) as items from ({ITEMS}) group by event_id)
+    "request_fields": f"""with {FORM}, item_texts as (select event_id,
+            string_agg(item, ',' order by position) as items from form_items group by event_id)
         select req_id, req_action, mode_arg, cast(code as varchar) as drp_action, purge_continue,
             has_items, case when has_items then coalesce(items, '') end as items
         from requests left join item_texts on req_id = event_id""",
@@ -257,9 +295,9 @@ ORACLE: dict[str, str] = {
         union all select req_id, 'items', concat('["', custkey, '","7"]') from requests
         union all select req_id, 'status', concat('"', status, '"') from requests"""),
     "encode_post": _requests("select req_id, post from requests"),
-    "decode_selected_items": f"""with requests as ({REQUESTS})
-        select req_id, cast(code as varchar) as drp_action, cast(position as integer) as position,
-            item from requests join ({ITEMS}) on req_id = event_id where has_items""",
+    "decode_selected_items": f"""with {FORM} select req_id, cast(code as varchar) as drp_action,
+            cast(position as integer) as position, item
+        from requests join form_items on req_id = event_id where has_items""",
     "snapshot_objects": f"with events_with_page as ({THREE_PAGES}), {SNAPSHOT} {SNAPSHOT_RESULT}",
     "snapshot_all_pages": f"with events_with_page as ({ALL_PAGES}), {SNAPSHOT} {SNAPSHOT_RESULT}",
     "snapshot_shuffled": f"with events_with_page as ({ALL_PAGES}), {SNAPSHOT} {SNAPSHOT_RESULT}",
@@ -284,6 +322,21 @@ ORACLE: dict[str, str] = {
     "event_by_id_mixed": f"{MIXED} select * from log where id in (1200, 1201)",
     "append_events": f"{WEB_EVENTS}, cli as ({CLI}) select * from web union all ({CLI_ROWS})",
     "ingest_stream": f"{WEB_EVENTS} select * from web",
+    "web_events_raw": f"{RAW_WEB} select * from web",
+    "route_raw": f"{RAW_WEB} select * from routed",
+    "ingest_routed": f"{RAW_WEB} select * from routed",
+    "whole_json_lines": f"""{RAW_WEB} select req_id, custkey % 11 <> 0 as has_user, page, post
+        from requests where not ({IS_BROKEN})""",
+    "broken_json_lines": f"""with requests as ({REQUESTS})
+        select concat('{{"req_id":', req_id) as line from requests where {IS_BROKEN}""",
+    "ingest_json_stream": f"""{RAW_WEB} select *, cast(null as varchar) as line from routed
+        where (id // 2) % 50 <> 7 union all select null, null, null, null, null, null, null, null, null,
+        concat('{{"req_id":', req_id) from requests where {IS_BROKEN}""",
+    "live_view_stream": f"""{RAW_WEB}, users as ({USERS}) select routed.id, page,
+        case when action = 'cli' then user_agent else username end as user_name,
+        concat(upper(action[1]), action[2:]) as action,
+        case when action = 'cli' then 'N/A' else user_agent end as user_agent, ip_address,
+        {LOG_TIME} as event_time from routed left join users on routed.user_id = users.id""",
     "json_log_sink": f"""{WEB_EVENTS} select * exclude (id, event_time),
         {LOG_TIME} as event_time from web""",
     "evolve_schema": _log("select *, cast(null as varchar) as object_data from log"),

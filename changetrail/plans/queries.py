@@ -17,12 +17,14 @@ from changetrail.operators import detail, enrich, export, ingest, maintain, sear
 from changetrail.operators.checkpoints import shared_folder
 from changetrail.operators.search import EventFilter
 from changetrail.plans import fixtures as fx
-from changetrail.schemas import LOG_SCHEMA, REQUEST_SCHEMA
+from changetrail.schemas import LOG_SCHEMA, RAW_SCHEMA, REQUEST_SCHEMA
 from changetrail.settings import Settings
 from changetrail.sources.files import make_folder
 from changetrail.sources.log_table import LogTable, append_json_log
-from changetrail.sources.readers import read_requests, with_request_fields
-from changetrail.streaming.ingest import ingest_requests
+from changetrail.sources.readers import (read_json_lines, read_requests, split_broken,
+                                          with_request_fields)
+from changetrail.streaming.ingest import ingest_requests, live_view
+from changetrail.streaming.ingest import ingest_routed as start_routed
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -386,6 +388,84 @@ def ingest_stream(spark, sf):
     return store.read().select(*LOG_COLUMNS)
 
 
+@query
+def web_events_raw(spark, sf):
+    """Requests as they come: parameters to fields, admission, action, items, snapshot, post."""
+    return ingest.web_events(fx.web_form_requests(spark, sf), fx.entity_tables(spark, sf))
+
+
+@query
+def route_raw(spark, sf):
+    """Raw records of both kinds, each over the route that it takes."""
+    return ingest.routed_events(fx.raw_records(spark, sf), fx.entity_tables(spark, sf))
+
+
+def _routed_in_two_runs(spark: SparkSession, sf: str, records: DataFrame, read, write) -> LogTable:
+    """A log fed by a stream over two sets of files that is stopped and started again in between."""
+    folder, log = _scratch(spark), _empty_log(spark)
+    for part in ("first", "second"):
+        write(records.filter(F.col("part") == part).drop("part"), f"{folder}/raw")
+        job = start_routed(read(f"{folder}/raw"), log, lambda: fx.entity_tables(spark, sf),
+                           f"{folder}/checkpoint", trigger={"availableNow": True})
+        job.awaitTermination()
+    return log
+
+
+HALVES = "case when {} % 3 = 0 then 'second' else 'first' end"
+
+
+@query
+def ingest_routed(spark, sf):
+    """One stream of raw records, both routes, over a restart."""
+    records = fx.raw_records(spark, sf).withColumn("part", F.expr(HALVES.format("req_id")))
+    return _routed_in_two_runs(
+        spark, sf, records, lambda path: read_requests(spark, path, RAW_SCHEMA, stream=True),
+        lambda part, path: part.write.mode("append").parquet(path)).read().select(*LOG_COLUMNS)
+
+
+def _written_lines(spark: SparkSession, sf: str) -> str:
+    path = _scratch(spark)
+    fx.json_lines(spark, sf).write.text(path)
+    return path
+
+
+@query
+def whole_json_lines(spark, sf):
+    whole, _ = split_broken(read_json_lines(spark, _written_lines(spark, sf)))
+    fields = ingest.with_request_fields(whole)
+    return fields.select("req_id", F.col("user_id").isNotNull().alias("has_user"),
+                         R.page_name(F.col("script_name")).alias("page"),
+                         P.encode_params(P.redact(P.parse_params(F.col("params")))).alias("post"))
+
+
+@query
+def broken_json_lines(spark, sf):
+    return split_broken(read_json_lines(spark, _written_lines(spark, sf)))[1]
+
+
+@query
+def ingest_json_stream(spark, sf):
+    """JSON lines as a stream: what was logged, and the lines that were put aside."""
+    halves = HALVES.format("length(value)")
+    log = _routed_in_two_runs(
+        spark, sf, fx.json_lines(spark, sf).withColumn("part", F.expr(halves)),
+        lambda path: read_json_lines(spark, path, stream=True),
+        lambda part, path: part.write.mode("append").text(path))
+    return log.read().select(*LOG_COLUMNS).unionByName(log.quarantined().select("line"),
+                                                       allowMissingColumns=True)
+
+
+@query
+def live_view_stream(spark, sf):
+    """Events as they come in, with user names: a stream joined to a table that stands still."""
+    folder = _scratch(spark)
+    fx.raw_records(spark, sf).write.parquet(f"{folder}/raw")
+    seen = live_view(read_requests(spark, f"{folder}/raw", RAW_SCHEMA, stream=True), fx.users(spark, sf))
+    (seen.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+     .trigger(availableNow=True).start(f"{folder}/seen").awaitTermination())
+    return spark.read.schema(seen.schema).parquet(f"{folder}/seen")
+
+
 @query
 def json_log_sink(spark, sf):
     """The JSON-lines feed, written and parsed back."""

@@ -54,3 +54,9 @@ CLI_SCHEMA = T.StructType([
     T.StructField("os_user", T.StringType()),
     T.StructField("event_time", T.TimestampNTZType()),
 ])
+
+# One raw record of either kind: a web request, or a command run, which has an ``argv``.
+RAW_SCHEMA = (T.StructType(list(WEB_REQUEST_SCHEMA.fields))
+              .add("argv", T.ArrayType(T.StringType()))
+              .add("host_ip", T.StringType())
+              .add("os_user", T.StringType()))

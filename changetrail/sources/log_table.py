@@ -152,6 +152,21 @@ class LogTable:
          .write.mode("overwrite").insertInto(self.name))
         return batch
 
+    @property
+    def _quarantine(self) -> str:
+        return f"{self.name}_quarantine"
+
+    def quarantine(self, lines: DataFrame, batch: str) -> None:
+        """Put lines that could not be read aside, in a table of their own, by batch."""
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._quarantine} (line string, batch string) "
+                       "USING parquet OPTIONS (partitionOverwriteMode = 'dynamic') PARTITIONED BY (batch)")
+        lines.select("line", F.lit(batch).alias("batch")).write.mode("overwrite").insertInto(self._quarantine)
+
+    def quarantined(self) -> DataFrame:
+        """The lines put aside, with their batch."""
+        self.spark.catalog.refreshTable(self._quarantine)
+        return self.spark.table(self._quarantine)
+
     # --- maintenance ------------------------------------------------------------------
     def expire(self, now: datetime, retention_days: int) -> int:
         """Remove the events that are older than the retention now; returns how many.

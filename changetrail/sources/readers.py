@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changetrail.functions.params import STRICT_JSON
-from changetrail.functions.requests import decode_item_list
-from changetrail.schemas import CLI_SCHEMA, USER_SCHEMA, WEB_REQUEST_SCHEMA
+from changetrail.functions.item_lists import decode_item_list
+from changetrail.schemas import CLI_SCHEMA, RAW_SCHEMA, USER_SCHEMA, WEB_REQUEST_SCHEMA
+
+BROKEN = "broken_line"
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str, stream: bool,
@@ -32,6 +34,26 @@ def read_commands(spark: SparkSession, path: str, schema: T.StructType = CLI_SCH
     return _read(spark, path, schema, fmt, stream, **options)
 
 
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,
+                    stream: bool = False, **options: str) -> DataFrame:
+    """Raw records as JSON lines, in batch or as a stream. Blank lines are passed over.
+
+    A line that is no JSON, is cut off, or has a value of another type than ``schema`` says is kept
+    whole in ``broken_line``, which is NULL for all others. What could be read of it is there too.
+    """
+    reader = spark.readStream if stream else spark.read
+    lines = reader.options(**options).text(path)
+    record = F.from_json("value", T.StructType(list(schema.fields)).add(BROKEN, T.StringType()),
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+    return lines.filter(F.trim("value") != "").select(record.alias("record")).select("record.*")
+
+
+def split_broken(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records that were read in full, and the lines that were not."""
+    whole = records.filter(F.col(BROKEN).isNull()).drop(BROKEN)
+    return whole, records.filter(F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("line"))
+
+
 def read_users(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """User dimension: ``id`` and ``username`` only."""
     return _read(spark, path, USER_SCHEMA, fmt, stream=False)

@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from changetrail.operators.ingest import command_events, web_events
+from changetrail import fixed_values as fixed
+from changetrail.operators.enrich import with_username
+from changetrail.operators.ingest import command_events, routed_events, routed_rows, web_events
+from changetrail.operators.search import display_view
 from changetrail.settings import Settings
 from changetrail.sources.log_table import LogTable, append_json_log
+from changetrail.sources.readers import BROKEN, split_broken
 
 Tables = Mapping[str, DataFrame]
 
@@ -47,6 +52,30 @@ def web_batch_writer(log: LogTable, tables: Callable[[], Tables], settings: Sett
     return write
 
 
+def routed_batch_writer(log: LogTable, tables: Callable[[], Tables], settings: Settings,
+                        name: str) -> Callable[[DataFrame, int], None]:
+    """Writer of one micro-batch of raw records of both kinds.
+
+    Both routes are one append under one batch label, so a replay replaces both at once. Lines that
+    could not be read are put aside under the same label. The JSON feed gets web events only.
+    """
+    def write(raw: DataFrame, batch_id: int) -> None:
+        batch = batch_label(raw, name, batch_id)
+        raw = raw.persist()                # snapshots read their events more than once
+        try:
+            records = raw
+            if BROKEN in raw.columns:
+                records, broken = split_broken(raw)
+                log.quarantine(broken, batch)
+            events = routed_events(records, tables(), settings)
+            log.append(events, batch)
+            if settings.json_log_enabled:
+                append_json_log(events.filter(F.col("action") != fixed.ACTION_CLI), settings, batch)
+        finally:
+            raw.unpersist()
+    return write
+
+
 def command_batch_writer(log: LogTable, name: str) -> Callable[[DataFrame, int], None]:
     def write(commands: DataFrame, batch_id: int) -> None:
         log.append(command_events(commands), batch_label(commands, name, batch_id))
@@ -70,3 +99,21 @@ def ingest_commands(stream: DataFrame, log: LogTable, checkpoint: str, name: str
                     trigger: Mapping = {"processingTime": "5 minutes"}) -> StreamingQuery:
     """Start ingesting a stream of command runs. They have no JSON feed and no snapshot."""
     return _start(stream, command_batch_writer(log, name), checkpoint, trigger)
+
+
+def ingest_routed(stream: DataFrame, log: LogTable, tables: Callable[[], Tables], checkpoint: str,
+                  settings: Settings = Settings(), name: str = "raw",
+                  trigger: Mapping = {"processingTime": "5 minutes"}) -> StreamingQuery:
+    """Start ingesting one stream of raw records (``RAW_SCHEMA``), web requests and command runs.
+
+    With the column of broken lines that ``read_json_lines`` adds, these lines are put aside.
+    """
+    return _start(stream, routed_batch_writer(log, tables, settings, name), checkpoint, trigger)
+
+
+def live_view(stream: DataFrame, users: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """A stream of raw records as readers see the events: a stream-static left join with user names."""
+    if BROKEN in stream.columns:
+        stream, _ = split_broken(stream)
+    rows = routed_rows(stream, settings.enabled).drop("items", "is_web")
+    return display_view(with_username(rows, users))

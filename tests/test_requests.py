@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changetrail.functions import requests as R
+from changetrail.functions.item_lists import decode_item_list
 from changetrail.operators import ingest
 from changetrail.schemas import LOG_SCHEMA, REQUEST_SCHEMA, WEB_REQUEST_SCHEMA
 from changetrail.settings import Settings
@@ -170,15 +171,28 @@ def test_small_text_functions(spark):
         "Host Disabled by", "", "É", None]
 
 
-def test_item_lists_are_decoded_in_order(spark):
-    df = spark.createDataFrame(
-        [('a:3:{i:0;s:2:"12";i:1;s:1:"5";i:2;i:7;}',), ("a:0:{}",), ("junk",), (None,),
-         ('a:1:{i:0;s:30:"123456789012345678901234567890";}',)], "t string")
-    out = [r[0] for r in df.select(R.decode_item_list(F.col("t"))).collect()]
-    assert out == [[12, 5, 7], [], None, None, [None]]
-    df = spark.createDataFrame([('["5","12"]',), ("[7, 1]",), ("[]",), ("5",)], "t string")
-    assert [r[0] for r in df.select(R.decode_item_list(F.col("t"))).collect()] == [
-        [5, 12], [7, 1], [], None]
+@pytest.mark.parametrize("text, ids", [
+    ('a:3:{i:0;s:2:"12";i:1;s:1:"5";i:2;i:7;}', [12, 5, 7]), ("a:0:{}", []), ("junk", None), (None, None),
+    ('a:1:{i:0;s:30:"123456789012345678901234567890";}', [None]),   # no object has such an id
+    ('a:1:{i:0;s:0:"";}', [None]), ('a:2:{s:3:"é1";i:4;i:1;s:2:"-3";}', [4, -3]),
+    ('["5","12"]', [5, 12]), ("[7, 1]", [7, 1]), ("[]", []), ("5", None), ('["5",""]', [5, None]),
+    # A nested list, texts that look like entries, wrong lengths and counts: not taken in part.
+    ('a:2:{i:0;s:1:"5";i:1;a:1:{i:0;i:7;}}', None), ("[[7]]", None), ('["5","x"]', None),
+    ('a:1:{i:0;s:11:"x;i:0;i:9;}";}', None), ('a:1:{i:0;s:8:"i:0;i:9;";}', None),
+    ('a:1:{i:0;s:1:"é";}', None), ('a:1:{i:0;s:9:"5";}', None), ('a:1:{i:0;s:1:"55";}', None),
+    ("a:2:{i:0;i:7;}", None), ("a:1:{i:0;i:7;i:1;i:8;}", None), ("a:1:{i:0;i:7;}x", None),
+    ("a:1:{i:0;i:7;", None), ("a:1:{i:0;b:1;}", None), ("a:1:{i:0;N;}", None), ("a:1:{i:0;d:1.5;}", None),
+    ("a:999999999:{}", None), ('O:1:"x":0:{}', None), ('["5"', None)])
+def test_item_lists_are_taken_whole_or_not_at_all(spark, text, ids):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(decode_item_list(F.col("t"))).first()[0] == ids
+
+
+def test_a_long_item_list(spark):
+    n = 3000
+    text = f"a:{n}:{{" + "".join(f'i:{i};s:{len(str(i))}:"{i}";' for i in range(n)) + "}"
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(decode_item_list(F.col("t"))).first()[0] == list(range(n))
 
 
 def test_steering_fields_come_from_the_parameters(spark):
