@@ -89,20 +89,60 @@ def flatten_post(post: Column) -> Column:
     return F.array_join(pairs, "|")
 
 
+WHOLE_NUMBER_KEY = r"^(0|-?[1-9]\d{0,17})$"
+
+
 def sorted_attributes(post: Column, numeric_keys: bool = True) -> Column:
     """Attributes of one event as an array of structs with ``attribute`` and ``value``, by key.
 
-    Whole-number keys come first, by value, then the others in byte order; without
-    ``numeric_keys`` all stand in byte order.
+    Two whole numbers stand in the order of their values, all other pairs of keys in byte order. As
+    that alone can run in a circle (``9``, ``10``, ``1a``), a text stands before the first number, by
+    value, whose digits come behind it. Without ``numeric_keys`` all stand in byte order.
     """
-    def attribute(entry: Column) -> Column:
-        key = entry["key"]
-        fields = [key.alias("attribute"),
-                  F.coalesce(value_text(entry["value"], ","), F.lit("")).alias("value")]
-        if numeric_keys:
-            whole = key.rlike(r"^(0|-?[1-9]\d{0,17})$")
-            number = F.when(whole, key.try_cast("long"))
-            fields = [(~whole).alias("is_text"), number.alias("number")] + fields
-        return F.struct(*fields)
-
-    return F.sort_array(F.transform(F.map_entries(parse_params(post)), attribute))
+    def attribute(entry: Column, *place: Column) -> Column:
+        return F.struct(*place, entry["key"].alias("attribute"),
+                        F.coalesce(value_text(entry["value"], ","), F.lit("")).alias("value"))
+
+    def numbers(params: Column) -> Column:
+        """The keys that are whole numbers, by value."""
+        keys = F.filter(F.map_keys(params), lambda key: key.rlike(WHOLE_NUMBER_KEY))
+        return F.transform(F.sort_array(F.transform(keys, lambda key: F.struct(
+            key.try_cast("long").alias("number"), key.alias("key")))), lambda pair: pair["key"])
+
+    def place(key: Column, ordered: Column) -> Column:
+        own = F.array_position(ordered, key)
+        behind = F.array_position(F.transform(ordered, lambda number: number > key), F.lit(True))
+        return F.when(own > 0, own).when(behind > 0, behind).otherwise(F.size(ordered) + 1)
+
+    def placed(params: Column) -> Column:
+        return let(numbers(params), lambda ordered: F.transform(
+            F.map_entries(params), lambda entry: attribute(
+                entry, place(entry["key"], ordered).alias("place"),
+                F.array_contains(ordered, entry["key"]).alias("is_number"))))
+
+    params = parse_params(post)
+    if numeric_keys:
+        return F.sort_array(let(params, placed))
+    return F.sort_array(F.transform(F.map_entries(params), lambda entry: attribute(entry)))
+
+
+def _quoted(text: Column) -> Column:
+    """A text as JSON."""
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+
+def pretty_rows(record: Column) -> Column:
+    """A JSON list of flat objects, laid out with one field per line and four blanks per level."""
+    def field(entry: Column) -> Column:
+        return F.concat(F.lit(" " * 8), _quoted(entry["key"]), F.lit(": "), F.to_json(entry["value"]))
+
+    def row(fields: Column) -> Column:
+        body = F.concat(F.lit("    {\n"), F.array_join(F.transform(F.map_entries(fields), field), ",\n"),
+                        F.lit("\n    }"))
+        return F.when(F.size(fields) == 0, "    {}").otherwise(body)
+
+    def laid_out(rows: Column) -> Column:
+        body = F.concat(F.lit("[\n"), F.array_join(F.transform(rows, row), ",\n"), F.lit("\n]"))
+        return F.when(F.size(rows) == 0, "[]").otherwise(body)
+
+    return let(F.from_json(record, f"array<{PARAM_MAP}>", STRICT_JSON), laid_out)

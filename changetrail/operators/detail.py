@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changetrail import fixed_values as fixed
 from changetrail.functions.binding import explode_positions
-from changetrail.functions.params import sorted_attributes
+from changetrail.functions.params import pretty_rows, sorted_attributes
 from changetrail.functions.requests import time_text
 
 
@@ -41,6 +41,7 @@ def event_attributes(log: DataFrame, numeric_keys: bool = True) -> DataFrame:
                        "item.value", "wide")
 
 
-def event_objects(log: DataFrame) -> DataFrame:
-    """One row per selected item: its looked-up rows as compact JSON."""
-    return explode_positions(log, ["id"], F.from_json("object_data", "array<string>"), "record")
+def event_objects(log: DataFrame, pretty: bool = False) -> DataFrame:
+    """One row per selected item: its looked-up rows as JSON, compact or one field per line."""
+    objects = explode_positions(log, ["id"], F.from_json("object_data", "array<string>"), "record")
+    return objects.withColumn("record", pretty_rows(F.col("record"))) if pretty else objects

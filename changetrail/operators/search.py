@@ -117,8 +117,9 @@ def list_events(log: DataFrame, users: DataFrame, where: EventFilter = EventFilt
     """One sorted page of matching events, with user names.
 
     User ids are unique, so a left join neither adds nor drops rows: unless the page is sorted
-    by user name, names are joined to the finished page only. A log split by ``event_date`` is
-    ranked on narrow columns, and the wide ones are read for the page alone. ``per_day`` passes
+    by user name, names are joined to the finished page only. A page near the start of a log that is
+    not split by ``event_date`` takes one scan. Otherwise narrow columns are ranked, and the wide ones are
+    read for the page alone. ``per_day`` passes
     counts of matching events per day that the caller has already.
     """
     descending = _checked_sort(sort_column, sort_direction)
@@ -138,6 +139,17 @@ def list_events(log: DataFrame, users: DataFrame, where: EventFilter = EventFilt
             per_day = count_per_day(hits) if per_day is None else per_day
             days, offset = days_of_slice(per_day, descending, offset, rows)
             hits = hits.filter(in_days(days))
+    names = users.select(F.col("id").alias("user_id"), "username")
+
+    def named(page: DataFrame) -> DataFrame:
+        # No hint: the page is small, and Spark holds the users' size against its own threshold.
+        if "username" not in page.columns:
+            page = page.join(names, "user_id", "left")
+        return page.select(*columns, "username").orderBy(*sort_order(sort_column, descending))
+
+    if "event_date" not in log.columns and offset + rows <= min(LITERAL_KEYS, shallow_rows):
+        # One scan: the few rows up to the page's end are carried whole.
+        return named(rank(hits))
     # Only keys are ranked; the wide columns are read for the rows of the page alone.
     narrow = {"id", "event_time", "event_date", "user_id", sort_column}
     keys = rank(hits.select(*[n for n in hits.columns if n in narrow])).select(
@@ -146,10 +158,7 @@ def list_events(log: DataFrame, users: DataFrame, where: EventFilter = EventFilt
         page = _fetch(hits, keys.collect())
     else:
         page = _with_keys(hits, F.broadcast(keys) if rows <= shallow_rows else keys)
-    # No hint: the page is small, and Spark holds the users' size against its own threshold.
-    names = users.select(F.col("id").alias("user_id"), "username")
-    named = page.join(names, "user_id", "left").select(*columns, "username")
-    return named.orderBy(*sort_order(sort_column, descending))
+    return named(page)
 
 
 def events_per_day(hits: DataFrame) -> DataFrame:

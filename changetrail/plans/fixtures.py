@@ -164,6 +164,25 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("req_id") % 50 == 7, short).otherwise(line).alias("value"))
 
 
+# Names of attributes, in the order in which a detail view shows them.
+ORDERED_KEYS = ("", "#", "-x", "9", "10", "A", "b")
+MORE_KEYS = tuple(f"k{i:02}" for i in range(10))
+
+
+def odd_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web events whose attributes stand in changing orders; every fifth one has more than 16."""
+    names = ORDERED_KEYS + MORE_KEYS
+    pair = "concat('\"{0}\":\"{0}', o_orderkey, '\"')"
+    few, many = (f"array({', '.join(pair.format(name) for name in part)})"
+                 for part in (ORDERED_KEYS, names))
+    pairs = f"case when o_orderkey % 5 = 0 then {many} else {few} end"
+    return (table(spark, sf_dir, "orders").selectExpr("o_orderkey as id", f"{pairs} as pairs")
+            .selectExpr("id", "'save' as action",
+                        "cast(id % size(pairs) as int) as turn", "pairs")
+            .selectExpr("id", "action", "concat('{', array_join(concat(slice(pairs, turn + 1, size(pairs)),"
+                        " slice(pairs, 1, turn)), ','), '}') as post"))
+
+
 def entity_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Entity dimensions, over whole tables."""
     part, supplier, customer = (table(spark, sf_dir, name) for name in ("part", "supplier", "customer"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from changetrail.plans.fixtures import (COMMANDS, ITEM_PAGES, MIXED_JSON, NESTED_LIST, SCRIPTS,
-                                        TEXT_LIKE_ENTRIES)
+from changetrail.plans.fixtures import (COMMANDS, ITEM_PAGES, MIXED_JSON, MORE_KEYS, NESTED_LIST,
+                                        ORDERED_KEYS, SCRIPTS, TEXT_LIKE_ENTRIES)
 
 
 def _pick(index: str, values: tuple[str, ...]) -> str:
@@ -123,6 +123,14 @@ records as (select e.event_id, i.position, coalesce(n.rows_text, '[]') as record
 objects as (select event_id, concat('[', string_agg(record, ',' order by position), ']')
     as object_data from records group by event_id)"""
 
+# The same with every row laid out over lines: a field's JSON behind its quoted name.
+PRETTY_SNAPSHOT = SNAPSHOT.replace(
+    "concat('[', string_agg(row_text, ',' order by row_text), ']')",
+    """concat(chr(91), chr(10), string_agg(concat('    {', chr(10), array_to_string(list_transform(
+        json_keys(row_text), lambda k: concat('        "', k, '": ',
+        json_extract(row_text, concat('$."', k, '"')))), concat(',', chr(10))), chr(10), '    }'),
+        concat(',', chr(10)) order by row_text), chr(10), chr(93))""")
+
 THREE_PAGES = """select o_orderkey as event_id, case o_orderstatus when 'F' then 'host.php'
     when 'O' then 'data_templates.php' else 'user_admin.php' end as page from orders"""
 ALL_PAGES = (f"select o_orderkey as event_id, {_pick('o_orderkey % 13', ITEM_PAGES)} as page "
@@ -240,6 +248,7 @@ ORACLE: dict[str, str] = {
         (select distinct user_id from log where user_id <> 0) seen
         left join users on seen.user_id = users.id order by user_id"""),
     "with_username": _log(NAMED),
+    "with_username_read": _log(NAMED),
     "with_username_shuffled": _log(NAMED),
     "display_view": _log(f"""select log.id, page,
         case when action = 'cli' then user_agent else username end as user_name,
@@ -256,6 +265,13 @@ ORACLE: dict[str, str] = {
             false as wide from requests
         union all select req_id, 2, 'items', concat(custkey, ',7'), false from requests
         union all select req_id, 3, 'status', status, false from requests"""),
+    "attribute_order": f"""select o_orderkey as id, cast(position as integer) as position, attribute,
+            concat(attribute, o_orderkey) as value, o_orderkey % 5 = 0 as wide
+        from orders, (values {", ".join(f"({i}, '{name}')" for i, name in
+                                        enumerate(ORDERED_KEYS + MORE_KEYS, 1))}) names(position, attribute)
+        where o_orderkey % 5 = 0 or position <= {len(ORDERED_KEYS)}""",
+    "event_objects_pretty": f"""with events_with_page as ({ALL_PAGES}), {PRETTY_SNAPSHOT}
+        select event_id as id, cast(position as integer) as position, record from records""",
     "event_objects": f"""with events_with_page as ({THREE_PAGES}), {SNAPSHOT}
         select event_id as id, cast(position as integer) as position, record from records""",
     "export_events": REQUEST_EXPORT,
@@ -269,6 +285,10 @@ ORACLE: dict[str, str] = {
         where exists (select 1 from orders)""",
     "export_csv": _log(f"""{EXPORT}, replace(replace(replace(post, '{{"', ''), '": ', ':'),
         '}}', '') as post from log left join users on log.user_id = users.id"""),
+    "export_escaped": _requests(f"""select {", ".join(
+            f"""replace(replace(cast({name} as varchar), '"', ''), ',', '|') as {name}"""
+            for name in ("page", "user_id", "username", "action", "ip_address", "user_agent",
+                         "event_time", "post"))} from ({REQUEST_EXPORT})"""),
     "flatten_post": _requests("""select req_id, concat('id:', req_id, '|items:', custkey,
         '%7|login_password:x|PassPhrase:y|header:false|__csrf_magic:z|status:', status) as flat
         from requests"""),
@@ -299,6 +319,7 @@ ORACLE: dict[str, str] = {
             cast(position as integer) as position, item
         from requests join form_items on req_id = event_id where has_items""",
     "snapshot_objects": f"with events_with_page as ({THREE_PAGES}), {SNAPSHOT} {SNAPSHOT_RESULT}",
+    "snapshot_read_tables": f"with events_with_page as ({THREE_PAGES}), {SNAPSHOT} {SNAPSHOT_RESULT}",
     "snapshot_all_pages": f"with events_with_page as ({ALL_PAGES}), {SNAPSHOT} {SNAPSHOT_RESULT}",
     "snapshot_shuffled": f"with events_with_page as ({ALL_PAGES}), {SNAPSHOT} {SNAPSHOT_RESULT}",
     "device_flags": """select p_partkey as id,
@@ -340,6 +361,11 @@ ORACLE: dict[str, str] = {
     "json_log_sink": f"""{WEB_EVENTS} select * exclude (id, event_time),
         {LOG_TIME} as event_time from web""",
     "evolve_schema": _log("select *, cast(null as varchar) as object_data from log"),
+    "evolve_table": _log("select *, case when id % 2 = 1 then '[]' end as object_data from log"),
+    "evolve_files": _log("select *, case when id % 2 = 1 then '[]' end as object_data from log"),
+    "purge_notes": _log(f"""select 'bea' as actor, count(*) as events from log
+        where event_time >= {CUTOFF} or event_time is null
+        union all select 'admin', count(*) from log"""),
     "purge_all": "select count(*) as events_before, cast(0 as bigint) as events_after from events",
     "ensure_log": "select count(*) as events from events",
     "clone_schema": """select count(*) as events, cast(0 as bigint) as cloned_events,

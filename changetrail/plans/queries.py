@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changetrail.functions import params as P
 from changetrail.functions import requests as R
@@ -21,8 +22,8 @@ from changetrail.schemas import LOG_SCHEMA, RAW_SCHEMA, REQUEST_SCHEMA
 from changetrail.settings import Settings
 from changetrail.sources.files import make_folder
 from changetrail.sources.log_table import LogTable, append_json_log
-from changetrail.sources.readers import (read_json_lines, read_requests, split_broken,
-                                          with_request_fields)
+from changetrail.sources.readers import (read_entity_tables, read_json_lines, read_requests,
+                                          read_users, split_broken, with_request_fields)
 from changetrail.streaming.ingest import ingest_requests, live_view
 from changetrail.streaming.ingest import ingest_routed as start_routed
 
@@ -161,6 +162,14 @@ def with_username(spark, sf):
     return enrich.with_username(fx.activity_log(spark, sf), fx.users(spark, sf))
 
 
+@query
+def with_username_read(spark, sf):
+    """Users from the files of the user dimension, which hold more than is read."""
+    path = _scratch(spark)
+    fx.users(spark, sf).withColumn("email", F.lit("x")).write.parquet(path)
+    return enrich.with_username(fx.activity_log(spark, sf), read_users(spark, path))
+
+
 @query
 def with_username_shuffled(spark, sf):
     """The way taken when the user dimension is too large to broadcast."""
@@ -191,6 +200,19 @@ def event_attributes(spark, sf):
     return detail.event_attributes(_request_log(spark, sf))
 
 
+@query
+def attribute_order(spark, sf):
+    """Whole numbers, signs, letters and the empty name as names of attributes; few and many."""
+    return detail.event_attributes(fx.odd_attributes(spark, sf))
+
+
+@query
+def event_objects_pretty(spark, sf):
+    """Snapshots of all pages, one field per line."""
+    log = enrich.snapshot_objects(fx.selected_items_all_pages(spark, sf), fx.entity_tables(spark, sf))
+    return detail.event_objects(log.withColumnRenamed("event_id", "id"), pretty=True)
+
+
 @query
 def event_objects(spark, sf):
     log = enrich.snapshot_objects(fx.selected_items(spark, sf), fx.entity_tables(spark, sf))
@@ -225,6 +247,12 @@ def export_csv(spark, sf):
     return spark.read.schema(exported.schema).csv(path, header=True, escape='"')
 
 
+@query
+def export_escaped(spark, sf):
+    """Fields without the characters that unquoted output can't hold."""
+    return export.escape_fields(export_events(spark, sf))
+
+
 @query
 def flatten_post(spark, sf):
     return fx.raw_requests(spark, sf).select(
@@ -329,6 +357,17 @@ def snapshot_all_pages(spark, sf):
     return _snapshots(fx.selected_items_all_pages(spark, sf), fx.entity_tables(spark, sf))
 
 
+@query
+def snapshot_read_tables(spark, sf):
+    """Entity tables from their files."""
+    folder = _scratch(spark)
+    paths = {}
+    for name, entities in fx.entity_tables(spark, sf).items():
+        paths[name] = f"{folder}/{name}"
+        entities.write.parquet(paths[name])
+    return _snapshots(fx.selected_items(spark, sf), read_entity_tables(spark, paths))
+
+
 @query
 def snapshot_shuffled(spark, sf):
     """The way taken when the entity tables are too large to broadcast."""
@@ -484,6 +523,46 @@ def evolve_schema(spark, sf):
     return maintain.evolve_schema(fx.activity_log(spark, sf))
 
 
+OLD_COLUMNS = [name for name in LOG_COLUMNS if name != "object_data"]
+
+
+def _two_shapes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The log in two parts: from before snapshots were kept, and since."""
+    log = fx.activity_log(spark, sf)
+    since = log.filter("id % 2 = 1").withColumn("object_data", F.lit("[]"))
+    return log.filter("id % 2 = 0").select(*OLD_COLUMNS), since.select(*LOG_COLUMNS)
+
+
+@query
+def evolve_table(spark, sf):
+    """A table that gets a column: files of both shapes, read as one."""
+    before, since = _two_shapes(spark, sf)
+    log = _empty_log(spark).ensure(T.StructType([LOG_SCHEMA[name] for name in OLD_COLUMNS]))
+    log.append(before, "before")
+    log.evolve().append(since, "since")
+    return log.read().select(*LOG_COLUMNS)
+
+
+@query
+def evolve_files(spark, sf):
+    """Files of both shapes in one folder, whose columns are merged."""
+    path = _scratch(spark)
+    for part in _two_shapes(spark, sf):
+        part.write.mode("append").parquet(path)
+    return spark.read.option("mergeSchema", "true").parquet(path).select(*LOG_COLUMNS)
+
+
+@query
+def purge_notes(spark, sf):
+    """Who purged the log, and how many events went."""
+    store = _stored_log(spark, sf)
+    store.expire(NOW, RETENTION_DAYS)
+    store.purge("bea")
+    store.append(maintain.evolve_schema(fx.activity_log(spark, sf)), batch="anew")
+    store.purge("admin")
+    return store.purges().select("actor", "events")
+
+
 @query
 def purge_all(spark, sf):
     store = _stored_log(spark, sf)

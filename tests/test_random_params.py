@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from changetrail.functions import params as P
 
 KEYS = ["id", "10", "9", "a b", "päss", "passport", "PHRASES", "header", "Header", "__csrf_magic",
-        "phr", "x|y", "", "drp_action", "Compass", "k:1"]
+        "phr", "x|y", "", "drp_action", "Compass", "k:1", "#", "-x", "-5", "100", "1a", "9a", "007", "0"]
 SCALARS = ["", "0", "true", "[x", "{", "a%b", 'say "hi"', "back\\slash", "é😀", "tab\t", True, False,
            None, 0, -7, 1.5, 12345678901]
 
@@ -66,12 +67,39 @@ def test_flatten(documents):
                    for i, d in docs.items()}
 
 
+def key_order(keys):
+    """Whole numbers by value; a text before the first of them whose digits come behind it."""
+    numbers = sorted((k for k in keys if re.fullmatch(r"0|-?[1-9]\d*", k)), key=int)
+
+    def place(key):
+        if key in numbers:
+            return numbers.index(key), 1, b""
+        behind = [i for i, number in enumerate(numbers) if number.encode() > key.encode()]
+        return min(behind, default=len(numbers)), 0, key.encode()
+
+    return sorted(keys, key=place)
+
+
 def test_attributes(documents):
     docs, df = documents
     got = {r["id"]: [(a["attribute"], a["value"]) for a in r["rows"]] for r in
            df.select("id", P.sorted_attributes(F.col("post")).alias("rows")).collect()}
-    assert got == {i: sorted(((k, text(v, ",")) for k, v in d.items()),
-                             key=lambda kv: kv[0].encode()) for i, d in docs.items()}
+    assert got == {i: [(k, text(d[k], ",")) for k in key_order(d)] for i, d in docs.items()}
+    plain = {r["id"]: [a["attribute"] for a in r["rows"]] for r in
+             df.select("id", P.sorted_attributes(F.col("post"), numeric_keys=False).alias("rows")).collect()}
+    assert plain == {i: sorted(d, key=str.encode) for i, d in docs.items()}
+
+
+def test_pairs_of_keys_keep_their_order_wherever_they_run_in_no_circle():
+    def before(a, b):
+        whole = [re.fullmatch(r"0|-?[1-9]\d*", k) for k in (a, b)]
+        return int(a) < int(b) if all(whole) else a.encode() < b.encode()
+
+    assert key_order(["b", "9", "A", "10", "-x", "", "#"]) == ["", "#", "-x", "9", "10", "A", "b"]
+    for a in KEYS:
+        for b in KEYS:
+            if a != b:
+                assert (key_order([a, b]) == [a, b]) == before(a, b)
 
 
 def test_redaction(documents):
