@@ -13,7 +13,8 @@ replaced code point turns one into the other. Found with pivotal grams:
   no later has a pivot that the other has too, and has in its prefix;
 - one edit moves it by one place at most, and only in words of different lengths, in the direction of
   the difference. Pivots look up prefixes by bigram, place and length, five combinations each;
-- the pairs so found are compared by edit distance.
+- one edit changes which letters a word has by two at most. Pairs that pass are compared by edit
+  distance.
 
 Only words and their bigrams are joined: the corpus is reduced to counted words by a grouping with
 partial sums first, so a word that makes up much of the text is one row per task before it moves.
@@ -30,7 +31,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changetrail.llm.storage import small_side, written
@@ -97,46 +98,58 @@ def cheapest_pair(grams: Column) -> Column:
     return F.aggregate(grams, nothing, step, lambda state: F.array(state["best"]["a"], state["best"]["b"]))
 
 
+def letters(word: Column) -> Column:
+    """A bit for each letter that a word has; some accented letters share one."""
+    def with_letter(mask: Column, letter: Column) -> Column:
+        code = F.ascii(letter)
+        bit = F.when(code < 128, code - 97).otherwise(26 + code % 38)
+        return mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), with_letter)
+
+
 def prefixes(words: DataFrame) -> DataFrame:
-    """``word, size, prefix, pivots, last``: entries (place, gram, words), and where the prefix ends."""
+    """``word, size, letters, prefix, pivots, last``: entries (place, gram, words), and the place in
+    the order of bigrams at which the prefix ends."""
     places = F.sequence(F.lit(1), F.col("size") - 1)
     grams = words.select("word", F.char_length("word").alias("size")).select(
         "word", "size", F.explode(places).alias("place")).withColumn(
         "gram", F.substring("word", F.col("place"), F.lit(2)))
     counts = written(grams.select("word", "gram").distinct().groupBy("gram")
                      .agg(F.count(F.lit(1)).alias("words")), "grams")
-    entry = F.struct(F.col("place").cast("int").alias("place"), "gram", "words")
-    rank = F.struct("words", "gram", "place")
+    # The window is over the bigrams of a fixed alphabet.
+    ordered = counts.withColumn("rank", F.row_number().over(Window.orderBy("words", "gram")))
+    entry = F.struct("rank", "place", "gram", "words")
     # A word has as many bigrams as letters: the list of one word is as long as the word.
-    listed = (grams.join(small_side(counts, GRAMS_BYTES // 8_100), "gram")
-              .groupBy("word", "size").agg(F.sort_array(F.collect_list(rank)).alias("ranked")))
-    end = F.struct(F.col("ranked")[PREFIX - 1]["words"].alias("words"),
-                   F.col("ranked")[PREFIX - 1]["gram"].alias("gram"))
-    within = listed.withColumn("last", end).withColumn(
-        "prefix", F.filter("ranked", lambda g: F.struct(g["words"], g["gram"]) <= F.struct(
-            F.col("last.words"), F.col("last.gram"))))
-    by_place = F.sort_array(F.transform("prefix", lambda g: F.struct(
-        g["place"].cast("int").alias("place"), g["gram"].alias("gram"), g["words"].alias("words"))))
-    return within.select("word", "size", by_place.alias("prefix"), "last").withColumn(
-        "pivots", cheapest_pair(F.col("prefix")))
+    listed = (grams.join(small_side(ordered, GRAMS_BYTES // 8_100), "gram")
+              .groupBy("word", "size").agg(F.sort_array(F.collect_list(entry)).alias("ranked")))
+    within = listed.withColumn("last", F.col("ranked")[PREFIX - 1]["rank"])
+    by_place = F.sort_array(F.transform(
+        F.filter("ranked", lambda g: g["rank"] <= F.col("last")),
+        lambda g: F.struct(g["place"].cast("int").alias("place"), g["gram"].alias("gram"),
+                           g["words"].alias("words"))))
+    return within.select("word", "size", letters(F.col("word")).alias("letters"), by_place.alias("prefix"),
+                         "last").withColumn("pivots", cheapest_pair(F.col("prefix")))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """``a, b``: all pairs of near words, each once, ``a`` before ``b``."""
     known = written(prefixes(words), "prefixes")
-    indexed = known.select("word", "size", "last", F.explode("prefix").alias("g")).select(
-        F.col("word").alias("other"), F.col("last").alias("other_last"), F.col("g.gram").alias("gram"),
-        F.col("g.place").alias("place"), F.col("size").alias("size"))
+    indexed = known.select("word", "size", "letters", "last", F.explode("prefix").alias("g")).select(
+        F.col("word").alias("other"), F.col("last").alias("other_last"),
+        F.col("letters").alias("other_letters"), F.col("g.gram").alias("gram"),
+        F.col("g.place").alias("place"), "size")
     # (difference of lengths, shift of the place): an edit of the same length moves nothing.
     moves = F.array(*[F.struct(F.lit(size).alias("longer"), F.lit(shift).alias("shift"))
                       for size, shift in ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))])
-    probes = known.select("word", "size", "last", F.explode("pivots").alias("g")).select(
-        "word", "last", "size", "g", F.explode(moves).alias("m")).select(
-        "word", "last", F.col("g.gram").alias("gram"), (F.col("g.place") + F.col("m.shift")).alias("place"),
-        (F.col("size") + F.col("m.longer")).alias("size"))
+    probes = known.select("word", "size", "letters", "last", F.explode("pivots").alias("g")).select(
+        "word", "letters", "last", "size", "g", F.explode(moves).alias("m")).select(
+        "word", "letters", "last", F.abs("m.longer").alias("longer"), F.col("g.gram").alias("gram"),
+        (F.col("g.place") + F.col("m.shift")).alias("place"), (F.col("size") + F.col("m.longer")).alias("size"))
+    changed = F.bit_count(F.col("letters").bitwiseXOR(F.col("other_letters")))
     near = (probes.join(indexed, ["gram", "place", "size"])
-            .where("last <= other_last and word <> other")
-            .where(F.levenshtein("word", "other", 1) == 1))
+            .where((F.col("last") <= F.col("other_last")) & (changed <= 2 - F.col("longer")))
+            .where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)))
     return near.select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).distinct()
 
 
