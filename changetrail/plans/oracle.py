@@ -235,6 +235,12 @@ ORACLE: dict[str, str] = {
         "select * from log where contains(page, '5}') or contains(post, '5}')"),
     "search_ignore_case": _log(
         "select * from log where page ilike '%IEW.p%' or post like '%IEW.p%'"),
+    "search_signed": _log(f"""select needle, log.*, cast(null as varchar) as object_data from log,
+        (values ('click%7', '%click%7%'), ('k\\.php', '%k.php%'), ('e', '%e%'), ('purchase', '%purchase%'),
+            ('"k": 5%', '%"k": 5%'), ('no such text', '%no such text%'), ('8_}}', '%8_}}%'), ('sig', '%sig%'),
+            ('', '%')) needles(needle, pattern)
+        where (event_time >= {CUTOFF} or event_time is null)
+            and (page like pattern or post like pattern)"""),
     "filter_page": _log("select * from log where page = 'click.php'"),
     "filter_user": _log("select * from log where user_id = 7"),
     "filter_cli": _log("select * from log where user_id = 0"),

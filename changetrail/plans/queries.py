@@ -116,6 +116,22 @@ def search_ignore_case(spark, sf):
     return EventFilter(search="IEW.p", ignore_case=True).apply(fx.activity_log(spark, sf))
 
 
+SIGNED_NEEDLES = ("click%7", "k\\.php", "e", "purchase", '"k": 5%', "no such text", "8_}", "sig", "")
+
+
+@query
+def search_signed(spark, sf):
+    """Searches of a log whose files have signatures, but for those of one batch."""
+    log = _empty_log(spark)
+    events = maintain.evolve_schema(fx.activity_log(spark, sf))
+    for number in range(3):
+        log.append(events.filter(F.col("id") % 3 == number), f"part-{number}", sign=number < 2)
+    log.expire(NOW, RETENTION_DAYS)
+    found = [log.search(EventFilter(search=needle)).select(F.lit(needle).alias("needle"), *LOG_COLUMNS)
+             for needle in SIGNED_NEEDLES]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def filter_page(spark, sf):
     return EventFilter(page_name="click.php").apply(fx.activity_log(spark, sf))

@@ -12,9 +12,11 @@ import uuid
 from collections.abc import Collection, Iterable
 from dataclasses import dataclass
 from datetime import date, datetime
+from functools import reduce
+from operator import or_
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,11 +25,14 @@ from changetrail.operators.checkpoints import shared_folder
 from changetrail.operators.maintain import is_due, json_log_lines, retention_cutoff
 from changetrail.operators.paging import page_offset
 from changetrail.operators.search import ALL, EventFilter, count_per_day, in_days, list_events
+from changetrail.operators.signatures import FILE, file_signatures, files_with, needle_grams
 from changetrail.schemas import LOG_SCHEMA, STORED_SCHEMA
 from changetrail.settings import Settings
 from changetrail.sources.files import delete_folder, folder_exists, is_complete
 
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+# A search that must read more files than this is left to a plain scan.
+MOST_FILES = 5_000
 # How many times more days a page opens if those opened so far do not fill it.
 DAYS_GROWTH = 8
 # Overwriting replaces the partitions that are written and no others. Ids and users of any time meet
@@ -40,6 +45,15 @@ TABLE_OPTIONS = {
 }
 
 
+def _in_partitions(partitions: Iterable[tuple[date | None, str]]) -> Column:
+    """Whether an event is in one of these partitions."""
+    by_day: dict[date | None, list[str]] = {}
+    for day, batch in partitions:
+        by_day.setdefault(day, []).append(batch)
+    return reduce(or_, [in_days([day]) & F.col("batch").isin(batches) for day, batches in by_day.items()],
+                  F.lit(False))
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -84,10 +98,10 @@ class LogTable:
         return LogTable(self.spark, target)
 
     # --- reading ----------------------------------------------------------------------
-    def _partitions(self) -> list[tuple[date | None, str]]:
+    def _partitions(self, table: str = "") -> list[tuple[date | None, str]]:
         """Day and batch of every partition, as the catalog has them."""
         found = []
-        for row in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect():
+        for row in self.spark.sql(f"SHOW PARTITIONS {table or self.name}").collect():
             day, _, batch = row["partition"].removeprefix("event_date=").partition("/batch=")
             found.append((None if day == NO_DAY else date.fromisoformat(day), unquote(batch)))
         return found
@@ -134,11 +148,32 @@ class LogTable:
                 return self.read(days[:opened]), per_day
             opened, counted = opened * DAYS_GROWTH, opened
 
+    def search(self, where: EventFilter) -> DataFrame:
+        """Matching events. Of signed batches only the files are read that may hold the text searched.
+
+        The same rows as ``where.apply(log.read())``. Without a part long enough, or with more than
+        ``MOST_FILES`` files left, nothing is passed over.
+        """
+        needles = needle_grams(where)
+        if not needles or not self.spark.catalog.tableExists(self._signatures):
+            return where.apply(self.read())
+        self.spark.catalog.refreshTable(self._signatures)
+        found = files_with(self.spark.table(self._signatures), needles).limit(MOST_FILES + 1).collect()
+        if len(found) > MOST_FILES:
+            return where.apply(self.read())
+        signed = self.read().filter(F.col("_metadata.file_path").isin([r[FILE] for r in found]))
+        hits = where.apply(signed.select(*STORED_SCHEMA.fieldNames()))
+        unsigned = set(self._partitions()) - set(self._partitions(self._signatures))
+        if not unsigned:
+            return hits
+        return hits.unionByName(where.apply(self.read().filter(_in_partitions(unsigned))))
+
     # --- writing ----------------------------------------------------------------------
-    def append(self, events: DataFrame, batch: str | None = None, rebalance: bool = True) -> str:
+    def append(self, events: DataFrame, batch: str | None = None, rebalance: bool = True,
+               sign: bool = False) -> str:
         """Append events; writing the same ``batch`` again replaces it, so a retry adds nothing.
 
-        Rebalancing gives well-sized files per day and splits a day that holds most of the
+        ``sign`` reads what was written once more for the signatures that ``search`` uses. Rebalancing gives well-sized files per day and splits a day that holds most of the
         events. Files are sorted by time and id, which makes their row groups skippable.
         """
         self.ensure().evolve(T.StructType([f for f in LOG_SCHEMA if f.name in events.columns]))
@@ -148,10 +183,37 @@ class LogTable:
         dated = dated.withColumns(missing).select(*self.spark.table(self.name).columns)
         if rebalance:
             dated = dated.hint("rebalance", "event_date")
+        self._forget([p for p in self._partitions() if p[1] == batch])
         (dated.sortWithinPartitions("event_date", "batch", "event_time", "id")
          .write.mode("overwrite").insertInto(self.name))
+        if sign:
+            self._sign([(day, name) for day, name in self._partitions() if name == batch])
         return batch
 
+    @property
+    def _signatures(self) -> str:
+        return f"{self.name}_signatures"
+
+    def _sign(self, partitions: Collection[tuple[date | None, str]]) -> None:
+        """Write the signatures of the files of some partitions."""
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._signatures} (file string, bucket bigint, bits binary, "
+                       "event_date date, batch string) USING parquet "
+                       "OPTIONS (partitionOverwriteMode = 'dynamic') PARTITIONED BY (event_date, batch)")
+        if partitions:
+            (file_signatures(self.read().filter(_in_partitions(partitions)))
+             .write.mode("overwrite").insertInto(self._signatures))
+
+    def _forget(self, partitions: Collection[tuple[date | None, str]]) -> list[tuple[date | None, str]]:
+        """Drop the signatures of partitions whose files are about to change; returns which there were.
+
+        A partition without signatures is always searched, so a run that is killed loses nothing.
+        """
+        if not self.spark.catalog.tableExists(self._signatures):
+            return []
+        known = [p for p in self._partitions(self._signatures) if p in set(partitions)]
+        self._drop(known, self._signatures)
+        return known
+
     @property
     def _quarantine(self) -> str:
         return f"{self.name}_quarantine"
@@ -184,7 +246,9 @@ class LogTable:
         # One row per partition.
         counts = (self.read(touched).groupBy("event_date", "batch")
                   .agg(F.count_if(due).alias("due"), F.count_if(~due).alias("kept")).collect())
-        self._drop((r["event_date"], r["batch"]) for r in counts if r["due"] and not r["kept"])
+        gone = [(r["event_date"], r["batch"]) for r in counts if r["due"] and not r["kept"]]
+        self._drop(gone)
+        self._forget(gone)
         cut = [r["batch"] for r in counts if r["due"] and r["kept"]]
         if cut:
             self._stage(self.read([cutoff.date()]).filter(F.col("batch").isin(cut) & ~due))
@@ -208,16 +272,20 @@ class LogTable:
         if is_complete(self.spark, staged):
             columns = self.spark.table(self.name).columns
             kept = self.spark.read.schema(STORED_SCHEMA).parquet(staged).select(*columns)
+            names = [r["batch"] for r in kept.select("batch").distinct().collect()]
+            signed = self._forget([p for p in self._partitions() if p[1] in names])
             (kept.hint("rebalance", "event_date", "batch")
              .sortWithinPartitions("event_date", "batch", "event_time", "id")
              .write.mode("overwrite").insertInto(self.name))
+            if signed:
+                self._sign(signed)
         delete_folder(self.spark, staged)
 
-    def _drop(self, partitions: Iterable[tuple[date | None, str]]) -> None:
+    def _drop(self, partitions: Iterable[tuple[date | None, str]], table: str = "") -> None:
         specs = [f"PARTITION (event_date = {f'DATE{quoted(str(day))}' if day else 'NULL'}, "
                  f"batch = {quoted(batch)})" for day, batch in partitions]
         if specs:
-            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS {', '.join(specs)}")
+            self.spark.sql(f"ALTER TABLE {table or self.name} DROP IF EXISTS {', '.join(specs)}")
 
     @property
     def _purges(self) -> str:
@@ -236,6 +304,7 @@ class LogTable:
         partitions = self._partitions()
         self.spark.sql(f"TRUNCATE TABLE {self.name}")
         self._drop(partitions)
+        self._forget(partitions)
 
     def purges(self) -> DataFrame:
         """Who purged, when, and how many events went."""
