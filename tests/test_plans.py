@@ -54,6 +54,18 @@ def test_the_page_is_taken_before_names_are_joined(spark):
     assert text.index("BroadcastHashJoin") < text.index("TakeOrderedAndProject")
 
 
+@pytest.mark.parametrize("name", ["list_events", "list_second_page", "list_by_username_asc"])
+def test_a_page_near_the_start_takes_one_scan(spark, name):
+    text = plan(driver.queries()[name](spark, SF_DIR))
+    assert text.count("FileScan parquet") == 2       # the log and the users
+    assert text.count("events.parquet") == 1
+
+
+def test_a_deep_page_is_not_carried_whole(spark):
+    text = plan(search.list_events(fx.activity_log(spark, SF_DIR), fx.users(spark, SF_DIR), rows=100, page_no=40))
+    assert text.count("events.parquet") == 2
+
+
 def test_a_stored_page_is_fetched_by_day_time_and_id(spark, stored):
     text = plan(stored.list_events(fx.users(spark, SF_DIR), rows=20))
     assert "event_date=2024-01-30" in text and "event_date=2024-01-29" not in text
