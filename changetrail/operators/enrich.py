@@ -88,17 +88,19 @@ def snapshot_objects(events: DataFrame, tables: Mapping[str, DataFrame],
     A missing entity leaves an empty inner list; no items or an unknown page give ``[]``. An
     event of a page whose table is not in ``tables`` is an error.
 
-    Events without anything to look up (most of them) do not move. For the others only
-    ``(id, position, page, item)`` goes through the lookup join, and the event itself moves
-    once, to meet its finished document. The group of one event is no larger than its own item
-    list, which is one row of the input already. Ids must be unique.
+    Events without anything to look up (most of them) do not move. Of the others each item goes
+    through the lookup join as ``(id, position, page, item)``, and the first one carries the event
+    along; one shuffle by id puts events and their documents together. The group of one event is no
+    larger than its own item list, which is one row of the input already. Ids must be unique.
     """
     has_lookup = F.coalesce(
         (F.size(items_column) > 0) & F.col("page").isin(*lookups), F.lit(False))
     plain = events.filter(~has_lookup).withColumn("object_data", F.lit(EMPTY_LIST))
-    bulk = events.filter(has_lookup)
-
-    wanted = explode_positions(bulk, [id_column, "page"], F.col(items_column), "item")
+    wanted = explode_positions(
+        events.filter(has_lookup),
+        [F.col(id_column).alias("_id"), "page", F.struct(*events.columns).alias("_event")],
+        F.col(items_column), "item")
+    wanted = wanted.withColumn("_event", F.when(F.col("position") == 0, F.col("_event")))
     unread = [page for page, (table, *_) in lookups.items() if table not in tables]
     if unread:
         # A table that is not there must not look like entities that are not there.
@@ -106,11 +108,9 @@ def snapshot_objects(events: DataFrame, tables: Mapping[str, DataFrame],
         wanted = wanted.withColumn("item", F.when(F.col("page").isin(*unread), F.raise_error(message)
                                                   .cast("long")).otherwise(F.col("item")))
     found = join_dimension(wanted, entity_rows(tables, lookups), ["page", "item"],
-                           spread_by=id_column, broadcast_limit=broadcast_limit)
+                           spread_by="_id", broadcast_limit=broadcast_limit)
     slot = F.struct("position", F.coalesce("rows", F.lit(EMPTY_LIST)).alias("rows"))
     in_order = F.sort_array(F.collect_list(slot))["rows"]
-    documents = found.groupBy(id_column).agg(_json_list(in_order).alias("object_data"))
-    # Documents can be far larger than their source suggests to Spark, so never broadcast them.
-    finished = (bulk.join(documents.hint("shuffle_merge"), id_column, "left")
-                .withColumn("object_data", F.coalesce("object_data", F.lit(EMPTY_LIST))))
-    return plain.unionByName(finished)
+    finished = found.groupBy("_id").agg(F.first("_event", ignorenulls=True).alias("_event"),
+                                        _json_list(in_order).alias("object_data"))
+    return plain.unionByName(finished.select("_event.*", "object_data"))

@@ -78,8 +78,13 @@ def test_snapshots_shuffle_by_event_only_when_tables_fit_in_a_broadcast(spark):
     from changetrail.operators.enrich import snapshot_objects
     tables = {"host": fx.entity_tables(spark, SF_DIR)["host"]}
     text = plan(snapshot_objects(events, tables))
-    assert text.count("Exchange hashpartitioning(event_id") == 2      # events, documents
-    assert text.count("Exchange hashpartitioning") == 2
+    assert "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text   # a range is dealt by id
+
+
+def test_snapshots_read_the_source_twice(spark):
+    text = plan(driver.queries()["snapshot_objects"](spark, SF_DIR))
+    assert text.count("orders.parquet") == 2         # events without a lookup, and those with one
+    assert text.count("Exchange hashpartitioning(_id") == 1 and "SortMergeJoin" not in text
 
 
 def test_checkpoints_go_where_the_session_says(spark):
