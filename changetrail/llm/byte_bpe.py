@@ -3,9 +3,12 @@
 A text is cut by the tokenizer's pattern; every distinct piece of a batch is encoded once. Pieces
 of one length class form a padded matrix with a row per piece. In each round every row merges its
 leftmost pair of the least rank; the rank of a pair comes from an open-addressing hash table, only
-the two pairs beside a merge are looked up anew, and finished rows leave the matrix. Pieces longer
-than ``MATRIX_BYTES`` would take as many rounds as they have merges, so they go through a heap,
-which gives the same ids in O(n log n).
+the two pairs beside a merge are looked up anew, and finished rows leave the matrix. A piece longer
+than ``MATRIX_BYTES`` is a row of its own, and merges all places of its least rank in one round, those
+that don't overlap from the left on. One after the other they would be merged next anyway, unless a merge
+makes a pair of a still lesser rank: then the leftmost alone is merged in that round.
+
+Texts are taken in chunks of about ``CHUNK_CHARS`` characters, so a task's memory doesn't grow with its rows.
 
 Results: null and empty texts give no ids; any text, however long, is encoded whole; rows that
 repeat are encoded alike; an empty table gives an empty table; other columns are ignored.
@@ -16,11 +19,12 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -31,7 +35,7 @@ HASH_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MATRIX_BYTES = 256
 LENGTH_CLASSES = (4, 8, 12, 16, 24, 32, 64, 128, MATRIX_BYTES)
 MATRIX_CELLS = 1 << 17
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 19
 
 
 def read_ranks(path: str) -> bytes:
@@ -126,7 +130,7 @@ class Codec:
                 coded.append((part, ids, counts))
             lower = upper
         for row in np.flatnonzero(lengths > MATRIX_BYTES):
-            ids = self._merge_heap(pieces[row])
+            ids = self._merge_long(pieces[row])
             coded.append((np.array([row]), ids, np.array([len(ids)])))
         counts = np.zeros(len(pieces), dtype=np.int64)
         for rows, _, own in coded:
@@ -172,33 +176,44 @@ class Codec:
         kept = done >= 0
         return done[kept], kept.sum(axis=1)
 
-    def _merge_heap(self, piece: bytes) -> np.ndarray:
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        after = list(range(1, len(parts) + 1))
-        before = list(range(-1, len(parts) - 1))
-        heap = [(rank, i, 1, 1) for i in range(len(parts) - 1)
-                if (rank := self.ids.get(parts[i] + parts[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, size, next_size = heapq.heappop(heap)
-            j = after[i] if len(parts[i]) == size else len(parts)
-            if size == 0 or j >= len(parts) or len(parts[j]) != next_size:
-                continue
-            parts[i], parts[j] = parts[i] + parts[j], b""
-            after[i] = after[j]
-            if after[i] < len(parts):
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < len(parts):
-                    rank = self.ids.get(parts[a] + parts[b])
-                    if rank is not None:
-                        heapq.heappush(heap, (rank, a, len(parts[a]), len(parts[b])))
-        return np.array([self.ids[part] for part in parts if part], dtype=np.int32)
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        ids = self.single[np.frombuffer(piece, dtype=np.uint8)]
+        ranks = np.append(self.pairs.look_up(ids[:-1], ids[1:]), NO_RANK)
+        while (best := ranks.min()) != NO_RANK:
+            at = np.flatnonzero(ranks == best)
+            # Adjacent places overlap: of each run of them every other one is merged.
+            first = np.concatenate([[True], np.diff(at) > 1])
+            turn = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            at = at[turn % 2 == 0]
+            merged = self._merged_at(ids, ranks, at, best)
+            if len(at) > 1:
+                # Pairs that a merge makes with what follows, which may be merged itself just after.
+                after = at[at + 2 < len(ids)]
+                right = self.pairs.look_up(np.full(len(after), best), ids[after + 2])
+                if min(merged[1].min(), right.min(initial=NO_RANK)) < best:
+                    merged = self._merged_at(ids, ranks, at[:1], best)
+            ids, ranks = merged
+        return ids
+
+    def _merged_at(self, ids: np.ndarray, ranks: np.ndarray, at: np.ndarray,
+                   best: np.int32) -> tuple[np.ndarray, np.ndarray]:
+        """A row in which the pairs at some places are merged, and the ranks of its pairs."""
+        kept = np.ones(len(ids), dtype=bool)
+        kept[at + 1] = False
+        ids = ids.copy()
+        ids[at] = best
+        ids, ranks = ids[kept], ranks[kept]
+        here = at - np.arange(len(at))
+        changed = np.unique(np.concatenate([here, here - 1]))
+        changed = changed[(changed >= 0) & (changed < len(ids) - 1)]
+        ranks[changed] = self.pairs.look_up(ids[changed], ids[changed + 1])
+        ranks[-1] = NO_RANK
+        return ids, ranks
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind one another, and how many each text has."""
         known = Numbers()
-        order: list[int] = []
+        order = array("q")
         pieces_of = np.zeros(len(texts), dtype=np.int64)
         for row, text in enumerate(texts):
             found = self.pattern.findall(text)
@@ -206,7 +221,7 @@ class Codec:
             order.extend(map(known.__getitem__, found))
         ids, counts = self.encode_pieces([piece.encode() for piece in known])
         starts = np.cumsum(counts) - counts
-        which = np.array(order, dtype=np.int64)
+        which = np.frombuffer(order, dtype=np.int64) if order else np.zeros(0, dtype=np.int64)
         ends = np.concatenate([[0], np.cumsum(counts[which])])
         bounds = ends[np.concatenate([[0], np.cumsum(pieces_of)])]
         return ids[ragged(starts[which], counts[which])], np.diff(bounds)
@@ -228,16 +243,16 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
     return Codec(rank_file, pattern)
 
 
-def chunks_by_length(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most CHUNK_CHARS characters, or one longer text."""
-    begin = size = 0
-    for row, text in enumerate(texts):
-        if row > begin and size + len(text) > CHUNK_CHARS:
-            yield begin, row
-            begin, size = row, 0
-        size += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
+def chunks_by_length(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Chunks of texts of at most CHUNK_CHARS characters, or one longer text, and where each begins."""
+    lengths = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    begin = 0
+    while begin < len(column):
+        before = ends[begin] - lengths[begin]
+        end = max(begin + 1, int(np.searchsorted(ends, before + CHUNK_CHARS, side="right")))
+        yield begin, [text or "" for text in column.slice(begin, end - begin).to_pylist()]
+        begin = end
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True,
@@ -253,12 +268,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shared.value, pattern)
         for batch in batches:
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            for begin, end in chunks_by_length(texts):
-                ids, counts = coder.encode_texts(texts[begin:end])
+            for begin, texts in chunks_by_length(batch.column(1)):
+                ids, counts = coder.encode_texts(texts)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
                 own = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-                columns = [batch.column(0).slice(begin, end - begin), pa.array(counts, pa.int64())]
+                columns = [batch.column(0).slice(begin, len(texts)), pa.array(counts, pa.int64())]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
                                                             pa.array(ids, pa.int32())))
