@@ -3,6 +3,11 @@ near copies stays, sources are mixed to their weights, and what is left is encod
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its output is written as Parquet and
 read again as the next one's ``docs``. All stages but the last return the columns of ``documents``.
+
+Results: null and empty texts are neither toxic nor near copies, keep their lines, have size 0 and no
+tokens; texts are taken whole, however long; of equal rows or ids the operators' own rules decide, which
+their modules state (of equal texts the one of the least id stays, ties go to the least text); an empty
+table gives an empty table; extra columns are carried to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,16 +25,24 @@ from changetrail.llm.storage import Scratch, small_side, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Rows that go to a Python worker at a time: texts are long, and by Spark's default 10,000 of them would
+# lie in memory several times over, on both sides.
+ROWS_PER_BATCH = 1_000
+
 # Intermediate tables of the stage before. Its output has been written when the next one begins.
 _last: list[Scratch] = []
 
 
 def stage(function: Stage) -> Stage:
-    """A stage that first deletes the intermediate tables of the stage before it."""
+    """A stage that first deletes the intermediate tables of the stage before it.
+
+    It leaves the session's rows per Arrow batch at ``ROWS_PER_BATCH``, as its result is lazy.
+    """
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _last:
             _last.pop().delete()
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
         with Scratch(spark) as scratch:
             _last.append(scratch)
             return function(spark, docs, sf_dir)
@@ -37,6 +50,17 @@ def stage(function: Stage) -> Stage:
     return run_stage
 
 
+def free_names(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """``names``, with underscores before them as far as ``docs`` has columns of these names."""
+    taken = {name.lower() for name in docs.columns}
+    found = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        found.append(name)
+    return tuple(found)
+
+
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without those predicted to be toxic. Scores depend on the text alone, so a hash of it
@@ -49,8 +73,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without later similar lines; documents of which nothing is left go."""
-    cleaned = line_dedup.dedup_lines(docs)
-    changed = F.col("n_removed") > 0
+    counts = free_names(docs, "n_lines", "n_removed")
+    cleaned = line_dedup.dedup_lines(docs, counts=counts)
+    changed = F.col(counts[1]) > 0
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         cleaned = cleaned.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
