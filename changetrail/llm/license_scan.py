@@ -11,7 +11,7 @@ the window, over those of the template. Containments of ``LEAST_CONTAINMENT`` or
 best window of a template in a text being its place.
 
 No window can match unless it holds an anchor: for each template a word, or several, so that its
-shingles without any of them would not be enough. A text is cut to windows of those template
+shingles without any of them would not be enough. Long words serve, which few other texts have. A text is cut to windows of those template
 lengths only of which it has an anchor; this skips no match. Where the text of one template makes a
 match of another too (versions of one header), only the one held the most stays at that place. The
 templates are a fixed list; everything is DataFrame functions.
@@ -128,6 +128,7 @@ NOTICES = {
 WORDS = 5
 LEAST_CONTAINMENT = 0.75
 COLLISION = 0.9999
+LEAST_ANCHOR = 6  # letters
 NORMAL = r"[^\p{L}\p{N}]+"
 
 
@@ -149,16 +150,19 @@ def shingle_texts(notice: str) -> list[str]:
 
 def anchors(notice: str) -> list[str]:
     """Words of which every sufficient subset of the notice's shingles contains at least one: the
-    longest that does alone, or the longest ones that do together."""
+    longest that does alone, or several that do together, those in most shingles first. Short words
+    are in any text, so they are taken only where the others are not enough."""
     parts = [set(s.split()) for s in shingle_texts(notice)]
     need = math.ceil(LEAST_CONTAINMENT * len(parts) - 1e-9)
     longest = sorted(set().union(*parts), key=lambda w: (len(w), w), reverse=True)
-    for word in longest:
+    telling = [word for word in longest if len(word) >= LEAST_ANCHOR]
+    for word in telling:
         if sum(word not in p for p in parts) < need:
             return [word]
     chosen: list[str] = []
-    while sum(p.isdisjoint(chosen) for p in parts) >= need:
-        chosen.append(longest[len(chosen)])
+    while len(rest := [p for p in parts if p.isdisjoint(chosen)]) >= need:
+        useful = [word for word in telling if any(word in p for p in rest)] or longest
+        chosen.append(max(useful, key=lambda word: (sum(word in p for p in rest), len(word), word)))
     return chosen
 
 
@@ -212,11 +216,13 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES, key: str =
         any_of = lambda names: F.lower(body).rlike("|".join(sorted(
             {re.escape(word) for name in names for word in anchors(notices[name])})))
         words = F.filter(F.split(F.lower(body), NORMAL), lambda w: w != "")
+        has_any = lambda w, names: F.arrays_overlap(w, F.array(*map(F.lit, sorted(
+            {word for name in names for word in anchors(notices[name])}))))
         by_length: dict[int, list[str]] = {}
         for name, notice in notices.items():
             by_length.setdefault(len(normal_words(notice)), []).append(name)
-        parts = lambda shingles: F.concat(*[
-            F.when(any_of(names), matches_of_length(shingles, n, {name: values[name] for name in names}))
+        parts = lambda w, shingles: F.concat(*[
+            F.when(has_any(w, names), matches_of_length(shingles, n, {name: values[name] for name in names}))
             .otherwise(empty) for n, names in sorted(by_length.items())])
         pairs = rivals(notices)
         reach = window_words(max(by_length))[0]
@@ -224,7 +230,7 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES, key: str =
         stronger = lambda x, y: (
             F.array_contains(F.array(*map(F.lit, pairs)), F.concat(x["name"], F.lit("|"), y["name"]))
             & (y["containment"] > x["containment"]) & (F.abs(y["word"] - x["word"]) < reach))
-        every = let(words, lambda w: let(shingle_hashes(w), parts))
+        every = let(words, lambda w: let(shingle_hashes(w), lambda shingles: parts(w, shingles)))
         if pairs:
             every = let(every, lambda m: F.filter(m, lambda x: ~F.exists(m, lambda y: stronger(x, y))))
         # Of each template the best window, the first of equal ones.
