@@ -92,7 +92,8 @@ def test_checkpoints_go_where_the_session_says(spark):
     assert shared_folder(spark) == (named or spark.sparkContext.getCheckpointDir())
 
 
-@pytest.mark.parametrize("master, fails", [("local[2]", False), ("spark://host:7077", True)])
+@pytest.mark.parametrize("master, fails", [("local[2]", False), ("local", False), ("spark://host:7077", True),
+                                           ("local-cluster[2,1,1024]", True)])
 def test_only_a_local_master_gets_a_temporary_folder(master, fails):
     session = Mock()
     session.conf.get.return_value = None
