@@ -4,20 +4,22 @@ Terms are words and their beginnings of four and five letters, so that unseen wo
 count. The vocabulary holds the terms that occur with label 1 more often than chance allows
 (chi-square) and at least ``LEAST_LIFT`` times as often as with label 0, at most ``TERMS``. Examples are a sample of learned labels, at most ``EXAMPLES`` of
 each label, by a hash of the id, each text once; vocabulary, vectors of examples and the index are
-bounded by these and are what the driver holds. Document frequencies are counted over all
-documents.
+bounded by these and are what the driver holds. A vector holds the known terms of a text, but is
+normed over all its terms: what else a document says makes it less like any example. Document
+frequencies of all terms are counted over all documents, in ``SLOTS`` slots by hash; terms of one slot
+count as one in norms and frequencies.
 
 The index lists, by term and block of examples, the postings and the greatest weight. A query
 bounds every block by these weights, scores the best blocks, and then all blocks whose bound
 reaches the k-th score so far: the neighbours are exactly those of the full cosine. Their votes
-are weighted by similarity; a logistic curve, fitted on the examples with each left out in turn
-and weighted back to the share of the labels, turns votes and similarity into a probability.
+are weighted by similarity, and the share of label 1 among all votes along; a logistic curve, fitted on
+the examples with each left out in turn and weighted back to the share of the labels, turns votes and similarity into a probability.
 
 Results: a text without a known term (null and empty ones too) gets the share of toxic ones among
 such examples; without any learned label the score is 0, with one class only it is that class's
 share. Repeated rows are scored alike; ids with contradicting or null labels aren't learned from;
 labels of absent documents are ignored; an empty table gives an empty table; ties go to the
-example that comes first in the index. Other columns are ignored. No score reads label, language,
+example that comes first in the index; very long texts are read whole. Other columns are ignored. No score reads label, language,
 source or id of the scored row.
 """
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,6 +51,9 @@ BLOCK = 64
 FIRST_BLOCKS = 4
 THRESHOLD = 0.7
 STEMS = (4, 5)
+SLOTS = 1 << 18
+MASS = 1.0  # of the share of label 1 among the votes: as much as one neighbour of cosine 1
+KNOWN_WORDS = 1 << 17  # whose slots a task remembers
 WORD = re.compile(r"\w+")
 
 
@@ -66,6 +72,32 @@ def text_terms(text: str | None) -> Counter:
     return terms
 
 
+def slot(term: str) -> int:
+    return zlib.crc32(term.encode()) % SLOTS
+
+
+class Slots(dict):
+    """The slots of a word and its stems, remembered for the words asked for last."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        own = (slot(word), *[slot(word[:size] + "*") for size in STEMS if len(word) > size])
+        self[word] = own
+        return own
+
+    def counted(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of all terms of some counted words, and how often each occurs."""
+        own = [(at, n) for word, n in words.items() for at in self[word]]
+        pairs = np.array(own, dtype=np.int64).reshape(-1, 2)
+        slots, where = np.unique(pairs[:, 0], return_inverse=True)
+        return slots, np.bincount(where, pairs[:, 1], minlength=len(slots))
+
+
+def idf_of(documents: int, frequency: np.ndarray) -> np.ndarray:
+    return np.log((1 + documents) / (1 + frequency)) + 1
+
+
 # --- index -------------------------------------------------------------------------------
 @dataclass
 class Index:
@@ -79,11 +111,12 @@ class Index:
     toxic: np.ndarray
     ids: np.ndarray
     prior: float  # of a text without known terms
+    share: float  # of label 1 among all learned labels
     curve: tuple[float, float, float]
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weights = (1 + np.log(counts)) * self.idf[terms]
-        return weights / np.sqrt((weights**2).sum())
+    def vector(self, terms: np.ndarray, counts: np.ndarray, norm: float) -> np.ndarray:
+        """Weights of the known terms of a text whose whole vector has the length ``norm``."""
+        return (1 + np.log(counts)) * self.idf[terms] / norm
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS,
                 but: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -113,29 +146,32 @@ class Index:
         return owners[keep], scores[keep]
 
     def votes(self, found: np.ndarray, scores: np.ndarray) -> tuple[float, float]:
-        """Share of label 1 among the neighbours, weighted by similarity, and their closeness."""
-        if not len(found):
-            return 0.0, 0.0
-        return float((scores * self.toxic[found]).sum() / scores.sum()), float(scores.mean())
+        """Share of label 1 among the neighbours, weighted by similarity, and their closeness.
+
+        The share among all labels votes too, so that neighbours far away say little.
+        """
+        vote = ((scores * self.toxic[found]).sum() + MASS * self.share) / (scores.sum() + MASS)
+        return float(vote), float(scores.mean()) if len(found) else 0.0
 
     def score(self, vote: float, close: float) -> float:
         a, b, c = self.curve
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * vote + c * close))))
 
 
-def build_index(vectors: list[tuple[int, int, np.ndarray, np.ndarray]], documents: int,
+def build_index(vectors: list[tuple[int, int, np.ndarray, np.ndarray, float]], documents: int,
                 frequency: np.ndarray, shares: tuple[int, int]) -> Index:
-    """``vectors``: (id, label, terms, counts) of examples; ``shares``: learned labels 0 and 1."""
-    idf = np.log((1 + documents) / (1 + frequency)) + 1
+    """``vectors``: (id, label, terms, counts, norm) of examples; ``shares``: learned labels 0 and 1."""
+    idf = idf_of(documents, frequency)
     known = [v for v in vectors if len(v[2])]
     # Examples with the same strongest term stand together, so that a block has few terms.
     known.sort(key=lambda v: (int(v[2][np.argmax(np.log(v[3]) + idf[v[2]])]), v[0]))
     n, blocks, terms = len(known), max(1, -(-len(known) // BLOCK)), len(frequency)
     index = Index(idf, *(np.zeros(0),) * 4, np.array([v[1] for v in known], dtype=float),
-                  np.array([v[0] for v in known], dtype=np.int64), 0.0, (0.0, 0.0, 0.0))
+                  np.array([v[0] for v in known], dtype=np.int64), 0.0, shares[1] / max(1, sum(shares)),
+                  (0.0, 0.0, 0.0))
     term_of = np.concatenate([v[2] for v in known] or [np.zeros(0, np.int64)]).astype(np.int64)
     owner = np.repeat(np.arange(n), [len(v[2]) for v in known])
-    weight = np.concatenate([index.vector(v[2], v[3]) for v in known] or [np.zeros(0)])
+    weight = np.concatenate([index.vector(*v[2:]) for v in known] or [np.zeros(0)])
     order = np.lexsort((owner, term_of))
     index.owners, index.weights = owner[order], weight[order]
     cell = term_of[order] * blocks + index.owners // BLOCK
@@ -149,13 +185,15 @@ def build_index(vectors: list[tuple[int, int, np.ndarray, np.ndarray]], document
     sampled = np.bincount([v[1] for v in vectors], minlength=2)
     scale = np.array([shares[y] / sampled[y] if sampled[y] else 0.0 for y in (0, 1)])
     blank = np.bincount([v[1] for v in vectors if not len(v[2])], minlength=2) * scale
-    overall = shares[1] / max(1, sum(shares))
-    index.prior = float((blank[1] + overall) / (blank.sum() + 1)) if len(vectors) else 0.0
+    index.prior = float((blank[1] + index.share) / (blank.sum() + 1)) if len(vectors) else 0.0
     if sampled.min() == 0:
-        index.prior = overall
-    votes = np.array([index.votes(*index.nearest(v[2], index.vector(v[2], v[3]), but=i))
-                      for i, v in enumerate(known)]).reshape(-1, 2)
-    index.curve = fit_curve(votes, index.toxic, scale[index.toxic.astype(int)])
+        index.prior = index.share
+    votes = [index.votes(*index.nearest(v[2], index.vector(*v[2:]), but=i)) for i, v in enumerate(known)]
+    # Examples without known terms have no neighbours.
+    without = [v[1] for v in vectors if not len(v[2])]
+    votes = np.array(votes + [(index.share, 0.0)] * len(without)).reshape(-1, 2)
+    labels = np.concatenate([index.toxic, np.array(without, dtype=float)])
+    index.curve = fit_curve(votes, labels, scale[labels.astype(int)])
     return index
 
 
@@ -183,7 +221,7 @@ def learned_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def sample_texts(docs: DataFrame, learned: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, toxic, text`` of at most EXAMPLES examples of each label, equal texts once."""
+    """``id, toxic, text`` of at most EXAMPLES examples of each label, one text each, equal ones once."""
     chosen = None
     for label in (0, 1):
         part = learned.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(EXAMPLES)
@@ -191,7 +229,9 @@ def sample_texts(docs: DataFrame, learned: DataFrame, key: str, text: str) -> Da
     chosen = written(chosen, "chosen")
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # Broadcast: at most 2 * EXAMPLES rows of 12 bytes.
-    found = rows.join(F.broadcast(chosen), "id")
+    # One text of each id, however many rows it has.
+    found = (rows.join(F.broadcast(chosen), "id").groupBy("id", "toxic")
+             .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
     return written(found.groupBy(F.xxhash64("text").alias("digest"))
                    .agg(F.min(F.struct("id", "toxic", "text")).alias("one")).select("one.*"), "examples")
 
@@ -219,34 +259,61 @@ def vocabulary(examples: DataFrame) -> list[str]:
     return [row["term"] for row in best.select("term").collect()]
 
 
-def document_vectors(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
-    """``id, terms, counts, digest`` of every row: the known terms of its whole text, and its hash."""
-    shared = docs.sparkSession.sparkContext.broadcast({term: i for i, term in enumerate(terms)})
+def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
+    """The number of rows, and of rows per slot that have a term there. A task sends one row per slot."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, found, rows = Slots(), np.zeros(SLOTS, dtype=np.int64), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found[known.counted(Counter(WORD.findall((text or "").lower())))[0]] += 1
+            rows += batch.num_rows
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, SLOTS), pa.int32()),
+                                          pa.array(np.append(found[some], rows))], ["slot", "n"])
+
+    counted = (docs.select(F.col(text)).mapInArrow(count, "slot int, n long")
+               .groupBy("slot").agg(F.sum("n").alias("n")).collect())  # at most SLOTS + 1 rows
+    frequency = np.zeros(SLOTS + 1)
+    for row in counted:
+        frequency[row["slot"]] = row["n"]
+    return int(frequency[SLOTS]), frequency[:SLOTS]
+
+
+def document_vectors(docs: DataFrame, terms: list[str], idf: np.ndarray, key: str, text: str) -> DataFrame:
+    """``id, terms, counts, norm, digest`` of every row: the known terms of its whole text, the length
+    of the vector of all its terms, and the text's hash."""
+    shared = docs.sparkSession.sparkContext.broadcast(({term: i for i, term in enumerate(terms)}, idf))
     key_type = docs.schema[key].dataType.simpleString()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = shared.value
+        numbers, weights = shared.value
         stems = {size: {t[:-1]: i for t, i in numbers.items() if t[-1] == "*" and len(t) == size + 1}
                  for size in STEMS}
+        known = Slots()
         for batch in batches:
-            own = []
+            own, norms = [], []
             for text in batch.column(1).to_pylist():
                 found: Counter = Counter()
-                for word, n in Counter(WORD.findall((text or "").lower())).items():
+                words = Counter(WORD.findall((text or "").lower()))
+                for word, n in words.items():
                     if word in numbers:
                         found[numbers[word]] += n
-                    for size, known in stems.items():
+                    for size, stem_numbers in stems.items():
                         stem = word[:size]
-                        if stem in known and len(word) > size:
-                            found[known[stem]] += n
+                        if stem in stem_numbers and len(word) > size:
+                            found[stem_numbers[stem]] += n
                 own.append(sorted(found.items()))
+                # Only texts with a known term are compared.
+                slots, counts = known.counted(words) if found else (np.zeros(0, np.int64), np.zeros(0))
+                norms.append(float(np.sqrt((((1 + np.log(counts)) * weights[slots])**2).sum())))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([[t for t, _ in row] for row in own], pa.list_(pa.int32())),
-                pa.array([[n for _, n in row] for row in own], pa.list_(pa.int32())), batch.column(2)],
-                ["id", "terms", "counts", "digest"])
+                pa.array([[n for _, n in row] for row in own], pa.list_(pa.int32())),
+                pa.array(norms, pa.float64()), batch.column(2)],
+                ["id", "terms", "counts", "norm", "digest"])
 
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest")).mapInArrow(
-        vectors, f"id {key_type}, terms array<int>, counts array<int>, digest long")
+        vectors, f"id {key_type}, terms array<int>, counts array<int>, norm double, digest long")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
@@ -266,15 +333,14 @@ def scored_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
                          F.count(F.when(F.col("toxic") == 1, 1))).first()
     examples = sample_texts(docs, learned, key, text)
     terms = vocabulary(examples)
-    vectors = written(document_vectors(docs, terms, key, text), "vectors")
-    frequency = np.zeros(len(terms))
-    for row in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        frequency[row["t"]] = row["count"]
-    own = document_vectors(examples, terms, "id", "text").join(
+    documents, frequency = document_frequencies(docs, text)
+    idf = idf_of(documents, frequency)
+    vectors = written(document_vectors(docs, terms, idf, key, text), "vectors")
+    own = document_vectors(examples, terms, idf, "id", "text").join(
         F.broadcast(examples.select("id", "toxic")), "id").distinct().collect()
     index = build_index([(r["id"], r["toxic"], np.array(r["terms"], dtype=np.int64),
-                          np.array(r["counts"], dtype=float)) for r in own],
-                        vectors.count(), frequency, tuple(shares))
+                          np.array(r["counts"], dtype=float), r["norm"]) for r in own],
+                        documents, frequency[[slot(term) for term in terms]], tuple(shares))
     shared = spark.sparkContext.broadcast((index, terms))
     key_type = docs.schema[key].dataType.simpleString()
 
@@ -282,21 +348,21 @@ def scored_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         known, names = shared.value
         for batch in batches:
             scores, near, strong = [], [], []
-            for found, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for found, counts, norm in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)]):
                 if not found or not len(known.ids):
                     scores.append(known.prior)
                     near.append([])
                     strong.append([])
                     continue
                 numbers = np.array(found)
-                weights = known.vector(numbers, np.array(counts, dtype=float))
+                weights = known.vector(numbers, np.array(counts, dtype=float), norm)
                 nearest, cosines = known.nearest(numbers, weights)
                 scores.append(known.score(*known.votes(nearest, cosines)))
                 near.append(known.ids[nearest[:3]].tolist())
                 strong.append([names[i] for i in numbers[np.argsort(-weights, kind="stable")[:5]]])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())),
-                pa.array(strong, pa.list_(pa.string())), batch.column(3)],
+                pa.array(strong, pa.list_(pa.string())), batch.column(4)],
                 ["id", "score", "evidence", "found_terms", "digest"])
 
     scored = vectors.mapInArrow(
