@@ -18,8 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="changetrail-llm-")
-        spark.conf.set(SETTING, folder)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="changetrail-llm-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
