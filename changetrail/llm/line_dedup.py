@@ -2,8 +2,9 @@
 
 A line's tokens are its distinct five-word shingles as 64-bit hashes; fewer words are one token.
 Frequencies of all tokens are counted in ``SLOTS`` slots by hash, and the tokens of a line stand in
-the order of their slot's frequency, rarest first. Prefixes hold the low 32 bits of tokens, which
-can only make more candidates; classes of equal lines and similarities are those of the 64 bits. Two lines of Jaccard similarity 0.75 or more share a token
+the order of their slot's frequency, rarest first. Between the passes the low 32 bits of tokens are kept,
+which can only make more candidates; classes of equal lines are those of a digest of the 64-bit tokens, and
+similarities are taken from the texts of the candidates again. Two lines of Jaccard similarity 0.75 or more share a token
 among the first floor(n / 4) + 1 of each (prefix filter), their sizes differ by a factor of 3/4 at
 most (length filter), and from the place of a shared token on they have enough tokens left
 (positional filter). Lines with all tokens equal are one class from the start.
@@ -14,7 +15,9 @@ with the earliest first; only lines still unmatched are compared with the other
 
 Results: blank lines, null and empty texts stay as they are; case and the kind of white space
 between words don't matter; rows that repeat a doc_id (or lack one) and text fare alike; rows
-without a doc_id come last, by a hash of the text, as do texts of one doc_id among themselves; an empty table gives an empty table; other columns are carried by ``dedup_lines``.
+without a doc_id come last, by a hash of the text, as do texts of one doc_id among themselves; an empty table gives an empty table; other columns are carried by
+``dedup_lines``, but for those named like its counts; very long texts are split whole; more than 2^35
+different texts are an error.
 """
 
 from __future__ import annotations
@@ -88,7 +91,7 @@ def slot_ranks(lines: DataFrame) -> Column:
     token's low half within a rank.
     """
     slot = F.pmod(F.col("token"), F.lit(SLOTS))
-    counted = (lines.select(F.explode("tokens").alias("token")).groupBy(slot.alias("slot"))
+    counted = (lines.select(F.explode("halves").alias("token")).groupBy(slot.alias("slot"))
                .agg(F.count(F.lit(1)).alias("n")).collect())  # at most SLOTS rows
     counts = [0] * SLOTS
     for row in counted:
@@ -104,6 +107,11 @@ def low_half(code: Column) -> Column:
     return (code.bitwiseAND(2**32 - 1) - 2**31).cast("int")
 
 
+def half(token: Column) -> Column:
+    """The low half of a token, as a number of 32 bits with a sign."""
+    return (token.bitwiseAND(2**32 - 1) - F.when(token.bitwiseAND(2**31) != 0, 2**32).otherwise(0)).cast("int")
+
+
 def prefix_size(n: Column) -> Column:
     return F.floor(n / 4).cast("int") + 1
 
@@ -118,33 +126,45 @@ def tokens_left(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
     return most * 7 >= (F.col(n_a) + F.col(n_b)) * 3
 
 
-def later_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``ord`` of the later lines of those ``pairs(a, b)``, a before b, that are similar."""
+def split_lines(docs: DataFrame, text: str) -> DataFrame:
+    """``ord, line`` of every line that has words; ``docs`` comes from ``with_line_order``."""
+    split = (docs.select("_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+             .where(F.col("line").rlike(r"[^\x20\x09-\x0D]")))
+    number = F.when(F.col("_id") < 2**ID_BITS, F.col("_id")).otherwise(
+        F.raise_error(F.lit(f"more than 2^{ID_BITS} texts")).cast("long"))
+    place = F.shiftleft(number, LINE_BITS) + F.least("line_no", F.lit(2**LINE_BITS - 1))
+    return split.select(place.alias("ord"), "line")
+
+
+def later_of(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``ord`` of the later lines of those ``pairs(a, b)``, a before b, that are similar.
+
+    The tokens of these lines are taken from the texts again, all 64 bits of them.
+    """
     wanted = written(pairs.select(F.col("a").alias("ord")).union(pairs.select("b")).distinct(), "wanted")
-    sets = written(lines.select("ord", "tokens").join(small_side(wanted, 16), "ord", "left_semi"), "sets")
+    lines = split_lines(docs, text).join(small_side(wanted, 16), "ord", "left_semi")
+    sets = written(lines.select("ord", F.array_distinct(shingles(F.col("line"))).alias("tokens")), "sets")
     both = (pairs.join(sets.select(F.col("ord").alias("a"), F.col("tokens").alias("x")), "a")
             .join(sets.select(F.col("ord").alias("b"), F.col("tokens").alias("y")), "b"))
     common = F.size(F.array_intersect("x", "y"))
-    sizes = F.size(F.array_distinct("x")) + F.size(F.array_distinct("y"))
+    sizes = F.size("x") + F.size("y")
     return (both.select("b", common.alias("common"), sizes.alias("total"))
             .where("common * 4 >= (total - common) * 3").select(F.col("b").alias("ord")).distinct())
 
 
 def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """``ord`` of every line to remove; ``docs`` comes from ``with_line_order``."""
-    split = (docs.select("_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-             .where(F.col("line").rlike(r"[^\x20\x09-\x0D]")))
-    place = F.shiftleft("_id", LINE_BITS) + F.least("line_no", F.lit(2**LINE_BITS - 1))
-    lines = written(split.select(place.alias("ord"), shingles(F.col("line")).alias("tokens")), "lines")
+    # Between the passes only halves of tokens are kept, besides a digest of the whole set.
+    tokens = F.sort_array(F.array_distinct(shingles(F.col("line"))))
+    lines = split_lines(docs, text).select("ord", let(tokens, lambda t: F.struct(
+        F.size(t).alias("n"), F.xxhash64(t).alias("same"), F.transform(t, half).alias("halves"))).alias("own"))
+    lines = written(lines.select("ord", "own.*"), "lines")
     ranks = slot_ranks(lines)
     # Two tokens of a line may have one code: it counts twice then, as their number does.
-    own = lines.select("ord", F.sort_array(F.array_distinct("tokens")).alias("tokens"))
-    code = F.sort_array(F.transform(
-        "tokens", lambda t: F.get(ranks, F.pmod(t, F.lit(SLOTS))) + t.bitwiseAND(2**32 - 1)))
-    coded = own.select("ord", "tokens", F.size("tokens").alias("n"), code.alias("codes"))
-    first = F.transform(F.slice("codes", F.lit(1), prefix_size(F.col("n"))), low_half)
-    coded = written(coded.select("ord", "n", F.xxhash64("tokens").alias("same"), first.alias("prefix")),
-                    "coded")
+    code = F.sort_array(F.transform("halves", lambda t: F.get(ranks, F.pmod(t, F.lit(SLOTS)))
+                                    + t.cast("long").bitwiseAND(2**32 - 1)))
+    first = F.transform(F.slice(code, F.lit(1), prefix_size(F.col("n"))), low_half)
+    coded = written(lines.select("ord", "n", "same", first.alias("prefix")), "coded")
     # Lines with equal tokens: all but the first go.
     firsts = written(coded.groupBy("same", "n").agg(F.min("ord").alias("first"),
                                                     F.max("ord").alias("last"))
@@ -161,7 +181,7 @@ def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     filed = written(postings.join(small_side(crowded, 16), "token"), "filed")
     pairs = (shared.where("lines = 2").select(F.col("leader").alias("a"), F.col("last").alias("b"))
              .union(filed.where("ord > leader").select("leader", "ord")).distinct())
-    matched = written(later_of(written(pairs, "pairs"), lines), "matched")
+    matched = written(later_of(written(pairs, "pairs"), docs, text), "matched")
     # Lines not matched so far against the other earlier lines of their crowded tokens.
     open_lines = (filed.where("ord > leader").join(small_side(matched, 16), "ord", "left_anti")
                   .select("token", F.col("ord").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b")))
@@ -169,10 +189,16 @@ def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
                                                  F.col("at").alias("at_a"))
     rest = open_lines.join(earlier, (open_lines["token"] == earlier["token"]) & (F.col("a") < F.col("b"))
                            & similar_sizes("n_a", "n_b") & tokens_left("n_a", "at_a", "n_b", "at_b"))
-    more = later_of(written(rest.select("a", "b").distinct(), "rest"), lines)
+    more = later_of(written(rest.select("a", "b").distinct(), "rest"), docs, text)
     return repeats.union(matched).union(more).distinct()
 
 
+def without(docs: DataFrame, *names: str) -> list[str]:
+    """The columns of ``docs`` that a result of columns ``names`` carries: those of the same name give way."""
+    taken = {name.lower() for name in names}
+    return [name for name in docs.columns if name.lower() not in taken]
+
+
 def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``row``, the whole row, and ``key`` and ``_id``: no name of ``docs`` can clash with ours."""
     rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
@@ -180,8 +206,13 @@ def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return with_line_order(rows, "key", F.col(f"row.`{text}`")).drop("key")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with later similar lines taken out of ``text``, and ``n_lines, n_removed``."""
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
+                counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with later similar lines taken out of ``text``, and two ``counts``: lines, removed ones.
+
+    Columns of ``docs`` with the names of the counts give way to them.
+    """
+    carried = without(docs, *counts)
     numbered = packed(docs, key, text)
     body = F.col(f"row.`{text}`")
     gone = removed_lines(numbered.select("_id", body.alias("text")))
@@ -192,6 +223,6 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("_gone")), lambda i: F.get(own, i)))
     return joined.select(
         *[F.when(F.col("_gone").isNull(), body).otherwise(F.array_join(kept, "\n")).alias(text)
-          if name == text else F.col(f"row.`{name}`").alias(name) for name in docs.columns],
-        F.coalesce(F.size(F.split(body, "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+          if name == text else F.col(f"row.`{name}`").alias(name) for name in carried],
+        F.coalesce(F.size(F.split(body, "\n")), F.lit(0)).cast("long").alias(counts[0]),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(counts[1]))

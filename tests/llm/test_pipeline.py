@@ -11,7 +11,7 @@ from changetrail.llm.queries import ORACLE, REGISTRY
 
 def test_queries_are_registered():
     names = set(driver.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {re.match(r"op\d+", n)[0] for n in REGISTRY}
+    assert {f"op{n}" for n in range(1, 14)} == {re.match(r"op\d+", n)[0] for n in REGISTRY}
     assert set(REGISTRY) | {"pipeline"} <= names
     assert set(ORACLE) <= set(REGISTRY)
 
@@ -73,3 +73,13 @@ def test_toxic_rows_go_by_their_text(spark):
     left = corpus_pipeline.drop_toxic(spark, docs, folder).collect()
     assert sorted(map(str, left)) == sorted(
         str(r) for r in docs.collect() if "weather" in r["text"])
+
+
+def test_clashing_columns_are_carried(spark, clashing):
+    """Columns named like those that the line stage counts in."""
+    from pyspark.sql import functions as F
+
+    docs = clashing.withColumn("n_lines", F.lit("mine"))
+    out = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {(r["n_lines"], r["n_removed"]) for r in out.collect()} == {("mine", "n_removed")}
