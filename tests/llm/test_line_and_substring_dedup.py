@@ -2,9 +2,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from llm_rows import DOCS, words
 
 from changetrail.llm import line_dedup, substring_dedup
+from changetrail.llm.text_arrays import mix, word_hashes
 
 
 def brute_lines(rows):
@@ -47,18 +49,43 @@ def test_many_variants_of_one_line(spark):
     assert found == brute_lines(rows)
 
 
+MARKS = re.escape(substring_dedup.ENDS + substring_dedup.OTHER_ENDS)
+
+
+def chosen(word):
+    raw = word.encode()
+    value, _ = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return int(mix(value)[0]) % 6 == 0
+
+
+def sentences(text):
+    out = []
+    for part in re.findall(f"[^{MARKS}]*[{MARKS}]+|[^{MARKS}]+$", text or ""):
+        begin = 0
+        for k, match in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", part)):
+            if k >= 8 and chosen(match[0]):
+                out.append(part[begin:match.start()])
+                begin = match.start()
+        out.append(part[begin:])
+    return out
+
+
 def brute_substrings(rows):
     seen, out = set(), {}
     for doc_id, text, *_ in sorted(rows):
-        parts = re.findall(r"[^.!?,;:\n]*[.!?,;:\n]+|[^.!?,;:\n]+$", text or "")
-        own = [tuple(words(p)) for p in parts]
+        parts = sentences(text)
+        own = [(i, tuple(words(p))) for i, p in enumerate(parts) if words(p)]
         covered = set()
-        for i in range(len(parts) - 2):
-            run = tuple(own[i:i + 3])
-            if sum(map(len, run)) >= 8:
-                if run in seen:
-                    covered |= {i, i + 1, i + 2}
-                seen.add(run)
+        for i in range(len(own)):
+            run, size = [], 0
+            for number, w in own[i:]:
+                run.append(w)
+                size += sum(len(x.encode()) for x in w)
+                if len(run) >= 2 and size >= 160:
+                    if tuple(run) in seen:
+                        covered |= set(range(own[i][0], number + 1))
+                    seen.add(tuple(run))
+                    break
         out[doc_id] = (None if text is None else
                        "".join(p for i, p in enumerate(parts) if i not in covered), len(covered))
     return out
@@ -70,24 +97,57 @@ def test_substrings_equal_brute_force(unique_docs, unique_rows):
     assert found == brute_substrings(unique_rows)
 
 
+def without_repeats(spark, *texts):
+    rows = [(i, text, None, None, None) for i, text in enumerate(texts)]
+    found = substring_dedup.dedup_substrings(spark.createDataFrame(rows, DOCS)).collect()
+    return [r["text"] for r in sorted(found, key=lambda r: r["doc_id"])]
+
+
 def test_passages_of_fifty_words_are_caught(spark):
     rnd = random.Random(11)
     say = lambda k: " ".join(f"w{rnd.randrange(5000)}" for _ in range(k))
     passage = ", ".join(say(rnd.randint(5, 9)) for _ in range(8)) + "."
-    rows = [(i, f"{say(30)}. {say(7)} {passage} {say(6)}. {say(20)}.", None, None, None) for i in range(40)]
-    found = {r["doc_id"]: r["text"] for r in
-             substring_dedup.dedup_substrings(spark.createDataFrame(rows, DOCS)).collect()}
+    found = without_repeats(spark, *[f"{say(30)}. {say(7)} {passage} {say(6)}. {say(20)}." for _ in range(40)])
     inner = passage.split(", ")[2:-1]
     assert all(part in found[0] for part in inner)
-    assert not any(part in found[i] for part in inner for i in range(1, 40))
+    assert not any(part in text for part in inner for text in found[1:])
+
+
+def test_passages_without_end_marks_are_caught(spark):
+    """Fifty words in the middle of others, without a mark far and wide."""
+    rnd, caught = random.Random(12), 0
+    say = lambda k: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(k))
+    for _ in range(20):
+        passage = say(60)
+        texts = [f"{say(rnd.randint(0, 40))} {passage} {say(rnd.randint(0, 40))}" for _ in range(2)]
+        first, second = without_repeats(spark, *texts)
+        assert first == texts[0]
+        gone = len(texts[1].split()) - len(second.split())
+        caught += gone >= 20
+        assert gone <= 60
+    assert caught >= 18
+
+
+def test_short_copies_and_unspaced_scripts_are_caught(spark):
+    plain = " ".join(f"word{i}" for i in range(60))
+    signs = "".join(f"{chr(0x4E00 + i)}{chr(0x5E00 + i)}{chr(0x6E00 + i)}{chr(0x7E00 + i)}。" for i in range(18))
+    for text in (plain, signs):
+        first, second = without_repeats(spark, text, text)
+        assert first == text and len(second) < len(text) / 2
+    # Repeats that are no passage stay.
+    lines = "thanks for reading, see you soon."
+    assert without_repeats(spark, lines, lines + " more") == [lines, lines + " more"]
 
 
 def check_odd_rows(operator, docs, rows, clashing, empty, counter):
     plain = operator(docs).collect()
     assert len(plain) == len(rows)
     assert sum(r["text"] is None for r in plain) == sum(r[1] is None for r in rows)
-    carried = operator(clashing.drop("n_removed"))
-    assert carried.columns == [*clashing.drop("n_removed").columns, counter, "n_removed"]
+    # Columns with the names of the counts give way to them.
+    own = [name for name in clashing.columns if name not in (counter, "n_removed")]
+    carried = operator(clashing.withColumn(counter, clashing["_gone"]))
+    assert carried.columns == [*own, counter, "n_removed"]
+    assert sorted(r["n_removed"] for r in carried.collect()) == sorted(r["n_removed"] for r in plain)
     texts = lambda frame: sorted((str(r["doc_id"]), str(r["text"])) for r in frame)
     assert texts(carried.collect()) == texts(plain)
     assert {r["_gone"] for r in carried.collect()} == {"_gone"}
@@ -123,7 +183,9 @@ def test_short_lines_of_one_32_bit_hash_stay(spark):
 
 def test_texts_without_an_id_or_of_one_id_have_their_own_places(spark):
     say = lambda name: ". ".join(" ".join(f"{name}{i}x{j}" for j in range(6)) for i in range(4)) + "."
-    shared = "a shared line of seven plain words. and some more of it here. and its end is this.\n"
+    shared = ("a shared line of several rather plain words for everybody. and some more of it follows here, "
+              "which is long enough to be a passage by itself. and further words of the same kind until its end, "
+              "and at last its end is this.\n")
     for key in (None, 5):
         rows = [(key, shared + say(name) + "\n" + say(name + "z"), None, None, None) for name in "abcd"]
         rows.append((1, shared, None, None, None))
