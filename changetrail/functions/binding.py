@@ -1,4 +1,4 @@
-"""Computing an expensive value once: inside one expression, or as input of an explode."""
+"""Computing an expensive value once: inside one expression, as input of an explode, or below filters."""
 
 from __future__ import annotations
 
@@ -17,6 +17,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def with_computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once a row, however many filters and columns mention them.
+
+    Catalyst moves a filter below the projection that makes its columns and repeats their expressions
+    there, once per mention. It does not move one below a generator: this one gives one row for one.
+    """
+    if not columns:
+        return df
+    values = F.struct(*[column.alias(name) for name, column in columns.items()])
+    kept = [name for name in df.columns if name not in columns]
+    return df.select(*kept, F.inline_outer(F.array(values)))
+
+
 def explode_positions(df: DataFrame, keep: list[str | Column], items: Column,
                       name: str) -> DataFrame:
     """``keep`` columns, zero-based ``position`` and ``name``: one row per element of ``items``.

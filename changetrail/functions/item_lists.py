@@ -21,6 +21,12 @@ WHOLE_NUMBER = r"^[+-]?[0-9]+$"
 # More than the longest head of an entry takes.
 HEAD_CHARS = 24
 LEAST_ENTRY_CHARS = 4
+# A list as forms mostly send it: keys that are numbers, and values that are numbers or numbers as text,
+# each text of the length that it says. The possessive repeat takes any number of entries.
+SHORT_TEXT = "|".join(f'{size}:"(?=[^"]{{{size}}}")' for size in range(21))
+USUAL_ENTRY = rf'i:[+-]?[0-9]{{1,19}};(?:i:[+-]?[0-9]{{1,19}}|s:(?:{SHORT_TEXT})(?:[+-]?[0-9]+)?");'
+USUAL_LIST = rf"^a:[0-9]{{1,9}}:\{{(?:{USUAL_ENTRY})*+\}}\z"
+USUAL_VALUE = r'i:[+-]?[0-9]{1,19};[is]:(?:[0-9]+:")?([+-]?[0-9]*)"?;'
 
 
 def _is_item(text: Column) -> Column:
@@ -35,7 +41,15 @@ def _as_ids(texts: Column) -> Column:
 def parse_serialized(text: Column) -> Column:
     """The values of a serialized flat list, as texts in order; NULL for anything else."""
     # Lengths count bytes, so the text is read with one character for each of its bytes.
-    return let(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), _fold)
+    entry_by_entry = let(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), _fold)
+    return F.when(text.rlike(USUAL_LIST), _usual_values(text)).otherwise(entry_by_entry)
+
+
+def _usual_values(text: Column) -> Column:
+    """The values of a list that looks as usual, if there are as many as its head says."""
+    claimed = F.regexp_extract(text, LIST_HEAD, 1).try_cast("int")
+    return let(F.regexp_extract_all(text, F.lit(USUAL_VALUE), 1),
+               lambda values: F.when(F.size(values) == claimed, values))
 
 
 def _fold(line: Column) -> Column:
@@ -60,7 +74,10 @@ def _fold(line: Column) -> Column:
                         state_code.alias("state"))
 
     def entry(state: Column, head: Column) -> Column:
-        number, size = F.regexp_extract(head, NUMBER, 1), F.regexp_extract(head, TEXT, 1)
+        return let(F.regexp_extract(head, NUMBER, 1), lambda number: let(
+            F.regexp_extract(head, TEXT, 1), lambda size: behind(state, head, number, size)))
+
+    def behind(state: Column, head: Column, number: Column, size: Column) -> Column:
         quote = state["at"] + F.char_length(size) + 4
         body = F.substring(line, quote, size.try_cast("int"))
         after = F.substring(line, quote + size.try_cast("int"), F.lit(2))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,29 +112,40 @@ def split_routes(raw: DataFrame, enabled: bool = True) -> tuple[DataFrame, DataF
     return raw.filter(admitted), raw.filter(~admitted & F.col("argv").isNotNull())
 
 
-def routed_rows(raw: DataFrame, enabled: bool = True) -> DataFrame:
+def routed_rows(raw: DataFrame, enabled: bool = True, marks: Collection[str] = ()) -> DataFrame:
     """Raw records (``RAW_SCHEMA``) as log rows of both kinds, with ``items`` and ``is_web``.
 
     One pass: each record takes the web route if its request is admitted, else the command route if
-    it has an ``argv`` that a person ran, else none. Works on streams too.
+    it has an ``argv`` that a person ran, else none. Works on streams too. Records with a value in one of
+    the columns ``marks`` stay, whatever their route, and so do these columns.
     """
     fields = classify_actions(with_preset_action(with_request_fields(raw)))
-    admitted = F.lit(enabled) & _is_admitted()
-    none = F.array().cast(NO_ITEMS).alias("items")
-    web = F.struct(*_request_row(fields), F.lit(True).alias("is_web"))
-    command = F.struct(*_command_row(fields, "req_id"), none, F.lit(False).alias("is_web"))
-    route = F.when(admitted, web).when(F.col("argv").isNotNull() & _is_by_a_person(), command)
-    return (fields.select(route.alias("event")).filter(F.col("event").isNotNull()).select("event.*")
-            .withColumn("id", F.when(F.col("is_web"), unique_id(F.col("id"), 0))
-                        .otherwise(unique_id(F.col("id"), 1))))
+    admitted = F.coalesce(F.lit(enabled) & _is_admitted(), F.lit(False))
+    is_web, none = F.col("is_web"), F.array().cast(NO_ITEMS).alias("items")
+    by_command = F.col("argv").isNotNull() & _is_by_a_person()
+    marked = [F.col(name).isNotNull() for name in marks]
+    taken = fields.withColumn("is_web", admitted).filter(reduce(or_, marked, is_web | by_command))
+    names = [*LOG_SCHEMA.fieldNames()[:-1], "items"]
+    # Column by column, not as one struct per route: a filter of one column then repeats no other.
+    both = zip(names, _request_row(fields), [*_command_row(fields, "req_id"), none], strict=True)
+    rows = {name: F.when(is_web, web).otherwise(command) for name, web, command in both}
+    rows["id"] = F.when(is_web, unique_id(F.col("req_id").cast("long"), 0)).otherwise(
+        unique_id(F.col("req_id").cast("long"), 1))
+    return taken.select(*[column.alias(name) for name, column in rows.items()], "is_web", *marks)
+
+
+def with_snapshots(rows: DataFrame, tables: Mapping[str, DataFrame],
+                   lookups: Mapping[str, tuple] = fixed.ENTITY_LOOKUPS) -> DataFrame:
+    """Routed rows as the log has them, with the object snapshots of the web ones."""
+    snapshots = snapshot_objects(rows, tables, lookups, id_column="id")
+    return (snapshots.withColumn("object_data", F.when(F.col("is_web"), F.col("object_data")))
+            .select(*LOG_SCHEMA.fieldNames()))
 
 
 def routed_events(raw: DataFrame, tables: Mapping[str, DataFrame], settings: Settings = Settings(),
                   lookups: Mapping[str, tuple] = fixed.ENTITY_LOOKUPS) -> DataFrame:
     """Log rows of raw records of both kinds, with the object snapshots of the web ones."""
-    snapshots = snapshot_objects(routed_rows(raw, settings.enabled), tables, lookups, id_column="id")
-    return (snapshots.withColumn("object_data", F.when(F.col("is_web"), F.col("object_data")))
-            .select(*LOG_SCHEMA.fieldNames()))
+    return with_snapshots(routed_rows(raw, settings.enabled), tables, lookups)
 
 
 def unique_id(source_id: Column, source: int) -> Column:

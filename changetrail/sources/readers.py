@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changetrail.functions.binding import with_computed
 from changetrail.functions.params import STRICT_JSON
 from changetrail.functions.item_lists import decode_item_list
 from changetrail.schemas import CLI_SCHEMA, RAW_SCHEMA, USER_SCHEMA, WEB_REQUEST_SCHEMA
@@ -74,15 +75,19 @@ def with_request_fields(requests: DataFrame) -> DataFrame:
 
     A column that the source already has is left as it is.
     """
+    items = F.col("_items")
     fields = {
         "req_action": F.col("_steering.action"),
         "mode_arg": F.col("_steering.mode"),
         "drp_action": F.col("_steering.drp_action"),
         "purge_continue": F.col("_steering.purge_continue").isNotNull(),
         # Text that is no list of either form counts as no items.
-        "has_items": decode_item_list(F.col("_steering.selected_items")).isNotNull(),
-        "selected_items": decode_item_list(F.col("_steering.selected_items")),
+        "has_items": items.isNotNull(),
+        "selected_items": items,
     }
     missing = {name: column for name, column in fields.items() if name not in requests.columns}
-    return (requests.withColumn("_steering", F.from_json("params", STEERING, STRICT_JSON))
-            .withColumns(missing).drop("_steering"))
+    # Admission filters by these fields: parsed below the filters, not in them.
+    steered = requests.withColumn("_steering", F.from_json("params", STEERING, STRICT_JSON))
+    if missing.keys() & {"has_items", "selected_items"}:
+        steered = steered.withColumn("_items", decode_item_list(F.col("_steering.selected_items")))
+    return with_computed(steered, missing).drop("_steering", "_items")

@@ -19,6 +19,31 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("events, source", [(ingest.routed_events, fx.raw_records),
+                                            (ingest.web_events, fx.web_form_requests)])
+def test_requests_are_parsed_above_the_join_and_once(spark, events, source):
+    text = optimized(events(source(spark, SF_DIR), fx.entity_tables(spark, SF_DIR)))
+    # Once for events with a lookup and once for those without; 36 and 6 times when filters repeated it.
+    assert text.count("aggregate(") <= 2
+    assert all("from_json" not in line for line in text.splitlines() if "Join " in line)
+
+
+def test_a_list_as_usual_is_read_as_entry_by_entry(spark):
+    texts = ["a:0:{}", "a:1:{i:0;i:5;}", 'a:2:{i:0;s:1:"5";i:1;s:0:"";}', 'a:1:{i:0;s:2:"5";}', 'a:1:{i:0;s:01:"5";}',
+             'a:2:{i:0;s:1:"5";}', 'a:1:{i:0;s:1:"5";}\n', 'a:1:{i:0;s:1:"+";}', 'a:1:{i:0;s:2:"-5";}', 'a:1:{i:0;d:5;}',
+             'a:1:{i:0;s:21:"123456789012345678901";}', 'a:1:{s:3:"\u00e91";i:5;}', "a:1:{i:0;i:;}", "a:1:{i:0;i:5;}}",
+             "a:9999:{" + "".join(f'i:{i};s:{len(str(i))}:"{i}";' for i in range(9999)) + "}"]
+    df = spark.createDataFrame([(text,) for text in texts], "text string")
+    slow = let(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), item_lists._fold)
+    rows = df.select("text", item_lists.parse_serialized(F.col("text")).alias("found")).collect()
+    known = df.filter(F.length("text") < 1000).select("text", slow.alias("found")).collect()
+    assert [tuple(r) for r in rows[:-1]] == [tuple(r) for r in known]
+    assert rows[-1]["found"] == [str(i) for i in range(9999)]
+    assert sum(r["found"] is not None for r in rows) == 8
+    usual = df.select(F.col("text").rlike(item_lists.USUAL_LIST).alias("usual")).collect()
+    assert [r["usual"] for r in usual] == [i in (0, 1, 2, 5, 8, 14) for i in range(15)]
+
+
 @pytest.mark.parametrize("adaptive", ["true", "false"])
 def test_a_large_dimension_is_repeated_only_where_spark_does_not_split(spark, adaptive):
     facts, dim = spark.range(100).selectExpr("id", "1 as k"), spark.createDataFrame([(1, "v")], "k int, v string")
