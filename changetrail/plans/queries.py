@@ -501,9 +501,11 @@ def broken_json_lines(spark, sf):
 @query
 def ingest_json_stream(spark, sf):
     """JSON lines as a stream: what was logged, and the lines that were put aside."""
-    halves = HALVES.format("length(value)")
+    halves, lines = HALVES.format("length(value)"), _scratch(spark)
+    # Which half a line is in shows only when it is made: made once, and then read by halves.
+    fx.json_lines(spark, sf).withColumn("part", F.expr(halves)).write.partitionBy("part").text(lines)
     log = _routed_in_two_runs(
-        spark, sf, fx.json_lines(spark, sf).withColumn("part", F.expr(halves)),
+        spark, sf, spark.read.text(lines),
         lambda path: read_json_lines(spark, path, stream=True),
         lambda part, path: part.write.mode("append").text(path))
     return log.read().select(*LOG_COLUMNS).unionByName(log.quarantined().select("line"),

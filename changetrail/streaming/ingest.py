@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from changetrail import fixed_values as fixed
 from changetrail.operators.enrich import with_username
-from changetrail.operators.ingest import command_events, routed_events, routed_rows, web_events
+from changetrail.operators.ingest import command_events, routed_rows, web_events, with_snapshots
 from changetrail.operators.search import display_view
 from changetrail.settings import Settings
 from changetrail.sources.log_table import LogTable, append_json_log
@@ -61,18 +61,20 @@ def routed_batch_writer(log: LogTable, tables: Callable[[], Tables], settings: S
     """
     def write(raw: DataFrame, batch_id: int) -> None:
         batch = batch_label(raw, name, batch_id)
-        raw = raw.persist()                # snapshots read their events more than once
+        marks = [BROKEN] if BROKEN in raw.columns else []
+        # Snapshots read their events more than once: read and parsed once, with the lines put aside.
+        rows = routed_rows(raw, settings.enabled, marks).persist()
         try:
-            records = raw
-            if BROKEN in raw.columns:
-                records, broken = split_broken(raw)
+            records = rows
+            if marks:
+                records, broken = split_broken(rows)
                 log.quarantine(broken, batch)
-            events = routed_events(records, tables(), settings)
+            events = with_snapshots(records, tables())
             log.append(events, batch)
             if settings.json_log_enabled:
                 append_json_log(events.filter(F.col("action") != fixed.ACTION_CLI), settings, batch)
         finally:
-            raw.unpersist()
+            rows.unpersist()
     return write
 
 

@@ -74,3 +74,23 @@ def test_a_hot_key_is_split_by_spark(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_a_micro_batch_is_parsed_once(spark, folder, monkeypatch):
+    """What is cached are the parsed rows and the lines put aside."""
+    from changetrail.streaming import ingest as streaming
+    fx.json_lines(spark, SF_DIR).write.text(folder + "/raw")
+    raw, cached = read_json_lines(spark, folder + "/raw"), []
+    log = new_log(spark, folder + "/log")
+    real = streaming.with_snapshots
+
+    def seen(rows, tables):
+        cached.append(optimized(rows))
+        return real(rows, tables)
+
+    monkeypatch.setattr(streaming, "with_snapshots", seen)
+    routed_batch_writer(log, lambda: fx.entity_tables(spark, SF_DIR), streaming.Settings(), "raw")(raw, 0)
+    assert "InMemoryRelation" in cached[0] and "from_json" not in cached[0].split("InMemoryRelation")[0]
+    whole, broken = split_broken(raw)
+    assert log.read().count() == ingest.routed_rows(whole).count() > 0
+    assert sorted(log.quarantined().select("line").collect()) == sorted(broken.collect()) != []
