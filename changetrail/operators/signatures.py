@@ -66,7 +66,9 @@ def file_signatures(log: DataFrame) -> DataFrame:
     texts = log.select("event_date", "batch", F.col("_metadata.file_path").alias(FILE),
                        F.explode(F.array_distinct(F.concat(grams(F.col("page")), grams(F.col("post")))))
                        .alias("gram"))
-    return (texts.withColumn("place", place(F.col("gram")))
+    # A file has few grams, which come with most of its rows: each goes on once, not sorted by the bitmaps.
+    places = texts.select(FILE, "event_date", "batch", place(F.col("gram")).alias("place")).distinct()
+    return (places
             .groupBy(FILE, F.bitmap_bucket_number("place").alias("bucket"), "event_date", "batch")
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
             .select(FILE, "bucket", "bits", "event_date", "batch"))

@@ -76,6 +76,15 @@ def test_a_hot_key_is_split_by_spark(spark):
             spark.conf.set(name, value)
 
 
+def test_each_gram_of_a_file_goes_to_its_bitmap_once(spark, folder):
+    log = new_log(spark, folder)
+    rows = [{"id": i, "page": "p.php", "post": "alpha" if i % 2 else "beta"} for i in range(50)]
+    log.append(log_of(spark, rows), "all", sign=True)
+    text = optimized(signatures.file_signatures(log.read()))
+    assert text.count("Aggregate [") == 2
+    assert log.search(EventFilter(search="alpha")).count() == 25
+
+
 def test_a_micro_batch_is_parsed_once(spark, folder, monkeypatch):
     """What is cached are the parsed rows and the lines put aside."""
     from changetrail.streaming import ingest as streaming
