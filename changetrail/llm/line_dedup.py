@@ -2,16 +2,17 @@
 
 A line's tokens are its distinct five-word shingles as 64-bit hashes; fewer words are one token.
 Frequencies of all tokens are counted in ``SLOTS`` slots by hash, and the tokens of a line stand in
-the order of their slot's frequency, rarest first. Between the passes the low 32 bits of tokens are kept,
-which can only make more candidates; classes of equal lines are those of a digest of the 64-bit tokens, and
-similarities are taken from the texts of the candidates again. Two lines of Jaccard similarity 0.75 or more share a token
-among the first floor(n / 4) + 1 of each (prefix filter), their sizes differ by a factor of 3/4 at
-most (length filter), and from the place of a shared token on they have enough tokens left
-(positional filter). Lines with all tokens equal are one class from the start.
+the order of their slot's frequency, rarest first. Between the passes a 32-bit hash of each token is
+kept, and of these only the prefixes once they are known; that can only make more candidates, as
+similarities are taken from the texts of the candidates again. Two lines of Jaccard similarity 0.75 or
+more share a token among the first floor(n / 4) + 1 of each (prefix filter), their sizes differ by a
+factor of 3/4 at most (length filter), and from the place of a shared token on they have enough tokens
+left (positional filter). Lines of the same words, by a 64-bit digest, are one class from the start.
 
 A line is removed if any earlier line, by doc_id and line number, is similar, whether that one
 stays or not. So not all pairs are needed: of the lines with a common prefix token each is compared
-with the earliest first; only lines still unmatched are compared with the other earlier ones.
+with the earliest first; only lines still unmatched are compared with the other earlier ones. All three
+filters come before any text is read again.
 
 Results: blank lines, null and empty texts stay as they are; case and the kind of white space
 between words don't matter; rows that repeat a doc_id (or lack one) and text fare alike; rows
@@ -22,17 +23,20 @@ different texts are an error.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changetrail.llm.ranking import ranked
-from changetrail.llm.storage import small_side, written
+from changetrail.llm.storage import Scratch, small_side, written
 
 WORDS = 5
 SLOTS = 1 << 16
 LINE_BITS = 28
 ID_BITS = 35
 SPACES = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def let(value: Column, body) -> Column:
@@ -40,26 +44,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def line_words(line: Column) -> Column:
-    """The words of a line in lower case. A split at one plain character needs no regular expression,
-    so only lines with other white space are rewritten first."""
-    own = F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r"))
-    single = F.when(own.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(own, SPACES, " ")).otherwise(own)
-    return F.split(single, " ")
+def with_words(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``line`` in lower case and one space between words. Only lines with other
+    white space are rewritten by a regular expression."""
+    own = lines.withColumn("line", F.btrim(F.lower("line"), F.lit(BLANKS)))
+    other = functools.reduce(Column.__or__, [F.contains("line", F.lit(blank)) for blank in ("  ", *BLANKS[1:])])
+    return own.withColumn("line", F.when(other, F.regexp_replace("line", SPACES, " ")).otherwise(F.col("line")))
 
 
 def shingles(line: Column) -> Column:
-    """64-bit hashes of the runs of WORDS words of a line; of all its words if fewer."""
+    """64-bit hashes of the runs of WORDS words of a line of ``with_words``; of all its words if fewer."""
     def of_words(w: Column) -> Column:
         n = F.size(w)
-        twos = F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1),
-                          lambda x, y: F.xxhash64(x, y))
-        fives = let(twos, lambda p: F.transform(
-            F.slice(p, F.lit(1), n - WORDS + 1),
-            lambda x, i: F.xxhash64(x, F.get(p, i + 2), F.get(w, i + WORDS - 1))))
-        return F.when(n >= WORDS, fives).otherwise(F.array(F.xxhash64(w)))
+        runs = F.transform(F.slice(w, F.lit(1), n - WORDS + 1),
+                           lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WORDS)]))
+        return F.when(n >= WORDS, runs).otherwise(F.array(F.xxhash64(w)))
 
-    return let(line_words(line), of_words)
+    return let(F.split(line, " "), of_words)
 
 
 def with_line_order(docs: DataFrame, key: str, text: Column) -> DataFrame:
@@ -84,14 +85,16 @@ def with_line_order(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return own.join(ids, same[0] & same[1] & same[2], "left").select(*docs.columns, "_id")
 
 
+def slot(half: Column) -> Column:
+    return half.bitwiseAND(SLOTS - 1)
+
+
 def slot_ranks(lines: DataFrame) -> Column:
     """An array literal: the place of every slot by the number of its tokens, times 2^32.
 
-    The low half of a token added to its slot's entry is a code that orders by rank, and by the
-    token's low half within a rank.
+    A token's half added to its slot's entry is a code that orders by rank, and by the half within a rank.
     """
-    slot = F.pmod(F.col("token"), F.lit(SLOTS))
-    counted = (lines.select(F.explode("halves").alias("token")).groupBy(slot.alias("slot"))
+    counted = (lines.select(F.explode("halves").alias("half")).groupBy(slot(F.col("half")).alias("slot"))
                .agg(F.count(F.lit(1)).alias("n")).collect())  # at most SLOTS rows
     counts = [0] * SLOTS
     for row in counted:
@@ -103,15 +106,10 @@ def slot_ranks(lines: DataFrame) -> Column:
 
 
 def low_half(code: Column) -> Column:
-    """The low half of a code's token."""
+    """What names the half in a code: its bits as a number of 32 bits, in another order."""
     return (code.bitwiseAND(2**32 - 1) - 2**31).cast("int")
 
 
-def half(token: Column) -> Column:
-    """The low half of a token, as a number of 32 bits with a sign."""
-    return (token.bitwiseAND(2**32 - 1) - F.when(token.bitwiseAND(2**31) != 0, 2**32).otherwise(0)).cast("int")
-
-
 def prefix_size(n: Column) -> Column:
     return F.floor(n / 4).cast("int") + 1
 
@@ -129,21 +127,30 @@ def tokens_left(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
 def split_lines(docs: DataFrame, text: str) -> DataFrame:
     """``ord, line`` of every line that has words; ``docs`` comes from ``with_line_order``."""
     split = (docs.select("_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-             .where(F.col("line").rlike(r"[^\x20\x09-\x0D]")))
+             .where(F.btrim("line", F.lit(BLANKS)) != ""))
     number = F.when(F.col("_id") < 2**ID_BITS, F.col("_id")).otherwise(
         F.raise_error(F.lit(f"more than 2^{ID_BITS} texts")).cast("long"))
     place = F.shiftleft(number, LINE_BITS) + F.least("line_no", F.lit(2**LINE_BITS - 1))
     return split.select(place.alias("ord"), "line")
 
 
+def chosen_lines(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """``ord, line`` of the lines of ``wanted(ord)``; only texts that have some are split."""
+    by_doc = written(wanted.groupBy(F.shiftright("ord", LINE_BITS).alias("_id")).agg(
+        F.collect_list(F.col("ord").bitwiseAND(2**LINE_BITS - 1).cast("int")).alias("numbers")), "wanted")
+    chosen = let(F.split(text, "\n"), lambda own: F.transform(
+        "numbers", lambda i: F.struct(i.alias("line_no"), F.get(own, i).alias("line"))))
+    lines = docs.join(small_side(by_doc, 64), "_id").select("_id", F.inline(chosen))
+    return lines.select((F.shiftleft("_id", LINE_BITS) + F.col("line_no")).alias("ord"), "line")
+
+
 def later_of(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """``ord`` of the later lines of those ``pairs(a, b)``, a before b, that are similar.
 
     The tokens of these lines are taken from the texts again, all 64 bits of them.
     """
-    wanted = written(pairs.select(F.col("a").alias("ord")).union(pairs.select("b")).distinct(), "wanted")
-    lines = split_lines(docs, text).join(small_side(wanted, 16), "ord", "left_semi")
-    sets = written(lines.select("ord", F.array_distinct(shingles(F.col("line"))).alias("tokens")), "sets")
+    lines = chosen_lines(docs, text, pairs.select(F.col("a").alias("ord")).union(pairs.select("b")).distinct())
+    sets = written(with_words(lines).select("ord", F.array_distinct(shingles(F.col("line"))).alias("tokens")), "sets")
     both = (pairs.join(sets.select(F.col("ord").alias("a"), F.col("tokens").alias("x")), "a")
             .join(sets.select(F.col("ord").alias("b"), F.col("tokens").alias("y")), "b"))
     common = F.size(F.array_intersect("x", "y"))
@@ -152,44 +159,53 @@ def later_of(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             .where("common * 4 >= (total - common) * 3").select(F.col("b").alias("ord")).distinct())
 
 
-def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``ord`` of every line to remove; ``docs`` comes from ``with_line_order``."""
-    # Between the passes only halves of tokens are kept, besides a digest of the whole set.
-    tokens = F.sort_array(F.array_distinct(shingles(F.col("line"))))
-    lines = split_lines(docs, text).select("ord", let(tokens, lambda t: F.struct(
-        F.size(t).alias("n"), F.xxhash64(t).alias("same"), F.transform(t, half).alias("halves"))).alias("own"))
-    lines = written(lines.select("ord", "own.*"), "lines")
+def possible_pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """``a, b``: lines of a common token, a of ``earlier`` before b of ``later``, that may be similar yet."""
+    a = earlier.select("token", F.col("ord").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    b = later.select("token", F.col("ord").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    return b.join(a, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & similar_sizes("n_a", "n_b")
+                  & tokens_left("n_a", "at_a", "n_b", "at_b")).select("a", "b").distinct()
+
+
+def prefixes(docs: DataFrame, text: str) -> DataFrame:
+    """``ord, n, same, prefix`` of every line: the number of its tokens, a digest of its words, its rarest tokens."""
+    lines = with_words(split_lines(docs, text)).select(
+        "ord", F.xxhash64("line").alias("same"), let(F.array_distinct(shingles(F.col("line"))), lambda t: F.struct(
+            F.size(t).alias("n"), F.transform(t, lambda x: F.hash(x)).alias("halves"))).alias("own"))
+    # The halves of all tokens are the largest table, so they go as soon as the prefixes are known.
+    with Scratch(docs.sparkSession) as scratch:
+        lines = written(lines.select("ord", "same", "own.*"), "lines")
     ranks = slot_ranks(lines)
-    # Two tokens of a line may have one code: it counts twice then, as their number does.
-    code = F.sort_array(F.transform("halves", lambda t: F.get(ranks, F.pmod(t, F.lit(SLOTS)))
-                                    + t.cast("long").bitwiseAND(2**32 - 1)))
+    # Two tokens of a line may have one code: it counts twice then, as their number does. No entry
+    # is null, and an array that says so is sorted as plain numbers.
+    code = F.sort_array(F.transform("halves", lambda t: F.coalesce(F.get(ranks, slot(t)), F.lit(0)) + t))
     first = F.transform(F.slice(code, F.lit(1), prefix_size(F.col("n"))), low_half)
     coded = written(lines.select("ord", "n", "same", first.alias("prefix")), "coded")
-    # Lines with equal tokens: all but the first go.
+    scratch.delete()
+    return coded
+
+
+def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``ord`` of every line to remove; ``docs`` comes from ``with_line_order``."""
+    coded = prefixes(docs, text)
+    # Lines of equal words: all but the first go.
     firsts = written(coded.groupBy("same", "n").agg(F.min("ord").alias("first"),
                                                     F.max("ord").alias("last"))
                      .where("first < last").drop("last"), "firsts")
     marked = coded.join(small_side(firsts, 40), ["same", "n"], "left")
     repeats = marked.where("ord > first").select("ord")
     single = marked.where("first is null or ord = first")
-    # Prefix tokens that several classes share; most are shared by two, which are a pair.
+    # Prefix tokens that several classes share.
     postings = single.select("ord", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = written(postings.groupBy("token").agg(F.min("ord").alias("leader"), F.max("ord").alias("last"),
-                                                   F.count(F.lit(1)).alias("lines"))
-                     .where("leader < last"), "shared")
-    crowded = written(shared.where("lines > 2").select("token", "leader"), "crowded")
-    filed = written(postings.join(small_side(crowded, 16), "token"), "filed")
-    pairs = (shared.where("lines = 2").select(F.col("leader").alias("a"), F.col("last").alias("b"))
-             .union(filed.where("ord > leader").select("leader", "ord")).distinct())
-    matched = written(later_of(written(pairs, "pairs"), docs, text), "matched")
-    # Lines not matched so far against the other earlier lines of their crowded tokens.
-    open_lines = (filed.where("ord > leader").join(small_side(matched, 16), "ord", "left_anti")
-                  .select("token", F.col("ord").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b")))
-    earlier = filed.where("ord > leader").select("token", F.col("ord").alias("a"), F.col("n").alias("n_a"),
-                                                 F.col("at").alias("at_a"))
-    rest = open_lines.join(earlier, (open_lines["token"] == earlier["token"]) & (F.col("a") < F.col("b"))
-                           & similar_sizes("n_a", "n_b") & tokens_left("n_a", "at_a", "n_b", "at_b"))
-    more = later_of(written(rest.select("a", "b").distinct(), "rest"), docs, text)
+    shared = written(postings.groupBy("token").agg(F.min("ord").alias("leader"), F.max("ord").alias("last"))
+                     .where("leader < last").drop("last"), "shared")
+    filed = written(postings.join(small_side(shared, 16), "token"), "filed")
+    later = filed.where("ord > leader")
+    pairs = written(possible_pairs(later, filed.where("ord = leader")), "pairs")
+    matched = written(later_of(pairs, docs, text), "matched")
+    # Lines not matched so far against the other earlier lines of their tokens.
+    rest = written(possible_pairs(later.join(small_side(matched, 16), "ord", "left_anti"), later), "rest")
+    more = later_of(rest, docs, text)
     return repeats.union(matched).union(more).distinct()
 
 

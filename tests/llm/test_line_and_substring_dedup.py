@@ -202,3 +202,47 @@ def test_texts_without_an_id_or_of_one_id_have_their_own_places(spark):
                  for line in r["text"].split("\n")]
         assert sorted(lines) == sorted(["own first line of north", "own first line of south", shared.strip(),
                                         "own last line of north", "own last line of south"])
+
+
+def test_lines_that_cannot_be_similar_are_not_read_again(spark, monkeypatch):
+    """Every token of the long line is a line of its own: ten common rare tokens, but sizes 36 and 1."""
+    from changetrail.llm import storage
+
+    tables, own = {}, storage.written
+
+    def recorded(frame, name):
+        made = own(frame, name)
+        tables[name] = tables.get(name, 0) + made.count()
+        return made
+
+    monkeypatch.setattr(line_dedup, "written", recorded)
+    w = [f"w{i}" for i in range(40)]
+    texts = [" ".join(w)] + [" ".join(w[i:i + 5]) for i in range(36)]
+    rows = [(i, text, None, None, None) for i, text in enumerate(texts)]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == dict(enumerate(texts))
+    assert tables["lines"] == len(texts) and tables["sets"] == 0
+
+
+def test_tokens_of_all_lines_do_not_stay_on_disk(spark, unique_docs, unique_rows):
+    import os
+
+    from changetrail.llm import storage
+
+    folder = storage.shared_folder(spark).removeprefix("file:")
+    tables = lambda: {name for name in os.listdir(folder) if name.startswith("lines-")}
+    before = tables() if os.path.isdir(folder) else set()
+    found = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(unique_docs).collect()}
+    assert found == brute_lines(unique_rows)
+    assert tables() == before
+
+
+def test_lines_of_equal_tokens_but_other_words_go(spark):
+    """The same run of six words three and four times over: other words, the same set of tokens."""
+    once = "a1 b2 c3 d4 e5 f6"
+    texts = [" ".join([once] * 3), " ".join([once] * 4), " ".join([once.upper()] * 3), "A1  b2\tc3 d4 \x0be5 f6 " * 4]
+    rows = [(i, text, None, None, None) for i, text in enumerate(texts)]
+    found = {r["doc_id"]: (r["text"], r["n_removed"])
+             for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == brute_lines(rows)
+    assert [found[i][1] for i in range(4)] == [0, 1, 1, 1]
