@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changetrail.llm.ranking import ranked
-from changetrail.llm.storage import Scratch, small_side, written
+from changetrail.llm.storage import BROADCAST_BYTES, Scratch, small_side, written
 
 WORDS = 5
 SLOTS = 1 << 16
@@ -48,7 +48,7 @@ def with_words(lines: DataFrame) -> DataFrame:
     """``lines`` with ``line`` in lower case and one space between words. Only lines with other
     white space are rewritten by a regular expression."""
     own = lines.withColumn("line", F.btrim(F.lower("line"), F.lit(BLANKS)))
-    other = functools.reduce(Column.__or__, [F.contains("line", F.lit(blank)) for blank in ("  ", *BLANKS[1:])])
+    other = functools.reduce(Column.__or__, [F.contains("line", F.lit(blank)) for blank in ("  ", "\t", "\x0b", "\x0c", "\r")])
     return own.withColumn("line", F.when(other, F.regexp_replace("line", SPACES, " ")).otherwise(F.col("line")))
 
 
@@ -140,7 +140,9 @@ def chosen_lines(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         F.collect_list(F.col("ord").bitwiseAND(2**LINE_BITS - 1).cast("int")).alias("numbers")), "wanted")
     chosen = let(F.split(text, "\n"), lambda own: F.transform(
         "numbers", lambda i: F.struct(i.alias("line_no"), F.get(own, i).alias("line"))))
-    lines = docs.join(small_side(by_doc, 64), "_id").select("_id", F.inline(chosen))
+    # A text may have any number of lines, so these are counted.
+    small = (by_doc.agg(F.sum(F.size("numbers"))).first()[0] or 0) * 64 <= BROADCAST_BYTES
+    lines = docs.join(F.broadcast(by_doc) if small else by_doc, "_id").select("_id", F.inline(chosen))
     return lines.select((F.shiftleft("_id", LINE_BITS) + F.col("line_no")).alias("ord"), "line")
 
 
